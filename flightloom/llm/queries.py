@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from flightloom.llm.binary_output import read_token_files, write_token_files
 from flightloom.llm.common import table
 from flightloom.llm.packing import pack_along_curve
+from flightloom.llm.pii import detect_pii
+from flightloom.llm.quality import score_quality
+from flightloom.llm.toxicity import score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 3, 1, 0.7)
 
 
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +26,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0, 0.3)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_curve_packing": op3_curve_packing, "op5_token_files": op5_token_files}
+    own = (op1_toxicity, op3_curve_packing, op5_token_files, op6_quality, op8_pii)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
