@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flightloom.llm.binary_output import read_token_files, write_token_files
 from flightloom.llm.common import table
+from flightloom.llm.decontamination import contamination
 from flightloom.llm.packing import pack_along_curve
 from flightloom.llm.pii import detect_pii
 from flightloom.llm.quality import score_quality
@@ -18,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 3, 1, 0.7)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2048)
 
@@ -35,7 +40,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op3_curve_packing, op5_token_files, op6_quality, op8_pii)
+    own = (op1_toxicity, op2_decontamination, op3_curve_packing, op5_token_files, op6_quality, op8_pii)
     return {f.__name__: f for f in own}
 
 
