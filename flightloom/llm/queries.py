@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flightloom.llm.binary_output import read_token_files, write_token_files
 from flightloom.llm.common import table
 from flightloom.llm.decontamination import contamination
+from flightloom.llm.near_dedup import near_classes
 from flightloom.llm.packing import pack_along_curve
 from flightloom.llm.pii import detect_pii
 from flightloom.llm.quality import score_quality
@@ -27,6 +28,10 @@ def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_along_curve(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2048)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json"))
 
@@ -40,7 +45,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_decontamination, op3_curve_packing, op5_token_files, op6_quality, op8_pii)
+    own = (op1_toxicity, op2_decontamination, op3_curve_packing, op4_near_duplicates, op5_token_files, op6_quality, op8_pii)
     return {f.__name__: f for f in own}
 
 
