@@ -13,7 +13,9 @@ from flightloom.llm.near_dedup import near_classes
 from flightloom.llm.packing import pack_along_curve
 from flightloom.llm.pii import detect_pii
 from flightloom.llm.quality import score_quality
+from flightloom.llm.topk import top_products
 from flightloom.llm.toxicity import score_toxicity
+from flightloom.llm.wrappers import extract_main_text
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +42,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 5, 0, 0.3)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(table(spark, sf_dir, "documents"))
 
 
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_decontamination, op3_curve_packing, op4_near_duplicates, op5_token_files, op6_quality, op8_pii)
+    own = (op1_toxicity, op2_decontamination, op3_curve_packing, op4_near_duplicates, op5_token_files, op6_quality, op7_main_text, op8_pii, op9_top_products)
     return {f.__name__: f for f in own}
 
 
