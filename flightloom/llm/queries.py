@@ -13,6 +13,7 @@ from flightloom.llm.near_dedup import near_classes
 from flightloom.llm.packing import pack_along_curve
 from flightloom.llm.pii import detect_pii
 from flightloom.llm.quality import score_quality
+from flightloom.llm.suffixes import passage_report
 from flightloom.llm.topk import top_products
 from flightloom.llm.toxicity import score_toxicity
 from flightloom.llm.wrappers import extract_main_text
@@ -55,8 +56,12 @@ def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_decontamination, op3_curve_packing, op4_near_duplicates, op5_token_files, op6_quality, op7_main_text, op8_pii, op9_top_products)
+    own = (op1_toxicity, op2_decontamination, op3_curve_packing, op4_near_duplicates, op5_token_files, op6_quality, op7_main_text, op8_pii, op9_top_products, op10_repeated_passages)
     return {f.__name__: f for f in own}
 
 
