@@ -7,9 +7,9 @@ probability Jaccard of their bags.
 
 Equal texts are one node from the start. Bands of registers propose links; in each bucket every node is first linked
 to the bucket's pivot (the member that shares most buckets), and links are verified on the exact bags. Only buckets
-whose members are then still in several components are gone through pair by pair, in cells of bounded size, on
-registers alone; pairs that look near enough are verified too. So a bucket of near copies costs one link a member, and
-no pair is lost: every pair of a bucket is linked, in one component already, verified, or far apart by its registers.
+whose members are then still in several components are gone through pair by pair, in cells of bounded size: on registers
+first, and where these look near on the exact bags. So a bucket of near copies costs a link or so a member, and no
+pair is lost: every pair of a bucket is in one component, verified, or far apart by its registers.
 """
 
 from __future__ import annotations
@@ -142,22 +142,41 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stash(full.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "similar")
 
 
-def compare_cell(held: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a left and a right member of one cell that lie in different components and agree enough."""
-    left, right = held[held["left"]], held[~held["left"]]
-    y = np.frombuffer(b"".join(right["registers"]), np.uint8).reshape(-1, REGISTERS)
-    components_of, nodes = right["component"].to_numpy(), right["node"].to_numpy()
-    found = [np.zeros((0, 2), np.int64)]
-    for node, component, registers in zip(left["node"].tolist(), left["component"].tolist(), left["registers"]):
-        at = np.flatnonzero(components_of != component)
-        near = at[(y[at] == np.frombuffer(registers, np.uint8)).mean(axis=1) >= LOOKS_NEAR] if len(at) else at
-        found.append(np.stack([np.minimum(nodes[near], node), np.maximum(nodes[near], node)], axis=1))
-    pairs = np.concatenate(found)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
+def link_cell(held: pd.DataFrame) -> pd.DataFrame:
+    """Links between a left and a right member of one cell that aren't in one component yet.
 
-def open_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that look near, of members of one bucket in different components.
+    A pair is looked at in the first bucket that it shares, and once. Each link found joins two components of the
+    cell, so fewer links than members come out however many pairs are similar.
+    """
+    left, right = held[held["left"]], held[~held["left"]]
+    registers = np.frombuffer(b"".join(right["registers"]), np.uint8).reshape(-1, REGISTERS)
+    bands = np.frombuffer(b"".join(right["bands"]), np.int64).reshape(-1, BANDS)
+    nodes, outside, root = right["node"].to_numpy(), right["outside"].to_numpy(), right["component"].to_numpy().copy()
+    texts, bags, joined, found = right["text"].to_numpy(), {}, {}, []
+
+    def bag(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if node not in bags:
+            bags[node] = shingles(pa.array([text]))[:2]
+        return bags[node]
+
+    for node, component, own, own_bands, text in zip(left["node"].tolist(), left["component"].tolist(), left["registers"], left["bands"], left["text"]):
+        while component in joined:
+            component = joined[component]
+        own_bands = np.frombuffer(own_bands, np.int64)
+        before = int(np.flatnonzero(own_bands == held["band"].iloc[0])[0])
+        at = np.flatnonzero((root != component) & (~outside | (nodes > node)))
+        at = at[~(bands[at, :before] == own_bands[:before]).any(axis=1)]
+        agree = (registers[at] == np.frombuffer(own, np.uint8)).mean(axis=1)
+        for k in at[np.argsort(-agree, kind="stable")[: int((agree >= LOOKS_NEAR).sum())]].tolist():
+            if root[k] != component and probability_jaccard(bag(node, text), bag(int(nodes[k]), texts[k])) >= SIMILAR:
+                found.append((min(node, int(nodes[k])), max(node, int(nodes[k]))))
+                joined[int(root[k])] = component
+                root[root == root[k]] = component
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def further_links(members: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of one bucket in different components.
 
     Of a bucket, the members outside its largest component meet all members. Both are cut into parts of about CELL
     members, and a cell is one part of each, so no task holds a whole bucket.
@@ -166,13 +185,13 @@ def open_pairs(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFr
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("core"), F.sum("size").alias("all")).where("core.size < all")
     mixed = mixed.select("band", F.col("core.component").alias("core"), F.ceil((F.col("all") - F.col("core.size")) / CELL).cast("int").alias("left_parts"), F.ceil(F.col("all") / CELL).cast("int").alias("right_parts"))
-    held = placed.join(mixed, "band").join(nodes.select("node", "registers"), "node")
+    held = placed.join(mixed, "band").join(nodes.select("node", "registers", "bands"), "node").join(texts, "node").withColumn("outside", F.col("component") != F.col("core"))
     part = lambda parts, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    rest = ("band", "node", "component", "registers")
+    rest = ("band", "node", "component", "registers", "bands", "text", "outside")
     right = held.select(*rest, F.lit(False).alias("left"), part("right_parts", 2).alias("j"), every("left_parts").alias("i"))
-    left = held.where("component <> core").select(*rest, F.lit(True).alias("left"), every("right_parts").alias("j"), part("left_parts", 1).alias("i"))
-    return right.unionByName(left).groupBy("band", "i", "j").applyInPandas(compare_cell, "a long, b long").distinct()
+    left = held.where("outside").select(*rest, F.lit(True).alias("left"), every("right_parts").alias("j"), part("left_parts", 1).alias("i"))
+    return right.unionByName(left).groupBy("band", "i", "j").applyInPandas(link_cell, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -197,8 +216,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     texts = stash(rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "texts")
     links = verified(star, texts)
     found = stash(components(links), "components")
-    pairs = open_pairs(members, found, nodes).join(star, ["a", "b"], "left_anti")
-    more = verified(stash(pairs, "pairs"), texts)
+    more = further_links(members, found, nodes, texts)
     final = stash(components(links.unionByName(more)), "components")
     named = signed.join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left").join(final, "node", "left")
     return named.select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id"))
