@@ -145,11 +145,11 @@ def risk_from_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.risk_from_probabilities(B.missions(spark, sf_dir))
 
 
-@query(f"{SCORED_SQL} SELECT mission_id, risk_score, confidence, round(p_high + p_low + (p_medium * 1.01), 6) AS total FROM scored WHERE abs(p_high + p_low + (p_medium * 1.01) - 1) > 0.0001")
+@query(f"{SCORED_SQL} SELECT mission_id, risk_score, confidence, round(p_high + p_low + (p_medium * 1.01) + 1e-9, 6) AS total FROM scored WHERE abs(p_high + p_low + (p_medium * 1.01) - 1) > 0.0001")
 def check_probability_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.missions(spark, sf_dir)
     shifted = rows.select("mission_id", F.transform_values("probabilities", lambda k, v: F.when(k == "Medium Risk", v * 1.01).otherwise(v)).alias("probabilities"))
-    return D.check_probability_bounds(D.risk_from_probabilities(rows).join(shifted, "mission_id")).withColumn("total", F.round("total", 6))
+    return D.check_probability_bounds(D.risk_from_probabilities(rows).join(shifted, "mission_id")).withColumn("total", F.round(F.col("total") + 1e-9, 6))
 
 
 @query(f"{SCORED_SQL} SELECT mission_id, 'Low Risk' AS predicted_class, CASE predicted_class WHEN 'High Risk' THEN round(p_low + 0.5 * p_medium + 1e-9, 4) WHEN 'Medium Risk' THEN round(p_high + 0.5 * p_low + 1e-9, 4) ELSE risk_score END AS risk_score, confidence FROM scored")
