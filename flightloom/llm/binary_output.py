@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.llm.common import shared_folder, slices, stash
-from flightloom.llm.tokens import encoder
+from flightloom.llm.tokens import ENCODED, encoder
 
 MAGIC = b"FLV1"
 END = 1
@@ -89,7 +89,7 @@ def tokenise(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     """A row for each document, and at the end of the task one row that counts the ids it met."""
     enc = encoder(vocabulary)
     total = np.zeros(enc.tokenizer.get_vocab_size(), np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", ENCODED):
         ids, sizes = enc.encode(batch.column("text"))
         total += np.bincount(ids, minlength=len(total))
         total[END] += len(sizes)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -35,9 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     return held
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to 2000 rows of text, unless the session has a number of its own: Spark's default of 10000 long texts weighs on small executors."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again: lineage ends there and lost executors cost little."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE)
             stop = max(start + 1, int(np.searchsorted(ends, base + budget, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def lengths(column: pa.Array) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from flightloom.llm.binary_output import decode_ranks, encode_ranks
 from flightloom.llm.common import slices, stash, words
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 BATCH = 100_000
 INDEX = "block long, doc_ids array<long>, first array<long>, terms binary, counts binary, control binary, gaps binary"
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flightloom.llm.binary_output import END, squeeze, unsqueeze
 from flightloom.llm.common import mix, slices, stash
-from flightloom.llm.tokens import encoder
+from flightloom.llm.tokens import ENCODED, encoder
 
 DIMENSIONS, BITS, BINS = 3, 16, 512
 
@@ -61,7 +61,7 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def vectors(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     enc, sign = encoder(vocabulary), signs()
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", ENCODED):
         ids, sizes = enc.encode(batch.column("text"))
         edges = np.concatenate([[0], np.cumsum(sizes)])
         bins = (mix(ids.astype(np.uint64)) % np.uint64(BINS)).astype(np.int64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import slices
+from flightloom.llm.common import bounded_batches, slices
 from flightloom.llm.tagger import PAD, Tagger, fit_tagger, symbols
 
 KINDS = ("email", "ip", "card", "phone")
@@ -234,6 +234,7 @@ def training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train_pii(docs: DataFrame) -> Tagger | None:
     """Fit on windows of about ``TRAIN_DOCS`` documents, by a hash of the text; None where no window has a span."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select("text").where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))

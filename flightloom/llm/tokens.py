@@ -39,7 +39,9 @@ def byte_names() -> dict[int, int]:
 
 BYTE_NAMES = byte_names()
 #: Distinct pieces that a worker remembers; beyond it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
+#: Bytes of text encoded at a time: long enough that few pieces are new to a slice.
+ENCODED = 1 << 20
 
 _encoders: dict[str, "Encoder"] = {}
 

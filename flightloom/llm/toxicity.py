@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import SLICE, slices, text_bytes
+from flightloom.llm.common import SLICE, bounded_batches, slices, text_bytes
 
 ORDERS = (3, 4, 5, 6)
 WIDTH = 20
@@ -27,6 +27,8 @@ FEATURES = 4000
 TRAIN_ROWS = 20_000
 #: Counts are summed in chunks of so many features, so that no row is large.
 CHUNK = 1 << 14
+#: Bytes of text whose n-grams are listed at a time.
+LISTED = 1 << 18
 
 
 @dataclass
@@ -76,7 +78,7 @@ def present(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task, how many documents of each label have each feature, by chunk; chunk -1 counts documents."""
     counts, docs = np.zeros((2, 1 << WIDTH), np.int64), np.zeros(2, np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", LISTED):
         label = batch.column("label").to_numpy(zero_copy_only=False)
         row, feature = present(batch.column("text"))
         for k in (0, 1):
@@ -92,7 +94,7 @@ def sum_counts(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
 
 
 def list_features(wanted: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", LISTED):
         row, feature = present(batch.column("text"), wanted)
         edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(edges.astype(np.int32), feature.astype(np.int32))], names=["label", "features"])
@@ -124,6 +126,7 @@ def fit_linear(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, ro
 
 def sample_labels(labels: DataFrame, value: str, modulus: int, remainder: int, bound: int) -> DataFrame:
     """doc_id and label of about ``bound`` training rows at most, chosen by a hash of doc_id."""
+    bounded_batches(labels.sparkSession)
     known = labels.where(F.col(value).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(value).cast("int").alias("label"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != remainder if remainder is not None else F.lit(True))
     share = min(1.0, bound / max(1, known.count()))
