@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("long")
-def simhash(texts: pd.Series) -> pd.Series:
+def votes(texts: pd.Series) -> pd.Series:
     """Each lower-case token votes with the bits of its 64-bit hash; a bit is set where more tokens have it than not."""
     out = np.zeros(len(texts), np.uint64)
     for i, text in enumerate(texts):
@@ -20,6 +19,11 @@ def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64))
 
 
+def simhash(text: str) -> Column:
+    """Fingerprints of a text column, as signed 64-bit numbers."""
+    return F.pandas_udf(votes, "long")(F.col(text))
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
