@@ -45,7 +45,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_no_cartesian_plan_and_no_global_window(spark, sf_dir):
-    for name in ("decide", "assemble_raw_features", "bm25_topk", "structural_veto", "feature_queries"):
-        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "SinglePartition, ENSURE" not in plan.replace("Exchange SinglePartition, ENSURE_REQUIREMENTS, [plan_id", "x"), name
+@pytest.mark.parametrize("name", ["decide", "assemble_raw_features", "bm25_topk", "structural_veto", "feature_queries", "diversify"])
+def test_no_cartesian_plan_and_no_single_task(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "Exchange SinglePartition" not in plan
