@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom import bindings as B
-from flightloom import schemas as S
 from flightloom.operators import validate as V
 from flightloom.plans.registry import query
 
