@@ -1,11 +1,10 @@
-"""Passages that repeat across documents, by a sparse suffix array over words.
-
-Of each document only suffixes at content-selected places are kept: the least hash of KEY words in every window of
-LEAST words, so any two copies of a passage of LEAST words hold a common place. Suffixes whose KEY words begin no
-suffix of another document are dropped at once. The rest are sorted by the words that follow (and once more by the
-words before, read backwards), each is compared with its neighbours of other documents, and the match is extended to
-the left and to the right. Matches of LEAST words or more are repeated passages; a passage longer than a suffix's
-context is joined from the matches of its places.
+"""Passages that repeat across documents, by the windows of LEAST words that two documents share.
+
+Each window has a place: the least hash of KEY words in it, the first of equals. Equal windows have equal places, so a
+window can only repeat if the key of its place does, and places whose key begins in no other document are dropped at
+once. The windows of one place form a run. Where all runs of a key hold the same words, they repeat as they are; of
+the other keys every window is hashed whole and two documents that hold one hash share it. That is exact but for
+collisions of 64-bit hashes, makes no pairs and compares no neighbours. Touching windows are joined to passages.
 """
 
 from __future__ import annotations
@@ -13,141 +12,85 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import BASE, BASE_INVERSE, mix, owners, slices, stash, words
+from flightloom.llm.common import BASE, BASE_INVERSE, mix, owners, ranges, slices, stash, words
 
 LEAST, KEY = 50, 26
 WINDOW = LEAST - KEY + 1
-#: Words of context on either side of the key.
-SIDE = LEAST - KEY
-WIDE = 4 * SIDE
-
-
-def places(terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Selected places (word numbers of the slice) in order, and the hash of the KEY words there."""
-    n = len(terms)
-    if n < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up = np.full(n + 1, BASE, np.uint64)
-    down = np.full(n + 1, BASE_INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms * up[:n], dtype=np.uint64)])
-    grams = mix((sums[KEY:] - sums[:-KEY]) * down[: n - KEY + 1])
-    best = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n - LEAST + 1)
-    room = np.repeat(first[1:], np.diff(first))[: n - LEAST + 1]
-    picked = np.zeros(n, bool)
-    picked[best[np.arange(n - LEAST + 1) + LEAST <= room]] = True
-    at = np.flatnonzero(picked)
-    return at, grams[at].view(np.int64)
-
-
-def list_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+
+class Runs:
+    """Of the words of a slice: places in order with the hash of the KEY words there, and each one's run, the windows ``start`` .. ``start + count - 1``."""
+
+    def __init__(self, terms: np.ndarray, first: np.ndarray):
+        n = len(terms)
+        self.at = self.start = self.count = np.zeros(0, np.int64)
+        self.sums, self.down = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+        if n < LEAST:
+            return
+        up = np.full(n + 1, BASE, np.uint64)
+        down = np.full(n + 1, BASE_INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms * up[:n], dtype=np.uint64)])
+        grams = self.hashes(np.arange(n - KEY + 1), KEY)
+        best = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n - LEAST + 1)
+        room = np.repeat(first[1:], np.diff(first))[: n - LEAST + 1]
+        valid = np.flatnonzero(np.arange(n - LEAST + 1) + LEAST <= room)
+        # places don't go back as windows go on, and no window crosses an end of a text
+        self.at, begin, self.count = np.unique(best[valid], return_index=True, return_counts=True)
+        self.start = valid[begin]
+
+    def hashes(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mix((self.sums[start + length] - self.sums[start]) * self.down[start] + np.asarray(length).astype(np.uint64))
+
+    def keys(self) -> np.ndarray:
+        return self.hashes(self.at, KEY).view(np.int64)
+
+    def blocks(self) -> np.ndarray:
+        """Hashes of all words of each run."""
+        return self.hashes(self.start, self.count + LEAST - 1).view(np.int64)
+
+
+def list_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         _, _, _, terms, first = words(batch.column("text"))
-        at, keys = places(terms, first)
-        row = np.searchsorted(first, at, side="right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column("uid").to_numpy(zero_copy_only=False)[row]), pa.array((at - first[row]).astype(np.int32))], names=["key", "uid", "place"])
+        runs = Runs(terms, first)
+        row = np.searchsorted(first, runs.at, side="right") - 1
+        numbers = [pa.array((x - y).astype(np.int32)) for x, y in ((runs.at, first[row]), (runs.start, first[row]), (runs.count, 0))]
+        yield pa.RecordBatch.from_arrays([pa.array(runs.keys()), pa.array(runs.blocks()), batch.column("uid").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), *numbers], names=PLACE_NAMES)
 
 
-def add_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words after each suffix's key, and those before it from the nearest on, as hashes; past an end of the text there are values of its own."""
+PLACES = "key long, block long, uid long, doc_id long, place int, start int, count int"
+PLACE_NAMES = [x.split()[0] for x in PLACES.split(", ")]
+
+
+def list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and first word of each window of the listed places."""
     for batch in slices(batches, "text"):
         _, _, _, terms, first = words(batch.column("text"))
-        short = np.concatenate([(terms >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.uint32)])
-        listed = batch.column("suffixes")
-        row = owners(np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))]))
-        flat = listed.flatten()
-        key, place = flat.field("key"), flat.field("place").to_numpy(zero_copy_only=False).astype(np.int64)
-        uid = batch.column("uid").to_numpy(zero_copy_only=False)[row]
-        lead = first[row] + place
-        own = mix(uid.view(np.uint64)[:, None] + np.arange(2 * SIDE, dtype=np.uint64)).astype(np.uint32)
-        after = lead[:, None] + KEY + np.arange(SIDE)
-        before = lead[:, None] - 1 - np.arange(SIDE)
-        right = np.where(after < first[row + 1][:, None], short[np.minimum(after, len(terms))], own[:, :SIDE])
-        left = np.where(before >= first[row][:, None], short[np.maximum(before, 0)], own[:, SIDE:])
-        pack = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, WIDE * (len(x) + 1), WIDE, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x.astype(">u4")))])
-        yield pa.RecordBatch.from_arrays([key, pack(right), pack(left), pa.array(uid), batch.column("doc_id").take(pa.array(row)), pa.array(place.astype(np.int32))], names=["key", "after", "before", "uid", "doc_id", "place"])
-
-
-def same_length(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    differ = x != y
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), SIDE)
-
-
-def compare_neighbours(key: np.ndarray, after: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, words to the left, words to the right) of matches of sorted rows with the nearest rows of other documents; and the run of each row."""
-    n = len(key)
-    new = np.ones(n, bool)
-    new[1:] = (low[1:] != high[1:]) | (low[:-1] != high[:-1]) | (low[1:] != low[:-1])
-    run = np.cumsum(new) - 1
-    starts = np.append(np.flatnonzero(new), n)
-    found = []
-    for other in (starts[run] - 1, starts[run + 1]):
-        ok = np.flatnonzero((other >= 0) & (other < n))
-        ok = ok[key[other[ok]] == key[ok]]
-        to = other[ok]
-        a, b = same_length(before[ok], before[to]), same_length(after[ok], after[to])
-        long = a + b >= SIDE
-        found.append(np.stack([ok[long], a[long], b[long]]))
-    return (*np.concatenate(found, axis=1), run)
-
-
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches within a task's sorted rows; and (edge not null) its first and last runs, with the row beyond each, for the seams between tasks."""
-    held = pa.Table.from_batches(list(batches))
-    if not held.num_rows:
-        return
-    held = held.combine_chunks()
-    arrays = unpack(held)
-    row, a, b, run = compare_neighbours(*arrays)
-    name = held.column("name").to_numpy()
-    n, part = len(name), TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays([pa.array(name[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *(pa.nulls(len(row), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=MATCH_NAMES)
-    edge = np.unique(np.concatenate([np.flatnonzero(run <= 1)[: int((run == 0).sum()) + 1], np.flatnonzero(run >= run[-1] - 1)[-int((run == run[-1]).sum()) - 1 :]]))
-    pick = held.take(pa.array(edge))
-    yield pa.RecordBatch.from_arrays([pick.column("name").combine_chunks(), pa.array(np.zeros(len(edge), np.int32)), pa.array(np.zeros(len(edge), np.int32)), pa.array((part << 32) + edge), *(pick.column(x).combine_chunks() for x in ("key", "after", "before", "low", "high"))], names=MATCH_NAMES)
-
-
-MATCH_NAMES = ["name", "a", "b", "edge", "key", "after", "before", "low", "high"]
-MATCHES = "name long, a int, b int, edge long, key long, after binary, before binary, low long, high long"
-
-
-def unpack(held) -> tuple[np.ndarray, ...]:
-    wide = lambda x: np.frombuffer(b"".join(held[x].to_pylist()), ">u4").reshape(-1, SIDE)
-    return held["key"].to_numpy(), wide("after"), wide("before"), held["low"].to_numpy(), held["high"].to_numpy()
-
-
-def sorted_matches(contexts: DataFrame, first: str, second: str) -> DataFrame:
-    """name, a, b of matches found with the suffixes sorted by key and ``first``; the sort goes on to ``second``, so no key is bound to one task."""
-    ordered = contexts.repartitionByRange("key", first, second).sortWithinPartitions("key", first, second)
-    found = stash(ordered.select("name", "key", "after", "before", "low", "high").mapInArrow(neighbours, MATCHES), "matches")
-    edges = found.where("edge is not null").orderBy("edge").toArrow()  # a few rows of each task
-    more = pd.DataFrame({"name": pd.Series(dtype="int64"), "a": pd.Series(dtype="int32"), "b": pd.Series(dtype="int32")})
-    if edges.num_rows:
-        row, a, b, _ = compare_neighbours(*unpack(edges.combine_chunks()))
-        more = pd.DataFrame({"name": edges.column("name").to_numpy()[row], "a": a.astype("int32"), "b": b.astype("int32")})
-    seams = contexts.sparkSession.createDataFrame(more, "name long, a int, b int")
-    return found.where("edge is null").select("name", "a", "b").unionByName(seams)
+        runs = Runs(terms, first)
+        listed = batch.column("places")
+        lead = first[owners(np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))]))] + listed.flatten().to_numpy(zero_copy_only=False)
+        pick = np.flatnonzero(np.isin(runs.at, lead))
+        at = ranges(runs.start[pick], runs.count[pick])
+        row = np.searchsorted(first, at, side="right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(runs.hashes(at, LEAST).view(np.int64)), batch.column("uid").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), pa.array((at - first[row]).astype(np.int32))], names=["hash", "uid", "doc_id", "start"])
 
 
 def join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out_s, out_e = [], []
-        for spans in batch.column("spans").to_pylist():
-            merged: list[list[int]] = []
-            for a, b in sorted((x["a"], x["b"]) for x in spans):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            out_s.append([a for a, _ in merged])
-            out_e.append([b for _, b in merged])
+        for spans in batch.column("spans"):
+            a, b = (spans.values.field(x).to_numpy(zero_copy_only=False) for x in "ab")
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            new = np.flatnonzero(a[1:] > b[:-1]) + 1
+            out_s.append(a[np.concatenate([[0], new])])
+            out_e.append(b[np.concatenate([new - 1, [-1]])])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out_s, pa.list_(pa.int32())), pa.array(out_e, pa.list_(pa.int32()))], names=["doc_id", "starts", "ends"])
 
 
@@ -159,15 +102,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Only doc_id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").withColumn("uid", F.xxhash64("doc_id", "text"))
-    suffixes = stash(rows.select("uid", "text").mapInArrow(list_suffixes, "key long, uid long, place int"), "suffixes")
-    shared = suffixes.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("key")
-    by_text = suffixes.join(shared, "key").groupBy("uid").agg(F.collect_set(F.struct("key", "place")).alias("suffixes"))
-    near = rows.join(by_text, "uid").select("uid", "doc_id", "text", "suffixes")
-    held = stash(near.mapInArrow(add_context, "key long, after binary, before binary, uid long, doc_id long, place int").withColumn("name", F.xxhash64("key", "after", "before")), "contexts")
-    contexts = stash(held.groupBy("name").agg(F.min("key").alias("key"), F.min("after").alias("after"), F.min("before").alias("before"), F.min("uid").alias("low"), F.max("uid").alias("high")), "distinct-contexts")
-    whole = contexts.where("low < high").select("name", F.lit(SIDE).alias("a"), F.lit(SIDE).alias("b"))
-    matches = sorted_matches(contexts, "after", "before").unionByName(sorted_matches(contexts, "before", "after")).unionByName(whole).distinct()
-    spans = held.select("name", "uid", "doc_id", "place").join(matches, "name").select("uid", "doc_id", F.struct((F.col("place") - F.col("a")).alias("a"), (F.col("place") + KEY + F.col("b")).alias("b")).alias("span"))
+    places = stash(rows.mapInArrow(list_places, PLACES), "places")
+    # stashed, so that the joins' sides are plain scans and Spark can split a hot key
+    keys = stash(places.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), (F.min("block") == F.max("block")).alias("same")).where("low < high").select("key", "same"), "shared-keys")
+    known = stash(places.join(keys, "key").select("uid", "doc_id", "place", "start", "count", "same"), "shared-places")
+    mixed = known.where("not same").groupBy("uid").agg(F.collect_set("place").alias("places"))
+    windows = stash(rows.join(mixed, "uid").select("uid", "doc_id", "text", "places").mapInArrow(list_windows, "hash long, uid long, doc_id long, start int"), "windows")
+    repeated = stash(windows.groupBy("hash").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("hash"), "shared-windows")
+    span = lambda count: F.struct(F.col("start").alias("a"), (F.col("start") + count + (LEAST - 1)).alias("b")).alias("span")
+    spans = known.where("same").select("uid", "doc_id", span(F.col("count"))).unionByName(windows.join(repeated, "hash").select("uid", "doc_id", span(F.lit(1))))
     return spans.groupBy("uid", "doc_id").agg(F.collect_set("span").alias("spans")).select("doc_id", "spans").mapInArrow(join_spans, "doc_id long, starts array<int>, ends array<int>")
 
 

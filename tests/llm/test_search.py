@@ -146,6 +146,22 @@ def test_repeated_passages(spark, rows, nothing):
     assert repeated_passages(nothing).count() == 0
 
 
+def test_passages_between_partial_copies(spark):
+    """Two documents share 52 words; many others hold the first 48 of them or the last 48, and stand between the two in every order."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**7, n)]
+    texts, whole = [], set()
+    for _ in range(5):
+        shared = word(52)
+        for part in [shared] * 2 + [shared[:48], shared[4:]] * 15:
+            if part is shared:
+                whole.add(len(texts))
+            texts.append(" ".join(word(40) + part + word(40)))
+    table = list(enumerate(texts))
+    got = {x["doc_id"]: x["spans"] for x in passage_report(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == passages_by_brute_force(table) and set(got) == whole
+
+
 def test_long_and_periodic_texts(documents):
     assert {x["doc_id"] for x in repeated_passages(documents.where("doc_id >= 90000")).collect()} == set()
 
