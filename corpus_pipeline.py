@@ -45,7 +45,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids, documents in the order of the curve."""
+    """Pieces of sequences of 2048 ids with their ids, documents in the order of the curve."""
     return pack_along_curve(docs)
 
 

@@ -75,29 +75,42 @@ def vectors(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 
 def cut(length: int, starts: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of rows that come by bucket and in the order of the curve."""
+    """Pieces of rows that come by bucket and in the order of the curve, each with its ids as little-endian u4."""
     bucket, at = -1, 0
+    out: list[tuple] = []
+    held = 0
     for batch in batches:
-        out: list[tuple] = []
-        for doc_id, b, held in zip(batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist(), batch.column("ids")):
+        for doc_id, b, squeezed in zip(batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist(), batch.column("ids")):
             if b != bucket:
                 bucket, at = b, starts[b]
-            raw = memoryview(unsqueeze(held.as_py()).tobytes())
+            raw = unsqueeze(squeezed.as_py()).tobytes()
             n, start = len(raw) // 4, 0
             while start < n:
                 size = min(n - start, length - at % length)
-                out.append((doc_id, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n, at // length, at % length))
+                out.append((doc_id, start, size, n, at // length, at % length, raw[4 * start : 4 * (start + size)]))
                 start += size
                 at += size
-        yield pa.RecordBatch.from_pylist([dict(zip(PIECES.names, x)) for x in out], schema=PIECES) if len(out) < 1 else pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=PIECES)
+                held += 4 * size
+                if held >= OUT_BYTES:
+                    yield pieces(out)
+                    out, held = [], 0
+    if out:
+        yield pieces(out)
 
 
-PIECES = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+def pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), PIECES.types)], schema=PIECES)
+
+
+#: Bytes of ids in a record batch of pieces, and a piece more at most.
+OUT_BYTES = 1 << 22
+PIECES = pa.schema([*((x, pa.int64()) for x in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
 
 def pack_along_curve(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = 2048) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids, packed as little-endian u4.
 
+    The pieces of a sequence_id, their ids joined in the order of offset, are the sequence; ids_crc32 is taken from ids.
     A null or empty text is the end id alone. Equal texts lie side by side; among equal keys the order is by a hash of
     doc_id, then the ids' crc, so a key that holds a third of all rows is still dealt over many buckets. Repeated rows
     are packed as often as they occur, a null doc_id stays null, an empty table gives no piece. Only doc_id and text
@@ -126,4 +139,6 @@ def pack_along_curve(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", len
         return pd.Series([bisect.bisect_right(edges, x) for x in zip(k.tolist(), t.tolist())], dtype="int32")
 
     placed = keyed.select("doc_id", "key", "tie", "crc", "ids", bucket("key", "tie").alias("bucket"))
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "key", "tie", "crc").select("doc_id", "bucket", "ids").mapInArrow(partial(cut, length, starts), ", ".join(f"{x} long" for x in PIECES.names))
+    return placed.repartition("bucket").sortWithinPartitions("bucket", "key", "tie", "crc").select("doc_id", "bucket", "ids").mapInArrow(partial(cut, length, starts), ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in PIECES.names)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids"
+    )

@@ -28,7 +28,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_along_curve(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2048)
+    """The pieces without their ids; ids_crc32 stands for them."""
+    return pack_along_curve(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2048).drop("ids")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,11 @@ def test_stages_one_by_one(spark, sf_dir, documents):
             assert x.text == before[x.doc_id]
 
 
+def test_the_last_stage_keeps_ids(spark):
+    docs = spark.createDataFrame([(1, "some words", "en", "s", 10), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert all(len(x.ids) == 4 * x.length > 0 for x in C.pack(spark, docs, "").collect())
+
+
 def test_run(spark, sf_dir):
     got = C.run(spark, sf_dir).toPandas()
     assert len(got) and set(got.columns) >= {"doc_id", "sequence_id", "offset", "length"}

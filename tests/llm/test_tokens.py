@@ -69,6 +69,17 @@ def test_packing(spark, documents, rows):
     assert (ordered["offset"] + ordered["length"]).max() <= 2048
 
 
+def test_sequences_can_be_built(spark):
+    texts = ["one two three " * n for n in (1, 40, 7, 0, 300)]
+    got = P.pack_along_curve(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES, 64).toPandas().sort_values(["sequence_id", "offset"])
+    sequences = [np.frombuffer(b"".join(map(bytes, x)), "<u4").tolist() for _, x in got.groupby("sequence_id")["ids"]]
+    assert [len(x) for x in sequences[:-1]] == [64] * (len(sequences) - 1)
+    stream = [y for x in sequences for y in x]
+    want = plain(BYTES, texts)
+    assert stream == [y for d in got["doc_id"].drop_duplicates() for y in [*want[d], 1]]
+    assert got["ids_crc32"].tolist() == [zlib.crc32(bytes(x)) for x in got["ids"]]
+
+
 def test_empty_tables(spark, nothing):
     assert O.read_token_files(spark, O.write_token_files(nothing, WORDS)).count() == 0
     assert P.pack_along_curve(nothing, BYTES).count() == 0
