@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import stash, table
+from flightloom.llm.common import forget, scratch, stash, table
 from flightloom.llm.decontamination import contamination
 from flightloom.llm.near_dedup import near_classes
 from flightloom.llm.packing import pack_along_curve
@@ -62,7 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn; what a stage wrote for itself is deleted when its result is written, the result when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs = stash(stage(spark, docs, sf_dir), name)
+            result = made.pop()
+        forget(spark, before)
+        before = [result]
     return docs

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +28,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset: a folder of our own in local mode, an error on a cluster, whose machines share no local folder."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = tempfile.mkdtemp(prefix="flightloom-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to 2000 rows of text, unless the session has a number of its own: Spark's default of 10000 long texts weighs on small executors."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Arrow batches hold 2000 rows of text unless the session has a number of its own: Spark's default of 10000 long texts weighs on small executors."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "2000" if held == "10000" else held)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Lists the tables that are stashed within. On leaving, those still listed are deleted: take off what is read later."""
+    held: list[str] = []
+    _made.append(held)
+    try:
+        yield held
+    finally:
+        _made.remove(held)
+        forget(spark, held)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    for x in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(x)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it again: lineage ends there and lost executors cost little."""
     spark = df.sparkSession
-    bounded_batches(spark)
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    for held in _made:
+        held.append(path)
+    with bounded_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,11 +125,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, which: str) -> np.ndarray:
+    """Powers of BASE or of its inverse; those of a slice are kept, those that one very long text needs are not."""
     have = _powers[which]
     if len(have) < n:
         step = np.full(max(n, SLICE + 1), BASE if which == "up" else BASE_INVERSE, np.uint64)
         step[0] = 1
-        have = _powers[which] = np.cumprod(step, dtype=np.uint64)
+        have = np.cumprod(step, dtype=np.uint64)
+        if n <= 2 * SLICE:
+            _powers[which] = have
     return have[:n]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import stash
+from flightloom.llm.common import forget, scratch, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,18 +14,24 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star rounds: each brings nodes nearer to the smallest of their neighbourhood, by one
     aggregation and one join on a node, and the rounds end when no link changes. Links are written between rounds.
     """
-    links = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    seen = None
-    while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        links = stash(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
-        now = tuple(links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.max("a")).first())
-        if now == seen:
-            break
-        seen = now
+    spark = links.sparkSession
+    with scratch(spark) as made:
+        links = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+        seen = None
+        while True:
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a")
+            links = stash(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+            forget(spark, made[:-1])
+            del made[:-1]
+            # 192 bits and a count: tables that differ and agree in all are out of the question
+            now = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a")), F.sum(F.xxhash64("a", "b", F.lit(1)).cast("decimal(38,0)"))).first())
+            if now == seen:
+                break
+            seen = now
+        made.clear()
     roots = links.select("b").distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("component")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import mix, owners, runs, slices, span_hashes, text_bytes
+from flightloom.llm.common import bounded_batches, mix, owners, runs, slices, span_hashes, text_bytes
 from flightloom.llm.tokens import PLAIN_SPACE
 from flightloom.llm.toxicity import by_slices, fold, sample_labels
 
@@ -188,7 +188,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out
     """Fit on labelled rows whose crc32(doc_id) mod ``modulus`` isn't ``held_out``, sampled to about ``bound``; None without both labels."""
     sample = sample_labels(labels, "quality", modulus, held_out, bound)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # at most ``bound`` ids, 16 bytes each
-    held = rows.mapInArrow(list_passages, "doc_id long, label int, passages binary").toPandas().sort_values(["doc_id", "label", "passages"])
+    with bounded_batches(docs.sparkSession):
+        held = rows.mapInArrow(list_passages, "doc_id long, label int, passages binary").toPandas().sort_values(["doc_id", "label", "passages"])
     if held["label"].nunique() < 2:
         return None
     bags = [np.frombuffer(x, "<f4").reshape(-1, COUNTED + BUCKETS) for x in held["passages"]]

@@ -126,7 +126,6 @@ def fit_linear(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, ro
 
 def sample_labels(labels: DataFrame, value: str, modulus: int, remainder: int, bound: int) -> DataFrame:
     """doc_id and label of about ``bound`` training rows at most, chosen by a hash of doc_id."""
-    bounded_batches(labels.sparkSession)
     known = labels.where(F.col(value).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(value).cast("int").alias("label"))
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != remainder if remainder is not None else F.lit(True))
     share = min(1.0, bound / max(1, known.count()))
@@ -141,7 +140,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_ou
     """
     sample = sample_labels(labels, "toxic", modulus, held_out, bound)
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")  # at most ``bound`` ids, 16 bytes each
-    held = rows.mapInArrow(count_features, "chunk long, counts binary").groupBy("chunk").applyInPandas(sum_counts, "chunk long, counts binary").toPandas()
+    with bounded_batches(docs.sparkSession):
+        held = rows.mapInArrow(count_features, "chunk long, counts binary").groupBy("chunk").applyInPandas(sum_counts, "chunk long, counts binary").toPandas()
     parts = {int(k): np.frombuffer(x, np.int64) for k, x in zip(held["chunk"], held["counts"])}
     if not parts or not (docs_by := parts.pop(-1)).all():
         return ToxicityModel(np.zeros(1 << WIDTH, np.float32), -40.0)
@@ -151,7 +151,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_ou
     kept = np.sort(np.argsort(-chi_square(with_1, with_0, n1, n0), kind="stable")[:FEATURES])
     wanted = np.zeros(1 << WIDTH, bool)
     wanted[kept] = True
-    listed = rows.mapInArrow(partial(list_features, wanted), "label int, features array<int>").toPandas()
+    with bounded_batches(docs.sparkSession):
+        listed = rows.mapInArrow(partial(list_features, wanted), "label int, features array<int>").toPandas()
     w, bias = fit_linear([np.searchsorted(kept, x) for x in listed["features"]], listed["label"].to_numpy(float), ratio[kept])
     weights = np.zeros(1 << WIDTH, np.float32)
     weights[kept] = w * ratio[kept]
