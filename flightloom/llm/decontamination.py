@@ -65,8 +65,11 @@ def cut_phrases(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["item_id", "terms"])
 
 
-def find_phrases(phrases: list[np.ndarray], held: dict, slack: int = 0) -> list[tuple[int, np.ndarray]]:
-    """(phrase, places where it begins) of a block, by intersecting shifted posting lists from the rarest on."""
+def find_phrases(phrases: list[np.ndarray], held: dict, slack: int = 0) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(phrase, where its words begin, where they end) of a block, by intersecting shifted posting lists from the rarest on.
+
+    All words of a match lie in one document. With slack, each word is the nearest to its place from the rarest word.
+    """
     terms, counts = np.frombuffer(held["terms"], "<u8"), np.frombuffer(held["counts"], "<u4").astype(np.int64)
     if not len(terms) or not phrases:
         return []
@@ -84,26 +87,30 @@ def find_phrases(phrases: list[np.ndarray], held: dict, slack: int = 0) -> list[
     out = []
     for k in likely.tolist():
         own = spot[edges[k] : edges[k + 1]]
-        left: np.ndarray | None = None
-        for offset in np.argsort(counts[own], kind="stable").tolist():
-            t = own[offset]
-            a, b = ends[t] - counts[t], ends[t]
-            places = sums[a + 1 : b + 1] - sums[a] - offset
-            if left is None:
-                left = places
-            elif slack:
-                near = np.minimum(np.searchsorted(places, left - slack), len(places) - 1)
-                left = left[np.abs(places[near] - left) <= slack]
-            else:
-                near = np.minimum(np.searchsorted(places, left), len(places) - 1)
-                left = left[places[near] == left]
-            if not len(left):
+        order = np.argsort(counts[own], kind="stable").tolist()
+        posted = lambda offset: sums[ends[own[offset]] - counts[own[offset]] + 1 : ends[own[offset]] + 1] - sums[ends[own[offset]] - counts[own[offset]]]
+        rarest = posted(order[0])
+        doc = np.searchsorted(first, rarest, side="right")
+        begin, end = first[doc - 1], first[doc]  # of the rarest word's document
+        start = rarest - order[0]
+        low, high = rarest.copy(), rarest.copy()
+        alive = np.ones(len(start), bool)
+        for offset in order[1:]:
+            places = posted(offset)
+            wanted = start + offset
+            after = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+            before = np.maximum(after - 1, 0)
+            near = places[np.where(np.abs(places[before] - wanted) < np.abs(places[after] - wanted), before, after)]
+            if slack:  # the nearest may lie in another document, the other one not
+                other = places[np.where(near == places[after], before, after)]
+                near = np.where((near >= begin) & (near < end), near, other)
+            fits = (np.abs(near - wanted) <= slack) & (near >= begin) & (near < end)
+            alive &= fits
+            if not alive.any():
                 break
-        if len(left):  # within one document
-            doc = np.searchsorted(first, left, side="right")
-            left = left[(left >= 0) & (doc < len(first)) & (left + len(own) <= first[np.minimum(doc, len(first) - 1)])]
-            if len(left):
-                out.append((k, left))
+            low, high = np.minimum(low, near), np.maximum(high, near)
+        if alive.any():
+            out.append((k, low[alive], high[alive] + 1))
     return out
 
 
@@ -117,9 +124,9 @@ def search_blocks(sent, slack: int, every: bool, batches: Iterator[pa.RecordBatc
             first, n = np.asarray(held["first"]), len(held["doc_ids"])
             covers: dict[int, list[tuple[int, int]]] = {}
             found: dict[int, set[str]] = {}
-            for k, places in find_phrases(phrases, held, slack):
-                for doc, place in zip((np.searchsorted(first, places, side="right") - 1).tolist(), places.tolist()):
-                    covers.setdefault(doc, []).append((place - int(first[doc]), place - int(first[doc]) + len(phrases[k])))
+            for k, starts, ends in find_phrases(phrases, held, slack):
+                for doc, a, b in zip((np.searchsorted(first, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist()):
+                    covers.setdefault(doc, []).append((a - int(first[doc]), b - int(first[doc])))
                     found.setdefault(doc, set()).add(str(items[k]))
             docs = range(n) if every else sorted(covers)
             merged = [merge(covers.get(d, [])) for d in docs]
