@@ -24,6 +24,8 @@ from flightloom.llm.common import mix, slices, stash
 from flightloom.llm.tokens import ENCODED, encoder
 
 DIMENSIONS, BITS, BINS = 3, 16, 512
+#: Ids that a task cuts into pieces, on average; there are as many tasks as that takes.
+TASK_IDS = 8_000_000
 
 
 def signs() -> np.ndarray:
@@ -119,8 +121,9 @@ def pack_along_curve(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", len
     spark = docs.sparkSession
     encoded = stash(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(vectors, vocabulary), "doc_id long, v0 double, v1 double, v2 double, n long, crc long, ids binary"), "vectors")
     axes = [f"v{i}" for i in range(DIMENSIONS)]
-    spread = encoded.agg(*(F.avg(x) for x in axes), *(F.stddev_pop(x) for x in axes)).first()
-    mean, deviation = np.array([x or 0.0 for x in spread[:DIMENSIONS]]), np.array([x or 1.0 for x in spread[DIMENSIONS:]])
+    spread = encoded.agg(*(F.avg(x) for x in axes), *(F.stddev_pop(x) for x in axes), F.sum("n")).first()
+    mean, deviation = np.array([x or 0.0 for x in spread[:DIMENSIONS]]), np.array([x or 1.0 for x in spread[DIMENSIONS : 2 * DIMENSIONS]])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(spread[-1] or 0) // TASK_IDS))
 
     @F.pandas_udf("long")
     def key(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
@@ -129,7 +132,7 @@ def pack_along_curve(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", len
         return pd.Series(hilbert_key(np.clip(even * (1 << BITS), 0, (1 << BITS) - 1)))
 
     keyed = encoded.withColumn("key", key(*axes)).withColumn("tie", F.xxhash64("doc_id"))
-    dealt = keyed.select("key", "tie", "n").repartitionByRange(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "tie").withColumn("part", F.spark_partition_id())
+    dealt = keyed.select("key", "tie", "n").repartitionByRange(4 * tasks, "key", "tie").withColumn("part", F.spark_partition_id())
     found = sorted((x.first.key, x.first.tie, x.n) for x in dealt.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("first"), F.sum("n").alias("n")).collect())
     edges = [x[:2] for x in found[1:]]
     starts = np.concatenate([[0], np.cumsum([x[2] for x in found])]).astype(int).tolist()
@@ -139,6 +142,6 @@ def pack_along_curve(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", len
         return pd.Series([bisect.bisect_right(edges, x) for x in zip(k.tolist(), t.tolist())], dtype="int32")
 
     placed = keyed.select("doc_id", "key", "tie", "crc", "ids", bucket("key", "tie").alias("bucket"))
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "key", "tie", "crc").select("doc_id", "bucket", "ids").mapInArrow(partial(cut, length, starts), ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in PIECES.names)).select(
+    return placed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key", "tie", "crc").select("doc_id", "bucket", "ids").mapInArrow(partial(cut, length, starts), ", ".join(f"{x} {'binary' if x == 'ids' else 'long'}" for x in PIECES.names)).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids"
     )
