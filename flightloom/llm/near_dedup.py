@@ -28,8 +28,9 @@ from flightloom.llm.components import components
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 5, 25
 REGISTERS = ROWS * BANDS
-#: Pairs whose registers agree less than this aren't verified: 0.8 less over three deviations of 125 registers.
-LOOKS_NEAR = 0.68
+#: Pairs whose registers agree less than this aren't verified: 0.8 less five and a half deviations of 125 registers, so of
+#: pairs at 0.8 one in ten million is passed over, far fewer than share no band.
+LOOKS_NEAR = 0.6
 #: Members of a bucket that one task compares with as many.
 CELL = 512
 
