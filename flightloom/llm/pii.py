@@ -1,9 +1,13 @@
 """Personal data: base patterns, and further spans by a character tagger (see tagger.py) trained on labelled spans.
 
 Each kind holds a digit, an at sign or a bracketed "at"; the tagger reads all text within ``AROUND`` characters of one,
-in overlapping windows. Every character takes its tag from the window in which it lies farthest from an edge, and
-spans are read off the tags of the whole region. A span so found is added if it has the kind's form and touches no
-base span. Training windows are labelled by the base patterns, as found and rewritten in forms that these miss.
+in overlapping windows (to read every character costs more than an operator may take, see the README). Every character
+takes its tag from the window in which it lies farthest from an edge, and spans are read off the tags of the whole
+region. A span so found is added if its digits can be of the kind and it touches no base span.
+
+The training texts are windows of the corpus. Labelled spans come from templates of many written forms, most of which
+no base pattern takes, put between words of these windows; and from what the base patterns find there. All other
+numbers of the corpus teach the tagger what to leave alone.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+TRIGGER = re.compile(r"[0-9@]|[\[({] ?at ?[\])}]", re.I)
 AROUND, WINDOW, STRIDE = 32, 64, 32
 #: Documents sampled for training, and windows at most used of them.
 TRAIN_DOCS, TRAIN_WINDOWS = 20_000, 4_000
@@ -94,15 +98,10 @@ def cut_windows(text: str, starts: list[int], end: int) -> np.ndarray:
 
 
 def reconcile(starts: list[int], tags: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Tags of a region: each character's from the window in which it lies farthest from an edge, the earlier on a tie."""
-    at = np.arange(a, b)
-    s = np.array(starts)
-    depth = np.minimum(at[None, :] - s[:, None], s[:, None] + WINDOW - 1 - at[None, :]) if len(s) < 64 else None
-    if depth is not None:
-        best = depth.argmax(axis=0)
-    else:
-        best = np.clip((at - a - WINDOW // 4 - 1) // STRIDE, 0, len(s) - 1)
-    return tags[best, np.clip(at - s[best], 0, WINDOW - 1)]
+    """Tags of a region: each character's from the window in which it lies farthest from an edge. Two windows at most hold it."""
+    at = np.arange(b - a)
+    best = np.clip((at - STRIDE // 2) // STRIDE, 0, len(starts) - 1)
+    return tags[best, at - best * STRIDE]
 
 
 def read_spans(tags: np.ndarray, a: int, text: str) -> list[Span]:
@@ -126,16 +125,17 @@ def read_spans(tags: np.ndarray, a: int, text: str) -> list[Span]:
     return trimmed
 
 
-def well_formed(kind: int, held: str) -> bool:
-    digits = plain_digits(held)
+def plausible(kind: int, held: str) -> bool:
+    """Whether the digits of a span can be of its kind, however they are written; of an address, whether it has a name, an at and a dot."""
+    digits, numbers = plain_digits(held), re.findall("[0-9]+", held)
     if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:\s?(?:\.|\[dot\]|\(dot\))\s?[\w-]+)+", held))
+        name, at, place = re.split(r"(@|\bat\b)", held, maxsplit=1, flags=re.I) if re.search(r"@|\bat\b", held, re.I) else (held, "", "")
+        return bool(at and re.search(r"\w", name) and re.search(r"\w.*(?:\.|\bdot\b).*\w", place, re.I))
     if kind == 1:
-        parts = re.split(r"\[\.\]|\(\.\)|\.", held)
-        return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
     if kind == 2:
-        return bool(re.fullmatch(r"[0-9](?:[ ./-]?[0-9])+", held)) and 16 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"(?:00[0-9]|\(0?[0-9]{2,4}\))[\x20().0-9/-]+[0-9]", held)) and 8 <= len(digits) <= 15
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return 8 <= len(digits) <= 15 and len(numbers) > 1
 
 
 def added_spans(model: Tagger | None, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
@@ -160,7 +160,7 @@ def added_spans(model: Tagger | None, texts: list[str], base: list[list[Span]])
                 own = decoded[short_at : short_at + len(s)]
                 short_at += len(s)
             for kind, x, y in read_spans(reconcile(s, own, a, b), a, texts[i]):
-                if well_formed(kind, texts[i][x:y]) and all(y <= p or q <= x for _, p, q in base[i]):
+                if plausible(kind, texts[i][x:y]) and all(y <= p or q <= x for _, p, q in base[i]):
                     out[i].append((kind, x, y))
     return out
 
@@ -181,51 +181,64 @@ def shown(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def rewritten(kind: int, held: str, rng: random.Random) -> str:
-    """The same datum in a form that the base pattern misses."""
+def template_span(kind: int, rng: random.Random) -> str:
+    """A datum of a kind in one of many written forms."""
+    letters = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     if kind == 0:
-        name, place = held.split("@", 1)
-        at = rng.choice([" [at] ", "[at]", " (at) ", "(at)", " @ "])
-        return name + at + (place.replace(".", rng.choice([" [dot] ", "[dot]", "."])) if "at" in at else place)
+        name = letters(2, 8) + rng.choice(["", number(2), "." + letters(3, 7), "_" + letters(2, 6), "." + number(2), "-" + letters(2, 6)])
+        at = rng.choice(["@", " @ ", "[at]", " [at] ", " (at) ", "(at)", " {at} ", " [AT] "])
+        dot = rng.choice([".", ".", " [dot] ", "[dot]", "(dot)", " (dot) ", " dot "]) if at != "@" else "."
+        place = [letters(3, 9) + rng.choice(["", number(1)]), *([letters(4, 8)] if rng.random() < 0.5 else []), rng.choice(["com", "org", "net", "de", "fr", "es", "io", "edu"])]
+        return (name.title() if rng.random() < 0.1 else name) + at + dot.join(place)
     if kind == 1:
-        return held.replace(".", rng.choice(["[.]", "(.)"]))
+        return rng.choice([".", "[.]", "(.)", " . ", "{.}", "[dot]", " dot "]).join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == 2:
-        d = plain_digits(held)
-        return rng.choice([".", "/"]).join(d[i : i + 4] for i in range(0, len(d), 4))
-    d = plain_digits(held)
-    return rng.choice([f"00{d[0]} {d[1:4]} {d[4:7]} {d[7:]}", f"({d[1:4]}) {d[4:7]}-{d[7:]}", f"00{d[0]}-{d[1:4]}-{d[4:]}"])
+        d = rng.choice("3456") + number(14)
+        d += next(x for x in "0123456789" if luhn(d + x))
+        gap = rng.choice(["", " ", "-", ".", "/", "  ", "_", " - "])
+        return gap.join(d[i : i + 4] for i in range(0, 16, 4))
+    area, a, b = number(3), number(3), number(4)
+    country = rng.choice(["1", "33", "34", "44", "49"])
+    return rng.choice([f"+{country} ({area}) {a}-{b}", f"+{country} {area} {a} {b}", f"00{country} {area} {a} {b}", f"00{country}-{area}-{a}{b}", f"({area}) {a}-{b}", f"({area}) {a} {b}", f"{area}-{a}-{b}", f"0{area[:2]}/{a}{b}", f"{area}.{a}.{b}", f"+{country}.{area}.{a}.{b}"])
+
+
+def labelled(text: str, spans: list[Span]) -> list[int]:
+    tags = [0] * len(text)
+    last = 0
+    for kind, s, e in sorted(spans, key=lambda x: x[1:]):  # of overlapping kinds the first
+        if s >= last:
+            tags[s:e] = [1 + 2 * kind] + [2 + 2 * kind] * (e - s - 1)
+            last = e
+    return tags
+
+
+def with_template(text: str, tags: list[int], rng: random.Random) -> tuple[str, list[int]]:
+    """A span put in at a blank outside of other spans."""
+    gaps = [i for i, x in enumerate(text) if x == " " and not tags[i]]
+    kind = rng.randrange(len(KINDS))
+    made = template_span(kind, rng)
+    at = rng.choice(gaps) if gaps else len(text)
+    return text[:at] + " " + made + text[at:], tags[:at] + [0, 1 + 2 * kind] + [2 + 2 * kind] * (len(made) - 1) + tags[at:]
 
 
 def training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows and their tags: each region as it is, and once more with its spans rewritten."""
+    """Windows and their tags: each region as it is, and with a template's span put in."""
     for batch in slices(batches, "text"):
         keys, held_windows, held_tags = [], [], []
         for text in batch.column("text").to_pylist():
             if not text or not TRIGGER.search(text):
                 continue
-            spans = sorted(base_spans(text), key=lambda x: x[1:])
+            all_tags = labelled(text, base_spans(text))
             for a, b in regions(text):
                 rng = random.Random(hashlib.md5(text[a:b].encode()).digest())
-                own, last = [], a
-                for x in spans:  # of overlapping kinds the first
-                    if a <= x[1] and x[2] <= b and x[1] >= last:
-                        own.append(x)
-                        last = x[2]
-                for change in (False, True) if own else (False,):
-                    parts, tags, at = [], [], a
-                    for kind, s, e in own:
-                        new = rewritten(kind, text[s:e], rng) if change else text[s:e]
-                        parts += [text[at:s], new]
-                        tags += [0] * (s - at) + [1 + 2 * kind] + [2 + 2 * kind] * (len(new) - 1)
-                        at = e
-                    parts.append(text[at:b])
-                    tags += [0] * (b - at)
-                    made = "".join(parts)
+                own, tags = text[a:b], all_tags[a:b]
+                for made, made_tags in ((own, tags), with_template(own, tags, rng), with_template(own, tags, rng)):
                     starts = windows_of(0, len(made))
                     cut = cut_windows(made, starts, len(made))
                     for k, s in enumerate(starts):
                         t = np.zeros(WINDOW, np.int8)
-                        t[: min(WINDOW, len(made) - s)] = tags[s : s + WINDOW]
+                        t[: min(WINDOW, len(made) - s)] = made_tags[s : s + WINDOW]
                         keys.append(int.from_bytes(hashlib.md5(cut[k].tobytes()).digest()[:7], "big"))
                         held_windows.append(cut[k].astype("<i2").tobytes())
                         held_tags.append(t.tobytes())
@@ -234,11 +247,11 @@ def training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train_pii(docs: DataFrame) -> Tagger | None:
     """Fit on windows of about ``TRAIN_DOCS`` documents, by a hash of the text; None where no window has a span."""
-    bounded_batches(docs.sparkSession)
     texts = docs.select("text").where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    held = sample.mapInArrow(training_windows, "key long, window binary, tags binary").orderBy("key", "window").limit(TRAIN_WINDOWS).toPandas()
+    with bounded_batches(docs.sparkSession):
+        held = sample.mapInArrow(training_windows, "key long, window binary, tags binary").orderBy("key", "window").limit(TRAIN_WINDOWS).toPandas()
     if not any(any(x) for x in held["tags"]):
         return None
     windows = np.array([np.frombuffer(x, "<i2") for x in held["window"]]).astype(np.int64)
@@ -256,7 +269,8 @@ def report(model: Tagger | None, batches: Iterator[pa.RecordBatch]) -> Iterator[
 def detect_pii(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """doc_id, counts of base spans by kind, base_sha256 and spans of every row.
 
-    Null and empty texts have no span. Only doc_id and text are read. Repeated rows each get their row.
+    Null and empty texts have no span; whole texts are read, however long. Only doc_id and text are read, so further
+    columns play no part. Repeated rows each get their row, an empty table gives none.
     """
     model = model or train_pii(docs)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(report, model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -274,7 +288,7 @@ def redact(model: Tagger | None, text: str) -> str:
 
 
 def redacted(model: Tagger | None, text: str = "text") -> Column:
-    """A text column with personal data replaced; null stays null."""
+    """A text column with personal data replaced; null stays null. It is a function of the text alone, so rows that share ids change alike."""
 
     @F.arrow_udf("string")
     def change(column: pa.Array) -> pa.Array:

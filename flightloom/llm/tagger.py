@@ -19,86 +19,86 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 class Tagger:
-    """Scores of each tag at each character of windows of one length; ``tags`` many."""
+    """Scores of each tag at each character of windows of one length; ``tags`` many. Both directions run at once: the second over the windows turned round."""
 
     def __init__(self, tags: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        normal = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape).astype(np.float32)
-        self.p = {"emb": rng.normal(0, 0.3, (SYMBOLS, EMBEDDED)).astype(np.float32), "out": normal(2 * HIDDEN, tags), "bias": np.zeros(tags, np.float32), "move": np.zeros((tags, tags), np.float32), "begin": np.zeros(tags, np.float32)}
-        for way in "fb":
-            start = np.zeros(4 * HIDDEN, np.float32)
-            start[HIDDEN : 2 * HIDDEN] = 1  # remember at first
-            self.p |= {f"x{way}": normal(EMBEDDED, 4 * HIDDEN), f"h{way}": normal(HIDDEN, 4 * HIDDEN), f"c{way}": start}
-
-    def run(self, x: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction (windows, time, hidden) and what the way back needs."""
+        normal = lambda *shape: rng.normal(0, shape[-2] ** -0.5, shape).astype(np.float32)
+        start = np.zeros((2, 1, 4 * HIDDEN), np.float32)
+        start[:, :, HIDDEN : 2 * HIDDEN] = 1  # remember at first
+        self.p = {"emb": rng.normal(0, 0.3, (SYMBOLS, EMBEDDED)).astype(np.float32), "x": normal(2, EMBEDDED, 4 * HIDDEN), "h": normal(2, HIDDEN, 4 * HIDDEN), "c": start, "out": normal(2 * HIDDEN, tags), "bias": np.zeros(tags, np.float32), "move": np.zeros((tags, tags), np.float32), "begin": np.zeros(tags, np.float32)}
+
+    def run(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states (windows, time, two hidden), and what the way back needs."""
         p, H = self.p, HIDDEN
         n, time = x.shape[:2]
-        fed = x @ p[f"x{way}"] + p[f"c{way}"]
-        h, c = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32)
-        out, kept = np.empty((n, time, H), np.float32), []
-        for t in range(time) if way == "f" else range(time - 1, -1, -1):
-            z = fed[:, t] + h @ p[f"h{way}"]
-            gates = sigmoid(z[:, : 3 * H])
-            i, f, o = gates[:, :H], gates[:, H : 2 * H], gates[:, 2 * H :]
-            g = np.tanh(z[:, 3 * H :])
+        both = np.stack([x, x[:, ::-1]])
+        fed = (both.reshape(2, n * time, EMBEDDED) @ p["x"] + p["c"]).reshape(2, n, time, 4 * H)
+        h, c = np.zeros((2, n, H), np.float32), np.zeros((2, n, H), np.float32)
+        out, kept = np.empty((2, n, time, H), np.float32), []
+        for t in range(time):
+            z = fed[:, :, t] + h @ p["h"]
+            gates = sigmoid(z[..., : 3 * H])
+            i, f, o = gates[..., :H], gates[..., H : 2 * H], gates[..., 2 * H :]
+            g = np.tanh(z[..., 3 * H :])
             before, last = c, h
             c = f * c + i * g
             tc = np.tanh(c)
             h = o * tc
-            out[:, t] = h
-            kept.append((t, i, f, o, g, before, tc, last))
-        return out, kept
+            out[:, :, t] = h
+            if keep:
+                kept.append((t, i, f, o, g, before, tc, last))
+        return np.concatenate([out[0], out[1][:, ::-1]], axis=2), kept
 
-    def back(self, x: np.ndarray, way: str, kept: list, dout: np.ndarray, grad: dict) -> np.ndarray:
+    def back(self, x: np.ndarray, kept: list, dh: np.ndarray, grad: dict) -> np.ndarray:
         p, H = self.p, HIDDEN
         n, time = x.shape[:2]
-        dz_all = np.empty((n, time, 4 * H), np.float32)
-        dh, dc = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32)
-        grad[f"h{way}"] = np.zeros_like(p[f"h{way}"])
+        both, dout = np.stack([x, x[:, ::-1]]), np.stack([dh[:, :, :H], dh[:, ::-1, H:]])
+        dz_all = np.empty((2, n, time, 4 * H), np.float32)
+        dh, dc = np.zeros((2, n, H), np.float32), np.zeros((2, n, H), np.float32)
+        grad["h"], turned = np.zeros_like(p["h"]), p["h"].transpose(0, 2, 1)
         for t, i, f, o, g, before, tc, last in reversed(kept):
-            dh = dh + dout[:, t]
+            dh = dh + dout[:, :, t]
             dc = dc + dh * o * (1 - tc * tc)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            grad[f"h{way}"] += last.T @ dz
-            dz_all[:, t] = dz
-            dh, dc = dz @ p[f"h{way}"].T, dc * f
-        flat = dz_all.reshape(-1, 4 * H)
-        grad[f"x{way}"] = x.reshape(-1, EMBEDDED).T @ flat
-        grad[f"c{way}"] = flat.sum(axis=0)
-        return dz_all @ p[f"x{way}"].T
+            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=2)
+            grad["h"] += last.transpose(0, 2, 1) @ dz
+            dz_all[:, :, t] = dz
+            dh, dc = dz @ turned, dc * f
+        flat = dz_all.reshape(2, n * time, 4 * H)
+        grad["x"] = both.reshape(2, n * time, EMBEDDED).transpose(0, 2, 1) @ flat
+        grad["c"] = flat.sum(axis=1, keepdims=True)
+        dx = (flat @ p["x"].transpose(0, 2, 1)).reshape(2, n, time, EMBEDDED)
+        return dx[0] + dx[1][:, ::-1]
 
     def scores(self, windows: np.ndarray) -> np.ndarray:
-        x = self.p["emb"][windows]
-        return np.concatenate([self.run(x, "f")[0], self.run(x, "b")[0]], axis=2) @ self.p["out"] + self.p["bias"]
+        return self.run(self.p["emb"][windows], False)[0] @ self.p["out"] + self.p["bias"]
 
     def gradients(self, windows: np.ndarray, tags: np.ndarray) -> tuple[dict, float]:
         """Of the mean negative log-likelihood of the tags."""
         p, grad = self.p, {}
         n, time = windows.shape
         x = p["emb"][windows]
-        (hf, kf), (hb, kb) = self.run(x, "f"), self.run(x, "b")
-        h = np.concatenate([hf, hb], axis=2)
+        h, kept = self.run(x, True)
         e = h @ p["out"] + p["bias"]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = p["begin"] + e[:, 0]
-        for t in range(1, time):
-            alpha[:, t] = log_sum(alpha[:, t - 1][:, :, None] + p["move"], 1) + e[:, t]
-        for t in range(time - 2, -1, -1):
-            beta[:, t] = log_sum(p["move"] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        total = log_sum(alpha[:, -1], 1)
-        de = np.exp(alpha + beta - total[:, None, None])
+        # forward and backward sums as products of scaled probabilities
+        top, start, move = e.max(axis=2), p["begin"].max(), p["move"].max()
+        each, moved = np.exp(e - top[:, :, None]), np.exp(p["move"] - move)
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty_like(top)
+        for t in range(time):
+            alpha[:, t] = each[:, t] * (np.exp(p["begin"] - start) if t == 0 else alpha[:, t - 1] @ moved)
+            scale[:, t] = alpha[:, t].sum(axis=1)
+            alpha[:, t] /= scale[:, t, None]
+        dmove = np.zeros_like(p["move"])
+        for t in range(time - 1, 0, -1):
+            ahead = each[:, t] * beta[:, t] / scale[:, t, None]
+            dmove += alpha[:, t - 1].T @ ahead
+            beta[:, t - 1] = ahead @ moved.T
+        dmove *= moved
+        total = (np.log(scale) + top).sum(axis=1) + start + move * (time - 1)
+        de = alpha * beta
         rows = np.arange(n)
         loss = total - p["begin"][tags[:, 0]] - e[rows[:, None], np.arange(time), tags].sum(axis=1) - p["move"][tags[:, :-1], tags[:, 1:]].sum(axis=1)
-        dmove = np.zeros_like(p["move"])
-        for t in range(1, time):
-            dmove += np.exp(alpha[:, t - 1][:, :, None] + p["move"] + (e[:, t] + beta[:, t])[:, None, :] - total[:, None, None]).sum(axis=0)
         np.add.at(dmove, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), -1)
         de[rows[:, None], np.arange(time), tags] -= 1
         grad["begin"], grad["move"] = de[:, 0].sum(axis=0) / n, dmove / n
@@ -106,7 +106,7 @@ class Tagger:
         flat = de.reshape(-1, de.shape[2])
         grad["out"], grad["bias"] = h.reshape(-1, 2 * HIDDEN).T @ flat, flat.sum(axis=0)
         dh = de @ p["out"].T
-        dx = self.back(x, "f", kf, dh[:, :, :HIDDEN], grad) + self.back(x, "b", kb, dh[:, :, HIDDEN:], grad)
+        dx = self.back(x, kept, dh, grad)
         grad["emb"] = np.zeros_like(p["emb"])
         np.add.at(grad["emb"], windows.ravel(), dx.reshape(-1, EMBEDDED))
         return grad, float(loss.mean())
@@ -127,7 +127,7 @@ class Tagger:
         return tags
 
 
-def fit_tagger(windows: np.ndarray, tags: np.ndarray, n_tags: int, steps: int = 400, batch: int = 48, rate: float = 0.01, seed: int = 3) -> Tagger:
+def fit_tagger(windows: np.ndarray, tags: np.ndarray, n_tags: int, steps: int = 300, batch: int = 48, rate: float = 0.01, seed: int = 3) -> Tagger:
     model = Tagger(n_tags)
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
