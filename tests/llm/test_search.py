@@ -12,7 +12,7 @@ from flightloom.llm.components import components
 from flightloom.llm.decontamination import contamination, phrase_matches
 from flightloom.llm.suffixes import LEAST, passage_report, repeated_passages
 from flightloom.llm.topk import top_products
-from flightloom.llm.wrappers import extract, extract_main_text, infer, main_element
+from flightloom.llm.wrappers import extract, extract_main_text, host_wrappers, match, parse, reading
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -51,8 +51,30 @@ def test_batches_and_slack(spark, monkeypatch):
     monkeypatch.setattr("flightloom.llm.decontamination.BATCH", 1)
     got = {x["doc_id"]: (x["starts"], x["ends"], x["items"]) for x in phrase_matches(docs, bench, 3).collect()}
     assert got == {1: ([0], [6], ["1", "2", "3"]), 2: ([2], [5], ["3"]), 3: ([], [], [])}
-    near = {x["doc_id"]: x["items"] for x in phrase_matches(docs, bench, 3, slack=1).collect()}
-    assert "1" in near[2]
+    near = {x["doc_id"]: (x["starts"], x["ends"], x["items"]) for x in phrase_matches(docs, bench, 3, slack=1).collect()}
+    assert near[2] == ([0], [5], ["1", "3"])
+    apart = spark.createDataFrame([(1, "a b q"), (2, "c d e"), (3, "c z a b")], "doc_id long, text string")
+    assert not any(x["items"] for x in phrase_matches(apart, bench.where("item_id = 1"), 3, slack=1).collect())
+
+
+def near_by_brute_force(words, phrase, slack):
+    """Whether the phrase's words stand within slack of their places, counted from some place of its rarest word."""
+    offset = min(range(len(phrase)), key=lambda i: (words.count(phrase[i]), i))
+    return any(
+        words[at] == phrase[offset] and all(any(0 <= p < len(words) and words[p] == w for p in range(at - offset + i - slack, at - offset + i + slack + 1)) for i, w in enumerate(phrase))
+        for at in range(len(words))
+    )
+
+
+def test_proximity_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [list(map(str, rng.choice(list("abcdef"), rng.integers(3, 30)))) for _ in range(60)]
+    phrases = [list(map(str, rng.choice(list("abcdefg"), 4, replace=False))) for _ in range(20)]
+    for i, words in enumerate(texts):  # a block each, so that the rarest word is the text's own
+        docs = spark.createDataFrame([(i, " ".join(words))], "doc_id long, text string") if i < 3 else None
+        if docs is not None:
+            got = phrase_matches(docs, spark.createDataFrame(list(enumerate(map(" ".join, phrases))), "item_id long, text string"), 4, slack=2).first()["items"]
+            assert got == sorted(str(k) for k, x in enumerate(phrases) if near_by_brute_force(words, x, 2))
 
 
 def classes_by_brute_force(rows):
@@ -188,6 +210,11 @@ def test_top_products(spark, sf_dir):
     exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     got = sorted(tuple(x) for x in top_products(table, table.where("vec_id % 50 = 0"), 5).collect())
     assert got == by_hand(exact, 5)
+    # several vectors of an id are several rows, wherever they lie; clashing columns play no part
+    twice = spark.createDataFrame([(50, [0.25] * 2), (7, [1.0, 0.5]), (7, [0.5, 0.25]), (7, [1.0, 0.5]), (8, [0.75, 0.5]), (50, [None, 9.0])], "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS print", "3 AS query_id")
+    for parts in (1, 2, 6):
+        spread = twice.repartition(parts)
+        assert [tuple(x) for x in top_products(spread, spread.where("vec_id = 50")).collect()] == [(50, 1, 7, 24576), (50, 2, 8, 20480), (50, 3, 7, 12288)]
     assert top_products(table.limit(0), table.limit(0)).count() == 0
     few = table.where("vec_id in (0, 50, 7)")
     assert few.count() == 3 and top_products(few, few.where("vec_id % 50 = 0")).count() == 4
@@ -201,17 +228,77 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_extract():
-    want = "Head & line\n\nOne two three . four\n\nunclosed <p>\n\nfirst\n\nsecond\n\ncap".replace("three .", "three.")
-    assert extract(PAGE, "article") == want
-    assert extract("", "article") == extract("<p>", "") == ""
-    assert extract("plain < text", "") == "plain < text"
+    want = "Head & line\n\nOne two three. four\n\nunclosed <p>\n\nfirst\n\nsecond\n\ncap"
+    assert extract(PAGE, None) == want
+    assert extract("", None) == extract("<p>", None) == ""
+    assert extract("plain < text", None) == "plain < text"
+    deep = "<div>" * 20_000 + "at the bottom"
+    assert extract(deep, reading([deep])[1]) == "at the bottom"
 
 
-def test_wrapper_without_an_article_element():
-    page = '<html><body><div class="menu"><a>home</a></div><div class="text"><h2>{0}</h2><p>{1}</p><p>{2}</p></div><div class="foot">same</div></body></html>'
+def test_a_wrapper_without_telling_names():
+    """No article or main element and no class word: the slots alone tell where the article is."""
+    page = "<html><body><div><a>home {0}</a><a>x y z</a></div><div><h2>{0}</h2><p>{1}</p><p>{2}</p></div><div>same</div></body></html>"
     pages = [page.format(*(f"{c}{i} word" for i in range(3))) for c in "abc"]
-    element = main_element(infer(pages))
-    assert element == "div.text" and extract(pages[0], element) == "a0 word\n\na1 word\n\na2 word"
+    wrapper, rules = reading(pages)
+    assert wrapper == '<html><body><div>(<a>#</a>)+</div><div><h2>#</h2>(<p>#</p>)+</div><div>"same"</div></body></html>'
+    assert [extract(p, rules) for p in pages] == [f"{c}0 word\n\n{c}1 word\n\n{c}2 word" for c in "abc"]
+    other = pages[0].replace("<div><a>", "<div><b>new</b></div><div><a>").replace("</body>", "<div>more</div></body>")
+    assert extract(other, rules) == "a0 word\n\na1 word\n\na2 word"  # a page with more than its wrapper has
+
+
+def test_paragraphs_beside_menus():
+    page = "<body><div><a href=1>{3} home</a> <a>other</a></div><h1>{0}</h1><p>{1}<p>{2}<div><a>{3} link</a></div></body>"
+    pages = [page.format(*(f"{c}{i} word and more" for i in range(4))) for c in "abcdef"]
+    assert extract(pages[2], reading(pages)[1]) == "c0 word and more\n\nc1 word and more\n\nc2 word and more"
+
+
+def test_teasers_and_fixed_text_are_not_the_article():
+    teaser = "<article class=card><h3>{0}</h3></article>"
+    page = "<body><main><article class=post><h1>{0}</h1><p>{1} " + "long text " * 20 + "</p><div>Share this</div></article>" + teaser * 3 + "</main></body>"
+    pages = [page.format(f"t{c}", f"p{c}") for c in "abcdef"]
+    wrapper, rules = reading(pages)
+    assert "(<article.card>" in wrapper and extract(pages[1], rules) == "tb\n\npb " + ("long text " * 20).strip()
+
+
+def test_groups_are_repeated_or_optional():
+    one, two = "<dl><dt>a<dd>b</dl>", "<dl><dt>a<dd>c<dt>d<dd>e</dl>"
+    assert reading([one, two])[0] == reading([two, one])[0] == "<dl>(<dt>#</dt><dd>#</dd>)+</dl>"
+    assert reading(["<p>a", "<hr><p>b"])[0] == "(<hr></hr>)?<p>#</p>"
+
+
+def matches_by_brute_force(items, signs):
+    """The fewest items and elements left over, of all ways to take elements in order."""
+    if not items:
+        return len(signs)
+    sign, optional, repeated, _ = items[0]
+    best = matches_by_brute_force(items[1:], signs) + (not optional)
+    for n in range(1, len(signs) + 1):
+        for skipped in range(len(signs) - n + 1):
+            taken = signs[skipped : skipped + n]
+            if set(taken) == {sign} and (n == 1 or repeated):
+                best = min(best, skipped + matches_by_brute_force(items[1:], signs[skipped + n :]))
+    return best
+
+
+def test_match_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        items = [[str(rng.choice(["a", "b"])), bool(rng.integers(2)), False, []] for _ in range(rng.integers(1, 5))]
+        kids = parse("".join(f"<{rng.choice(['a', 'b'])}></a></b>" for _ in range(rng.integers(0, 5)))).kids
+        taken = match(items, kids)
+        assert [t for t in taken if t >= 0] == sorted({t for t in taken if t >= 0}) and all(items[t][0] == k.sign for t, k in zip(taken, kids) if t >= 0)
+        left = sum(t < 0 for t in taken) + sum(not optional and i not in taken for i, (_, optional, _, _) in enumerate(items))
+        assert left == matches_by_brute_force(items, [k.sign for k in kids])
+
+
+def test_a_host_of_two_templates(spark):
+    first, second = "<body><div class=x><p>{0} one two three</p></div><div class=y>same</div></body>", "<body><nav><a>{0}</a></nav><div class=z><p>{0} four five</p></div></body>"
+    rows = [(i, "http://h.example/p", (first if i % 2 else second).format(f"w{i}"), 1, "k") for i in range(12)] + [(3, "http://h.example/p", first.format("w3"), 1, "k")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, template int, host string")
+    got = sorted((x.page_id, x.text) for x in extract_main_text(pages).collect())
+    assert got == sorted((i, f"w{i} one two three" if i % 2 else f"w{i} four five") for i in [*range(12), 3])
+    assert host_wrappers(pages).count() == 2
 
 
 def test_pages(spark, sf_dir):
