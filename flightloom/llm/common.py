@@ -6,6 +6,7 @@ memory stays bounded by the slice (or by one very long text), not by the partiti
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little more than its libraries."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each slice has about ``budget`` bytes."""
     for batch in batches:
@@ -94,7 +104,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = SLICE)
             stop = max(start + 1, int(np.searchsorted(ends, base + budget, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def lengths(column: pa.Array) -> np.ndarray:
