@@ -136,10 +136,17 @@ def evidence_contribution(bundles: DataFrame, missions: DataFrame) -> DataFrame:
     return missions.select("mission_id").join(held, "mission_id", "left").select("mission_id", score.alias("contribution"), F.coalesce("insufficient", F.lit(0)).alias("insufficient"), (F.col("n").isNull() | ((F.col("citations") == 0) & (F.col("insufficient") == 0))).cast("int").alias("no_evidence"))
 
 
+def limitation_findings(bundles: DataFrame) -> DataFrame:
+    """A high limitation of each mission with an insufficient bundle."""
+    weak = bundles.where("support_status = 'insufficient_evidence'").select("mission_id").distinct()
+    return weak.selectExpr("mission_id", "'evidence_limitation' AS finding_id", "'limitation' AS finding_type", "'high' AS severity", "CAST(NULL AS STRING) AS topic")
+
+
 def recommend(missions: DataFrame, findings: DataFrame, bundles: DataFrame, probabilities: str = "probabilities") -> DataFrame:
-    """Provisional recommendation of each mission and its confidence. Uncertain missions never go."""
-    supported = bundles.groupBy("mission_id").agg(F.bool_or(F.col("support_status") == "supported").alias("supported"))
-    doubt = findings.groupBy("mission_id").agg(F.bool_or(F.col("finding_type").isin("operational_uncertainty", "limitation")).alias("doubt"))
+    """Provisional recommendation of each mission and its confidence. Only cited bundles that are at least partially supported count, and missions with an uncertainty or a limitation never go."""
+    counts = F.col("support_status").isin("supported", "partially_supported") & (F.col("n_citations") > 0)
+    supported = bundles.groupBy("mission_id").agg(F.bool_or(counts).alias("supported"))
+    doubt = findings.unionByName(limitation_findings(bundles)).groupBy("mission_id").agg(F.bool_or(F.col("finding_type").isin("operational_uncertainty", "limitation")).alias("doubt"))
     held = missions.select("mission_id", F.lower(best_class(F.col(probabilities))).alias("top")).join(supported, "mission_id", "left").join(doubt, "mission_id", "left")
     top, advice = F.col("top"), lambda r, c: F.struct(F.lit(r).alias("recommendation"), F.lit(c).alias("confidence"))
     sure = F.when(~F.coalesce("supported", F.lit(False)), advice("insufficient_evidence", 0.2)).when(top.contains("high") | top.contains("medium"), advice("caution", 0.55))
@@ -192,12 +199,14 @@ def decide(missions: DataFrame, ml: DataFrame, shap: DataFrame, rag: DataFrame,
     return scored.select("mission_id", decision.alias("final_decision"), F.round(c("score") + 1e-9, 4).alias("decision_score"), confidence.alias("confidence_level"), "ml", "shap", "rag", "agent", "scenario_profile")
 
 
-def decision_reasons(decided: DataFrame, reasons: DataFrame, limit: int = 8) -> DataFrame:
-    """mission_id, reasons: the score line, then the first reasons in order (at_place), without repeats."""
+def decision_reasons(decided: DataFrame, reasons: DataFrame, bundles: DataFrame, limit: int = 8) -> DataFrame:
+    """mission_id, reasons: the score line, a line on evidence where any bundle is insufficient, then the first reasons in order (at_place), without repeats."""
     listed = reasons.groupBy("mission_id").agg(F.array_sort(F.collect_list(F.struct("at_place", "reason"))).alias("r"))
     line = F.concat(F.lit("Weighted decision score is "), F.format_string("%.3f", F.col("decision_score") + 1e-9), F.lit("; final decision is "), F.col("final_decision"), F.lit("."))
     rest = F.slice(F.transform(F.coalesce("r", F.array().cast("array<struct<at_place:int,reason:string>>")), lambda x: x["reason"]), 1, limit)
-    return decided.join(listed, "mission_id", "left").select("mission_id", F.array_distinct(F.concat(F.array(line), rest)).alias("reasons"))
+    weak = bundles.where("support_status = 'insufficient_evidence'").select("mission_id", F.lit(True).alias("weak")).distinct()
+    lines = F.when(F.col("weak"), F.array(line, F.lit("Insufficient evidence prevents overconfident GO."))).otherwise(F.array(line))
+    return decided.join(listed, "mission_id", "left").join(weak, "mission_id", "left").select("mission_id", F.array_distinct(F.concat(lines, rest)).alias("reasons"))
 
 
 def decision_refs(refs: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Origins that aren't real evidence, weights of the confidence blend, and its labels.
-SYNTHETIC = ["synthetic", "mock", "placeholder", "fallback"]
-BLEND = {"final_score": 0.6, "retrieval_score": 0.2, "dense_score": 0.1, "sparse_score": 0.1}
-LABELS = [(0.65, "high"), (0.45, "medium"), (0.25, "low")]
+# Origins that are generated text, those a citation keeps, weights of the confidence blend, its labels.
+GENERATED = ["llm_synthesis", "hyde_generated"]
+KEPT_ORIGINS = ["local_document", "retrieval_system"]
+BLEND = {"final_score": 0.6, "dense_score": 0.2, "sparse_score": 0.1, "source_match_score": 0.1}
+LABELS = [(0.65, "HIGH"), (0.45, "MEDIUM"), (0.25, "LOW")]
+#: Scores by which citations are ordered: the first that isn't null.
+LEAD = ["final_score", "retrieval_score", "dense_score", "sparse_score"]
 
 
 def blank(name: str):
@@ -16,24 +19,26 @@ def blank(name: str):
 
 
 def sufficient_candidates(cands: DataFrame) -> DataFrame:
-    """Candidates fit to be cited: real, long enough, with their source, page and score, and of the asked source."""
-    real = ~F.lower(F.coalesce("origin", F.lit(""))).isin(SYNTHETIC)
-    whole = ~blank("source_id") & ~blank("source_filename") & F.col("chunk_id").isNotNull() & (F.col("page") >= 1)
+    """Candidates fit to be cited: not generated, long enough, with their source and score, of the asked source, and on a page from 1 on if they name one."""
+    real = ~F.lower(F.trim(F.coalesce("origin", F.lit("")))).isin(GENERATED)
+    whole = ~blank("source_id") & ~blank("source_filename") & ~(F.trim(F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))) == "") & (F.col("page").isNull() | (F.col("page") >= 1))
     good = F.col("final_score").isNotNull() & (F.col("final_score") >= 0.08) & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= 40)
-    return cands.where(real & whole & good & ~(F.col("explicit") & (F.col("source_match_score") <= 0)))
+    return cands.where(real & whole & good & ~(F.coalesce("explicit", F.lit(False)) & (F.coalesce("source_match_score", F.lit(0.0)) <= 0)))
 
 
 def build_citations(cands: DataFrame) -> DataFrame:
-    """Citation ids, scores within [0, 1], and an origin where none is given."""
-    within = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0.0)))).alias(c)
-    return cands.select("query_id", "chunk_id", F.concat(F.lit("cit_"), F.col("chunk_id").cast("string")).alias("citation_id"), "source_id", "page", *(within(c) for c in BLEND), F.coalesce("origin", F.lit("retrieved")).alias("origin"))
+    """Citation ids, scores within [0, 1] (null where there is none), and one of two origins: what names neither comes from the retrieval system."""
+    within = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))).alias(c)
+    own = F.lower(F.trim("origin"))
+    origin = F.when(own.isin(KEPT_ORIGINS), own).otherwise("retrieval_system").alias("origin")
+    return cands.select("query_id", "chunk_id", F.concat(F.lit("cit_"), F.col("chunk_id").cast("string")).alias("citation_id"), "source_id", "page", *(within(c) for c in dict.fromkeys([*LEAD, *BLEND])), origin)
 
 
 def rank_citations(cits: DataFrame) -> DataFrame:
     """Rank within a query by the first score that isn't null, and a label of the blended score."""
-    lead = F.coalesce(*BLEND)
+    lead = F.coalesce(*LEAD, F.lit(0.0))
     blend = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in BLEND.items()), F.lit(0.0))
-    label = F.lit("very_low")
+    label = F.lit("VERY LOW")
     for least, name in reversed(LABELS):
         label = F.when(blend >= least, name).otherwise(label)
     return cits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round(lead, 9).desc(), "citation_id"))).withColumn("label", label)
@@ -60,11 +65,24 @@ def flatten_citations(bundles: DataFrame) -> DataFrame:
     return bundles.select("query_id", F.posexplode("citation_ids").alias("at_place", "citation_id"), "support_status")
 
 
-def scenario_evidence_status(bundles: DataFrame) -> DataFrame:
-    """Per mission: grounded, partial, insufficient or unknown, over its bundles' statuses."""
-    count = lambda s: F.count(F.when(F.col("support_status") == s, 1))
-    held = bundles.groupBy("mission_id").agg(F.count("*").alias("n"), count("supported").alias("good"), count("insufficient_evidence").alias("weak"))
-    return held.select("mission_id", F.when(F.col("good") == F.col("n"), "grounded").when(F.col("weak") == F.col("n"), "insufficient").when(F.col("good") + F.col("weak") > 0, "partial").otherwise("unknown").alias("evidence_status"))
+def scenario_evidence_status(bundles: DataFrame, missions: DataFrame | None = None) -> DataFrame:
+    """mission_id, evidence_status and grounded over the bundles that the scenario asked for.
+
+    grounded: all supported. partial: all at least partially supported, or some insufficient beside others.
+    insufficient: all insufficient; synthetic_only where any of them is synthetic. unknown: anything else. Missions (if
+    given) without such a bundle are unavailable. ``retrieval_origin`` (scenario_driven where null) and ``synthetic``
+    are read where the bundles have them.
+    """
+    held = bundles.where(F.coalesce("retrieval_origin", F.lit("scenario_driven")) == "scenario_driven") if "retrieval_origin" in bundles.columns else bundles
+    made = F.col("synthetic") if "synthetic" in bundles.columns else F.lit(False)
+    of = held.groupBy("mission_id").agg(F.collect_set("support_status").alias("s"), F.bool_or(F.coalesce(made, F.lit(False))).alias("made"))
+    if missions is not None:
+        of = missions.select("mission_id").join(of, "mission_id", "left")
+    s, only = F.col("s"), lambda *names: F.size(F.array_except("s", F.array(*map(F.lit, names)))) == 0
+    status = F.when(s.isNull() | (F.size(s) == 0), "unavailable").when(only("supported"), "grounded").when(only("supported", "partially_supported"), "partial")
+    status = status.when(only("insufficient_evidence"), F.when(F.col("made"), "synthetic_only").otherwise("insufficient")).when(F.array_contains(s, "insufficient_evidence"), "partial").otherwise("unknown")
+    grounded = F.when(F.col("evidence_status") == "grounded", True).when(F.col("evidence_status").isin("partial", "insufficient", "synthetic_only"), False)
+    return of.select("mission_id", status.alias("evidence_status")).withColumn("grounded", grounded)
 
 
 def retrieval_quality_cases(expected: DataFrame, cited: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ PRIORITY = {"low": 3, "warning": 6, "critical": 9, "emergency": 10}
 CRITICAL_PARAMETERS = "flight_altitude_m wind_speed_kt obstacle_proximity_m battery_capacity_mah communication_range_km".split()
 PRIORITY_LIMITS = {"wind_speed_kt": 25, "flight_altitude_m": 400, "obstacle_proximity_m": 20, "battery_capacity_mah": 10, "communication_range_km": 1, "gps_quality": 5, "rc_link_quality": 50}
 
+PRIORITY_FLAGS = ["emergency_procedure_available", "flight_termination_system", "parachute_equipped", "system_redundancy_level"]
+
 
 def threshold_rows(spark) -> DataFrame:
     return spark.createDataFrame([(k, *(None if x is None else float(x) for x in v)) for k, v in THRESHOLDS.items()], "feature string, warning double, critical double, emergency double, low_warning double, low_critical double")
@@ -74,7 +76,8 @@ def classify_scenarios(df: DataFrame, key: str = "mission_id") -> DataFrame:
     c, kind = F.col, F.lower(F.coalesce("operation_type", F.lit("")))
     flags = F.coalesce(c("emergency_procedure_available"), F.lit(False)) | F.coalesce(c("flight_termination_system"), F.lit(False)) | F.coalesce(c("e_stop_functional"), F.lit(False))
     rules = F.when(flags, "emergency_response").when((F.coalesce(c("wind_speed_kt"), F.lit(0.0)) > 20) | (F.coalesce(c("precipitation_mm"), F.lit(0.0)) > 5), "adverse_weather")
-    rules = rules.when(c("airspace_class").isNotNull() & (c("airspace_class") != ""), "regulatory_compliance").when(F.coalesce(c("battery_capacity_mah"), F.lit(100.0)) < 20, "technical_degradation")
+    given = lambda x: F.coalesce(~c(x).cast("string").isin("", "false", "0", "0.0"), F.lit(False))
+    rules = rules.when(given("airspace_class") | given("operational_authorization") | given("geo_fence_status"), "regulatory_compliance").when(F.coalesce(c("battery_capacity_mah"), F.lit(100.0)) < 20, "technical_degradation")
     for word in ("survey", "delivery", "inspection"):
         rules = rules.when(kind.contains(word), f"{word}_mission")
     return df.select(key, rules.otherwise("general_operation").alias("scenario_type"))
@@ -88,8 +91,10 @@ def scenario_complexity(df: DataFrame, key: str = "mission_id") -> DataFrame:
 
 
 def priority_features(df: DataFrame, key: str = "mission_id") -> DataFrame:
-    """Names, in order, whose value doesn't exceed its limit."""
-    return df.select(key, F.array_compact(F.array(*(F.when(F.col(k) <= v, F.lit(k)) for k, v in PRIORITY_LIMITS.items()))).alias("priority_features"))
+    """Names, in order, whose value doesn't exceed its limit, then flags that are false (a number of 0 is)."""
+    low = [F.when(F.col(k) <= v, F.lit(k)) for k, v in PRIORITY_LIMITS.items()]
+    off = [F.when(F.col(k).cast("double") == 0, F.lit(k)) for k in PRIORITY_FLAGS]
+    return df.select(key, F.array_compact(F.array(*low, *off)).alias("priority_features"))
 
 
 def risk_indicators(df: DataFrame, key: str = "mission_id") -> DataFrame:

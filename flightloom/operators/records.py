@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that are removed from public texts.
-REDACTED = "api_key apikey secret password token bearer".split()
+# Words that are removed from public texts, and what stands for them and for no text.
+REDACTED = ["reasoning_chain", "chain_of_thought", "thought", "scratchpad", "internal_reasoning", "private_reasoning"]
+REDACTED_MARK, NO_TEXT = "[redacted_forbidden_token]", "not_available"
 
 
 def build_records(decided: DataFrame, missions: DataFrame) -> DataFrame:
@@ -23,22 +24,35 @@ def list_assessments(records: DataFrame, user: str, profile: str | None = None)
     return held.select("assessment_id", "profile_id", "created_at", summary.alias("summary")).orderBy(F.desc("created_at"), "assessment_id")
 
 
-def redact_text(text: Column, limit: int = 200) -> Column:
-    """White space collapsed, words of REDACTED replaced (the text is then lower case), cut to ``limit`` characters with dots."""
-    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+def redact_text(text: Column, limit: int = 360) -> Column:
+    """White space collapsed, words of REDACTED replaced (the text is then lower case), cut to ``limit`` characters with dots; a null or empty text is NO_TEXT.
+
+    All words are replaced, longer ones first, so none is left where several occur.
+    """
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit(NO_TEXT)), r"\s+", " "))
     low, hit = F.lower(plain), F.lit(False)
     for w in REDACTED:
         hit = hit | low.contains(w)
-    held = F.when(hit, F.regexp_replace(low, "|".join(sorted(REDACTED, key=len, reverse=True)), "[redacted]")).otherwise(plain)
-    return F.when(F.length(held) > limit, F.concat(F.rtrim(F.substring(held, 1, limit - 3)), F.lit("..."))).otherwise(held)
+    held = F.when(hit, F.regexp_replace(low, "|".join(sorted(REDACTED, key=len, reverse=True)), REDACTED_MARK)).otherwise(plain)
+    cut = F.when(F.length(held) > limit, F.concat(F.rtrim(F.substring(held, 1, limit - 3)), F.lit("..."))).otherwise(held)
+    return F.when(cut == "", NO_TEXT).otherwise(cut)
 
 
 def narrative_conflicts(narratives: DataFrame, decided: DataFrame) -> DataFrame:
-    """(mission_id, code) where a narrative's score or decision words differ from the stored decision."""
-    held = narratives.join(decided, "mission_id")
-    score = F.regexp_extract("narrative", r"score (?:is|of) ([0-9.]*[0-9])", 1).try_cast("double")
-    word = F.regexp_extract(F.lower("narrative"), r"final decision is (go|caution|no_go)\b", 1)
-    codes = F.array_compact(F.array(F.when(F.abs(score - F.col("decision_score")) > 0.02, F.lit("score_mismatch")), F.when((word != "") & (word != F.col("final_decision")), F.lit("decision_mismatch"))))
+    """(mission_id, code) where the score, confidence or decision that a narrative names first differs from the stored one; a score within 0.02 agrees."""
+    held = narratives.join(decided.select("mission_id", "decision_score", "confidence_level", "final_decision"), "mission_id")
+    text = F.col("narrative")
+    score = F.regexp_extract(text, r"(?i)decision\s*score[^0-9]*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    level = F.lower(F.regexp_extract(text, r"(?i)confidence(?:\s*level)?[^a-z]*(low|medium|high)", 1))
+    word = F.regexp_replace(F.lower(F.regexp_extract(text, r"(?i)final\s+decision\s+(?:is|=)?\s*(go|caution|no[_\s-]?go)", 1)), r"[_\s]", "-")
+    said = lambda x, want: (x != "") & (x != want)
+    codes = F.array_compact(
+        F.array(
+            F.when(F.abs(score - F.col("decision_score")) > 0.02, F.lit("score_mismatch")),
+            F.when(said(level, F.lower("confidence_level")), F.lit("confidence_mismatch")),
+            F.when(said(word, F.regexp_replace(F.lower("final_decision"), "_", "-")), F.lit("decision_mismatch")),
+        )
+    )
     return held.select("mission_id", F.explode(codes).alias("code"))
 
 

@@ -21,7 +21,18 @@ QUERY_TOPICS = [
     ("sora_volume", ["ground risk", "operational volume", "adjacent area", "containment"]),
 ]
 INTENT_TOPICS = {"special_condition": "ml_review", "ac107": "airspace", "part107": "airspace", "sora": "sora_volume"}
-TOPIC_SEVERITY = {"airspace": "high", "c2": "high"}
+# Of each topic the finding's text, the action's, and the severity of both.
+TOPIC_TEXTS = {
+    "weather": ("Weather and wind conditions require preflight assessment before mission launch.", "Review local weather, wind direction/speed, gusts, and define mission wind limits before flight.", "medium"),
+    "airspace": ("Controlled/restricted airspace context requires authorization or operational review.", "Verify airspace class, authorization requirements, and no-fly/restriction proximity before launch.", "high"),
+    "vlos": ("Visual line-of-sight operating requirements should be reviewed for this mission context.", "Confirm remote pilot/visual observer responsibilities and maintain VLOS constraints.", "medium"),
+    "c2": ("Command-and-control link reliability is an operational concern for mission safety.", "Verify uplink/downlink reliability, contingency procedures, and lost-link behavior.", "high"),
+    "ml_review": ("The ML risk signal warrants conservative operational review with evidence-backed mitigations.", "Review relevant operational limitations and mitigations before accepting mission risk.", "medium"),
+    "sora_volume": ("Operational volume and ground-risk context should be evaluated using SORA-style risk controls.", "Review operational volume, adjacent area, containment, and mitigation assumptions.", "medium"),
+    "general": ("Operational evidence indicates additional UAV mission review is warranted.", "Perform targeted operator review for this topic and confirm mission assumptions before launch.", "medium"),
+}
+GAP_REASON = "Evidence was insufficient for this query."
+GAP_TEXT, GAP_ACTION = "Unresolved operational topic: ", "Treat this topic as unresolved and seek additional evidence/operator review."
 NAME_TOPICS = {
     "weather": "weather wind gust turbulence thermal".split(),
     "airspace": "airspace no_fly nofly restricted geofence authorization".split(),
@@ -34,11 +45,31 @@ NAME_TOPICS = {
     "energy": "battery reserve endurance fuel energy".split(),
     "vlos": "vlos visual_line_of_sight line_of_sight los".split(),
 }
+# Topics of a signal's or planned query's words; the first that fits counts.
+SIGNAL_TOPICS = {
+    "weather": "weather wind gust turbulence thermal".split(),
+    "airspace": "airspace no_fly restricted authorization altitude agl ceiling".split(),
+    "c2": "comms uplink downlink c2 telemetry link".split(),
+    "swarm": "swarm multi_uas formation".split(),
+    "payload": "payload mass weight loading".split(),
+    "energy": "battery reserve endurance energy flight_time".split(),
+    "ground_risk": "obstacle traffic landing population ground_risk".split(),
+    "vlos": "vlos visual line_of_sight los".split(),
+}
+# Words for recommendations (others are degraded), statuses, and keys that public records never hold, whole or in part.
 RECOMMENDATIONS = {
-    "go": "go", "approve": "go", "approved": "go", "proceed": "go", "caution": "caution", "conditional": "caution", "conditional_go": "caution", "conditional-go": "caution",
-    "no_go": "no_go", "no-go": "no_go", "nogo": "no_go", "reject": "no_go", "deny": "no_go", "insufficient_evidence": "insufficient_evidence", "unknown": "insufficient_evidence",
+    "go": "go", "approve": "go", "approved": "go",
+    "caution": "caution", "conditional_go": "caution", "conditional": "caution",
+    "no_go": "no_go", "reject": "no_go", "rejected": "no_go",
+    "insufficient_evidence": "insufficient_evidence", "no_evidence": "insufficient_evidence",
 }
-SECRET_PARTS = "api_key apikey secret password token authorization credential".split()
+STATUSES = ["skipped", "completed", "degraded", "failed"]
+FORBIDDEN_KEYS = frozenset(
+    """reasoning_steps chain_of_thought reasoning_chain thoughts thought raw_prompt prompt raw_completion completion raw_llm_response
+    tool_history internal_memory scratchpad hidden api_key secret token authorization internal_reasoning private_reasoning""".split()
+)
+SECRET_PARTS = ["api_key", "apikey", "secret", "token", "authorization", "password", "bearer"]
+TOO_DEEP = "[truncated-depth]"
 
 
 def query_topic(query: Column, intent: Column) -> Column:
@@ -53,15 +84,36 @@ def query_topic(query: Column, intent: Column) -> Column:
     return out.otherwise(by_intent)
 
 
+def signal_topic(words: Column) -> Column:
+    """The first of SIGNAL_TOPICS whose parts the words touch, inside words too; general where none does."""
+    low, out = F.lower(words), F.lit("general")
+    for name, parts in reversed(SIGNAL_TOPICS.items()):
+        out = F.when(any_of(low, parts), name).otherwise(out)
+    return out
+
+
 def evidence_findings(bundles: DataFrame) -> DataFrame:
-    """(mission_id, query_id, topic, finding_type, severity): an evidence-backed finding of a supported bundle, an uncertainty of an insufficient one."""
+    """One row a bundle that says something: finding, its action and (of a gap) its limitation.
+
+    (mission_id, query_id, topic, finding_type, severity, summary, action, limitation). A bundle that is at least
+    partially supported and cites something is evidence-backed; an insufficient one is a high uncertainty, whose reason
+    (no_evidence_reason, where the bundles have it) is told. Others say nothing.
+    """
     topic = query_topic(F.col("query"), F.col("intent"))
     weak = F.col("support_status") == "insufficient_evidence"
-    grave = F.lit("medium")
-    for k, v in TOPIC_SEVERITY.items():
-        grave = F.when(F.col("topic") == k, v).otherwise(grave)
-    held = bundles.select("mission_id", "query_id", topic.alias("topic"), "support_status")
-    return held.select("mission_id", "query_id", "topic", F.when(weak, "operational_uncertainty").otherwise("evidence_backed").alias("finding_type"), F.when(weak, "medium").otherwise(grave).alias("severity"))
+    backed = F.col("support_status").isin("supported", "partially_supported") & (F.col("n_citations") > 0)
+    said = F.col("no_evidence_reason") if "no_evidence_reason" in bundles.columns else F.lit(None).cast("string")
+    reason = F.when(F.coalesce(said, F.lit("")) == "", GAP_REASON).otherwise(said)
+    texts = F.create_map(*(F.lit(x) for k, v in TOPIC_TEXTS.items() for x in (k, " | ".join(v))))
+    part = lambda i: F.split(F.element_at(texts, F.col("topic")), r" \| ")[i]
+    held = bundles.where(weak | backed).select("mission_id", "query_id", topic.alias("topic"), weak.alias("weak"), "query", reason.alias("reason"))
+    either = lambda gap, own, name: F.when(F.col("weak"), gap).otherwise(own).alias(name)
+    return held.select(
+        "mission_id", "query_id", "topic",
+        either(F.lit("operational_uncertainty"), F.lit("evidence_backed"), "finding_type"), either(F.lit("high"), part(2), "severity"),
+        either(F.concat(F.lit(GAP_TEXT), "reason"), part(0), "summary"), either(F.lit(GAP_ACTION), part(1), "action"),
+        F.when(F.col("weak"), F.concat("query", F.lit(": "), "reason")).alias("limitation"),
+    )
 
 
 def name_topics(names: DataFrame, column: str = "feature") -> DataFrame:
@@ -89,12 +141,13 @@ def plan_gap_queries(plans: DataFrame, bundles: DataFrame, limit: int = 5) -> Da
     """(mission_id, query_id, topic, result): planned queries to run, or why one is skipped.
 
     ``plans`` has (mission_id, query_id, query, intent, place); ``bundles`` also support_status. The first planned
-    query of a topic runs; ``over_limit`` marks those beyond ``limit``.
+    query of a topic runs; ``over_limit`` marks those beyond ``limit``. A planned query's topic is the first whose
+    parts its words touch (see SIGNAL_TOPICS), a bundle's is that of query_topic.
     """
     topic = query_topic(F.col("query"), F.col("intent"))
     done = bundles.select("mission_id", F.lower(F.trim("query")).alias("text"), F.lit(True).alias("done")).distinct()
     held = bundles.where(F.col("support_status").isin("supported", "partially_supported")).select("mission_id", topic.alias("topic"), F.lit(True).alias("held")).distinct()
-    rows = plans.withColumn("topic", topic).withColumn("text", F.lower(F.trim("query"))).join(done, ["mission_id", "text"], "left").join(held, ["mission_id", "topic"], "left")
+    rows = plans.withColumn("topic", signal_topic(F.col("query"))).withColumn("text", F.lower(F.trim("query"))).join(done, ["mission_id", "text"], "left").join(held, ["mission_id", "topic"], "left")
     first = F.when(F.col("done"), "already_retrieved").when(F.col("held"), "topic_already_supported")
     nth = F.row_number().over(Window.partitionBy("mission_id", "topic", F.col("result").isNull()).orderBy("place"))
     chosen = rows.withColumn("result", first).withColumn("n", nth).withColumn("result", F.when(F.col("result").isNull() & (F.col("n") > 1), "duplicate_topic").otherwise(F.col("result")))
@@ -103,14 +156,26 @@ def plan_gap_queries(plans: DataFrame, bundles: DataFrame, limit: int = 5) -> Da
 
 
 def normalize_recommendations(rows: DataFrame, bundles: DataFrame) -> DataFrame:
-    """mission_id, recommendation, confidence: synonyms to the known values, confidence within [0, 1] (0.5 where none), and go held back to caution where any bundle is insufficient."""
-    low, out = F.lower(F.trim(F.coalesce("recommendation", F.lit("")))), F.lit("insufficient_evidence")
+    """mission_id, recommendation, status, confidence and auto_finding.
+
+    ``rows`` has recommendation and confidence, and where they exist status, n_findings and structural (whether a
+    finding is structural). Words become the known values, others degraded. A status that is none of STATUSES is
+    completed, of degraded ones degraded. Confidence lies within [0, 1]; where there is none it is 0.5, of degraded and
+    insufficient ones 0. A completed go, caution or no_go without findings gets one (auto_finding). Where any bundle is
+    insufficient, all but a structural no_go become insufficient_evidence of 0.5 at most.
+    """
+    have = lambda c, else_: F.coalesce(F.col(c), F.lit(else_)) if c in rows.columns else F.lit(else_)
+    word, out = F.regexp_replace(F.lower(F.trim("recommendation")), "-", "_"), F.lit("degraded")
     for k, v in RECOMMENDATIONS.items():
-        out = F.when(low == k, v).otherwise(out)
+        out = F.when(word == k, v).otherwise(out)
     weak = bundles.where("support_status = 'insufficient_evidence'").select("mission_id", F.lit(True).alias("weak")).distinct()
-    held = rows.join(weak, "mission_id", "left").withColumn("r", out)
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5))))
-    return held.select("mission_id", F.when((F.col("r") == "go") & F.col("weak"), "caution").otherwise(F.col("r")).alias("recommendation"), sure.alias("confidence"))
+    r, status = F.col("r"), F.lower(F.trim(have("status", "")))
+    held = rows.select("mission_id", out.alias("r"), status.alias("s"), F.col("confidence"), have("n_findings", 0).alias("n"), have("structural", False).alias("structural"))
+    held = held.withColumn("status", F.when(F.col("s").isin(STATUSES), F.col("s")).when(r == "degraded", "degraded").otherwise("completed"))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.when(r.isin("degraded", "insufficient_evidence"), 0.0).otherwise(0.5))))
+    back = F.coalesce("weak", F.lit(False)) & ~((r == "no_go") & F.col("structural"))
+    auto = r.isin("go", "caution", "no_go") & (F.col("status") == "completed") & (F.col("n") == 0)
+    return held.join(weak, "mission_id", "left").select("mission_id", F.when(back, "insufficient_evidence").otherwise(r).alias("recommendation"), "status", F.when(back, F.least(sure, F.lit(0.5))).otherwise(sure).alias("confidence"), auto.alias("auto_finding"))
 
 
 def manifest_integrity(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -133,29 +198,34 @@ def profile_data_quality(rows: DataFrame, core: list[str], others: list[str], fl
     return rows.select(key, F.round(score + 1e-12, 9).alias("score"), F.array_join(lacking, ",").alias("missing_core"), ((F.size(lacking) == 0) & ~breach).alias("usable"))
 
 
-def clean(value: object, depth: int = 0, text: int = 500, items: int = 64, levels: int = 8) -> object:
-    """A JSON value without secret-like keys, long texts, long lists, deep levels and numbers that aren't finite."""
+def clean(value: object, depth: int = 0, allowed: frozenset[str] | None = None, text: int = 500, items: int = 64, levels: int = 8) -> object:
+    """A JSON value without forbidden keys, and with long texts cut (three dots at the end), long lists cut, deep levels marked and numbers that aren't finite null. ``allowed``: keys of the top level that are kept."""
     if depth >= levels:
-        return None
+        return TOO_DEEP
     if isinstance(value, dict):
-        return {k: clean(v, depth + 1) for k, v in value.items() if not any(p in k.lower() for p in SECRET_PARTS)}
+        kept = ((k, v) for k, v in value.items() if allowed is None or k in allowed)
+        return {k: clean(v, depth + 1) for k, v in kept if (low := k.strip().lower()) not in FORBIDDEN_KEYS and not any(p in low for p in SECRET_PARTS)}
+    if allowed is not None:
+        return {}
     if isinstance(value, list):
         return [clean(v, depth + 1) for v in value[:items]]
     if isinstance(value, float) and not math.isfinite(value):
         return None
-    return value[:text] if isinstance(value, str) else value
+    return value[: text - 3] + "..." if isinstance(value, str) and len(value) > text else value
 
 
-def clean_texts(texts: pd.Series) -> pd.Series:
-    def one(t: str | None) -> str | None:
-        try:
-            return None if t is None else json.dumps(clean(json.loads(t)), sort_keys=True, ensure_ascii=False)
-        except ValueError:
-            return None
+def sanitize_public(column: str, allowed: list[str] | None = None) -> Column:
+    """A JSON text column made fit for the public; null where it can't be read. ``allowed``: the only keys of the top level that stay; what is no object is then an empty one."""
+    keys = None if allowed is None else frozenset(allowed)
 
-    return texts.map(one)
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(clean(json.loads(t), 0, keys), sort_keys=True, ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return None
 
+        return texts.map(one)
 
-def sanitize_public(column: str) -> Column:
-    """A JSON text column made fit for the public; null where it can't be read."""
-    return F.pandas_udf(clean_texts, "string")(F.col(column))
+    return cleaned(F.col(column))

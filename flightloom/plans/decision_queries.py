@@ -26,7 +26,7 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = joined(spark, sf_dir)
-    return J.ml_signal_finding(rows).unionByName(J.uncertainty_findings(rows)).unionByName(J.capability_margin_findings(rows))
+    return J.ml_signal_finding(rows).unionByName(J.uncertainty_findings(rows)).unionByName(J.capability_margin_findings(rows)).unionByName(J.limitation_findings(bundles(spark, sf_dir)))
 
 
 BASE = f"{SCORED_SQL}, joined AS (SELECT * FROM missions LEFT JOIN profiles ON mission_user_id = user_id AND mission_profile_id = profile_id), {BUNDLES_SQL}"
@@ -45,7 +45,8 @@ MARGINS = " UNION ALL ".join(
         ONE("profile_altitude_margin", "medium", "altitude", "uav_rotorcraft_hover_ceiling_m > 0 AND airspace_altitude_agl_max_m >= uav_rotorcraft_hover_ceiling_m * 0.85"),
     ]
 )
-WITH_FINDINGS = f"{BASE}, findings AS ({ML_FINDING} UNION ALL {UNSURE} UNION ALL {MARGINS})"
+LIMITED = "SELECT DISTINCT mission_id, 'evidence_limitation' AS finding_id, 'limitation' AS finding_type, 'high' AS severity, CAST(NULL AS VARCHAR) AS topic FROM bundles WHERE support_status = 'insufficient_evidence'"
+WITH_FINDINGS = f"{BASE}, findings AS ({ML_FINDING} UNION ALL {UNSURE} UNION ALL {MARGINS} UNION ALL {LIMITED})"
 
 
 @query(f"{BASE} {ML_FINDING}")
@@ -102,7 +103,7 @@ def evidence_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 RECOMMEND_SQL = """doubtful AS (SELECT DISTINCT mission_id FROM findings WHERE finding_type IN ('operational_uncertainty', 'limitation')),
 advised AS (SELECT s.mission_id, CASE WHEN NOT coalesce(b.ok, false) THEN 'insufficient_evidence' WHEN predicted_class <> 'Low Risk' THEN 'caution' WHEN d.mission_id IS NULL THEN 'go' ELSE 'caution' END AS recommendation,
  CASE WHEN NOT coalesce(b.ok, false) THEN 0.2 WHEN predicted_class <> 'Low Risk' THEN 0.55 WHEN d.mission_id IS NULL THEN 0.7 ELSE 0.5 END AS confidence
- FROM scored s LEFT JOIN (SELECT mission_id, bool_or(support_status = 'supported') AS ok FROM bundles GROUP BY 1) b USING (mission_id) LEFT JOIN doubtful d ON d.mission_id = s.mission_id)"""
+ FROM scored s LEFT JOIN (SELECT mission_id, bool_or(support_status IN ('supported', 'partially_supported') AND n_citations > 0) AS ok FROM bundles GROUP BY 1) b USING (mission_id) LEFT JOIN doubtful d ON d.mission_id = s.mission_id)"""
 
 
 @query(f"{WITH_FINDINGS}, {RECOMMEND_SQL} SELECT mission_id, recommendation, CAST(confidence AS DOUBLE) AS confidence FROM advised")
@@ -157,10 +158,10 @@ def decision_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 REASON = "'Bundle status ' || support_status || '.'"
 
 
-@query(f"{DECIDE_SQL} SELECT mission_id, 'Weighted decision score is ' || printf('%.3f', decision_score + 1e-9) || '; final decision is ' || final_decision || '.' || coalesce('|' || r, '') AS reasons FROM decided LEFT JOIN (SELECT mission_id, string_agg(reason, '|' ORDER BY k) AS r FROM (SELECT mission_id, {REASON} AS reason, min(k) AS k FROM bundles GROUP BY 1, 2) GROUP BY 1) USING (mission_id)")
+@query(f"{DECIDE_SQL} SELECT mission_id, 'Weighted decision score is ' || printf('%.3f', decision_score + 1e-9) || '; final decision is ' || final_decision || '.' || CASE WHEN coalesce(weak, false) THEN '|Insufficient evidence prevents overconfident GO.' ELSE '' END || coalesce('|' || r, '') AS reasons FROM decided LEFT JOIN (SELECT mission_id, bool_or(support_status = 'insufficient_evidence') AS weak FROM bundles GROUP BY 1) USING (mission_id) LEFT JOIN (SELECT mission_id, string_agg(reason, '|' ORDER BY k) AS r FROM (SELECT mission_id, {REASON} AS reason, min(k) AS k FROM bundles GROUP BY 1, 2) GROUP BY 1) USING (mission_id)")
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reasons = bundles(spark, sf_dir).select("mission_id", F.col("k").cast("int").alias("at_place"), F.expr(REASON).alias("reason"))
-    return J.decision_reasons(decided(spark, sf_dir), reasons).select("mission_id", F.array_join("reasons", "|").alias("reasons"))
+    return J.decision_reasons(decided(spark, sf_dir), reasons, bundles(spark, sf_dir)).select("mission_id", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query(f"{BASE} SELECT mission_id, support_status AS claim_id, n_citations AS citations, min(k) AS at_place FROM bundles GROUP BY 1, 2, 3")

@@ -127,7 +127,8 @@ UNIT_SQL = (
     "CASE " + " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in C.UNIT_BY_NAME.items()) + " " + " ".join(f"WHEN ends_with(name, '{k}') THEN '{v}'" for k, v in C.UNIT_BY_SUFFIX.items())
     + " " + " ".join(f"WHEN {PARTS_SQL('name', p)} THEN '{k}'" for k, p in C.UNIT_BY_PART.items()) + " ELSE 'dimensionless' END"
 )
-KIND_SQL = ", ".join(f"CASE WHEN ({PARTS_SQL('name', p)}){' AND NOT contains(name, chr(102) || chr(117) || chr(101) || chr(108))' if c == 'battery' else ''} THEN '{c}' END" for c, p in C.CATEGORY_PARTS.items())
+FUEL = "'fuel'"
+KIND_SQL = ", ".join(f"CASE WHEN ({PARTS_SQL('name', p)}){f' AND NOT contains(name, {FUEL})' if c == 'battery' else ''} THEN '{c}' END" for c, p in C.CATEGORY_PARTS.items())
 
 
 @query(f"SELECT name, {UNIT_SQL} AS unit, concat_ws(',', {KIND_SQL}, CASE WHEN contains(name, 'feat_') OR contains(name, '_was_missing') THEN 'derived' END) AS categories FROM (SELECT unnest({C.PROCESSED}) AS name)")
@@ -197,9 +198,9 @@ def deviation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.deviation_report(raw, list(C.COMPOSITES), dict.fromkeys(C.COMPOSITES, 1.0), row)
 
 
-@query(f"{SCORED_SQL} SELECT mission_id, 'High Risk' AS expected, predicted_class, confidence, predicted_class = 'High Risk' AND confidence >= 0.8 AS passed FROM scored WHERE mission_id % 100 = 7")
+@query(f"{SCORED_SQL} SELECT mission_id, 'High Risk' AS expected, predicted_class, confidence, predicted_class = 'High Risk' AND confidence >= 0.8 AS passed  FROM scored")
 def golden_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    golden = B.read(spark, sf_dir, "orders").where("o_orderkey % 100 = 7").select(F.col("o_orderkey").alias("mission_id"), F.lit("High Risk").alias("expected"), F.lit(0.8).alias("least_confidence"))
+    golden = B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mission_id"), F.lit("High Risk").alias("expected"), F.lit(0.8).alias("least_confidence"))
     return D.golden_check(D.risk_from_probabilities(B.missions(spark, sf_dir)), golden)
 
 

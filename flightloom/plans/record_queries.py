@@ -15,14 +15,15 @@ from flightloom.plans.retrieval_queries import SEARCH_SQL, found, history, pages
 from flightloom.sources import tables as A
 from flightloom.streaming import learning as L
 
-ORIGIN = "CASE chunk_id % 11 WHEN 3 THEN 'synthetic' WHEN 5 THEN NULL ELSE 'index' END"
+ORIGIN = "CASE chunk_id % 11 WHEN 3 THEN 'LLM_Synthesis' WHEN 4 THEN 'hyde_generated' WHEN 5 THEN NULL WHEN 6 THEN 'operator_input' ELSE 'local_document' END"
+PAGE = "CASE WHEN chunk_id % 7 = 2 THEN NULL ELSE page END"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).withColumn("origin", F.expr(ORIGIN)).withColumn("retrieval_score", F.col("rrf_score") * 10)
+    return found(spark, sf_dir).withColumn("origin", F.expr(ORIGIN)).withColumn("page", F.expr(PAGE)).withColumn("retrieval_score", F.col("rrf_score") * 10)
 
 
-CANDIDATES_SQL = SEARCH_SQL.replace("found AS (SELECT query_id, chunk_id, source_id, final_score,", "found AS (SELECT query_id, chunk_id, source_id, final_score, page, rrf_score, dense_score, sparse_score, explicit, source_match_score,") + f", cands AS (SELECT *, {ORIGIN} AS origin, rrf_score * 10 AS retrieval_score FROM found WHERE rank <= 10), fit AS (SELECT * FROM cands WHERE coalesce(origin, '') <> 'synthetic')"
+CANDIDATES_SQL = SEARCH_SQL.replace("found AS (SELECT query_id, chunk_id, source_id, final_score,", "found AS (SELECT query_id, chunk_id, source_id, final_score, page, rrf_score, dense_score, sparse_score, explicit, source_match_score,") + f", cands AS (SELECT *, {ORIGIN} AS origin, rrf_score * 10 AS retrieval_score FROM found WHERE rank <= 10), fit AS (SELECT * FROM cands WHERE origin IS NULL OR origin NOT IN ('LLM_Synthesis', 'hyde_generated'))"
 
 
 @query(f"{CANDIDATES_SQL} SELECT query_id, chunk_id FROM fit")
@@ -30,9 +31,9 @@ def sufficient_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.sufficient_candidates(candidates(spark, sf_dir)).select("query_id", "chunk_id")
 
 
-WITHIN = lambda c: f"greatest(0.0, least(1.0, {c}))"
-CITED_SQL = f"""{CANDIDATES_SQL}, cited AS (SELECT query_id, 'cit_' || chunk_id AS citation_id, source_id, page, coalesce(origin, 'retrieved') AS origin, {', '.join(f'{WITHIN(c)} AS {c}' for c in H.BLEND)} FROM fit),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, citation_id) AS INT) AS rank, 0.6 * final_score + 0.2 * retrieval_score + 0.1 * dense_score + 0.1 * sparse_score AS blend FROM cited),
+CITED_SQL = f"""{CANDIDATES_SQL}, cited AS (SELECT query_id, 'cit_' || chunk_id AS citation_id, source_id, page, CASE WHEN origin = 'local_document' THEN origin ELSE 'retrieval_system' END AS origin,
+ greatest(0.0, least(1.0, final_score)) AS final_score, greatest(0.0, least(1.0, dense_score)) AS dense_score, greatest(0.0, least(1.0, sparse_score)) AS sparse_score, greatest(0.0, least(1.0, source_match_score)) AS source_match_score FROM fit),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, citation_id) AS INT) AS rank, 0.6 * final_score + 0.2 * dense_score + 0.1 * sparse_score + 0.1 * source_match_score AS blend FROM cited),
 bundled AS (SELECT q.item_id AS query_id, CASE WHEN count(r.rank) = 0 THEN 'insufficient_evidence' ELSE 'supported' END AS support_status, coalesce(string_agg(citation_id, ',' ORDER BY rank), '') AS citation_ids, round(coalesce(max(final_score), 0), 9) AS confidence, CASE WHEN count(r.rank) = 0 THEN 'No sufficient evidence was found.' END AS no_evidence_reason FROM benchmark q LEFT JOIN ranked r ON r.query_id = q.item_id AND r.rank <= 3 GROUP BY 1)"""
 
 
@@ -45,7 +46,7 @@ def build_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.build_citations(H.sufficient_candidates(candidates(spark, sf_dir))).select("query_id", "citation_id", "origin", F.round("final_score", 9).alias("final_score"))
 
 
-@query(f"{CITED_SQL} SELECT query_id, rank, citation_id, CASE WHEN blend >= 0.65 THEN 'high' WHEN blend >= 0.45 THEN 'medium' WHEN blend >= 0.25 THEN 'low' ELSE 'very_low' END AS label FROM ranked")
+@query(f"{CITED_SQL} SELECT query_id, rank, citation_id, CASE WHEN blend >= 0.65 THEN 'HIGH' WHEN blend >= 0.45 THEN 'MEDIUM' WHEN blend >= 0.25 THEN 'LOW' ELSE 'VERY LOW' END AS label FROM ranked")
 def rank_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(spark, sf_dir).select("query_id", "rank", "citation_id", "label")
 
@@ -71,9 +72,13 @@ def flatten_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.flatten_citations(query_bundles(spark, sf_dir))
 
 
-@query(f"WITH {BUNDLES_SQL} SELECT mission_id, CASE WHEN good = n THEN 'grounded' WHEN weak = n THEN 'insufficient' WHEN good + weak > 0 THEN 'partial' ELSE 'unknown' END AS evidence_status FROM (SELECT mission_id, count(*) AS n, sum(CASE WHEN support_status = 'supported' THEN 1 ELSE 0 END) AS good, sum(CASE WHEN support_status = 'insufficient_evidence' THEN 1 ELSE 0 END) AS weak FROM bundles GROUP BY 1)")
+@query(f"""WITH {BUNDLES_SQL}, asked_for AS (SELECT *, (mission_id + k) % 7 = 0 AS synthetic FROM bundles WHERE (mission_id + 2 * k) % 5 <> 0),
+counted AS (SELECT o_orderkey AS mission_id, count(k) AS n, count(CASE WHEN support_status = 'supported' THEN 1 END) AS good, count(CASE WHEN support_status = 'partially_supported' THEN 1 END) AS half, count(CASE WHEN support_status = 'insufficient_evidence' THEN 1 END) AS weak, coalesce(bool_or(synthetic), false) AS made FROM orders LEFT JOIN asked_for ON mission_id = o_orderkey GROUP BY 1),
+named AS (SELECT mission_id, CASE WHEN n = 0 THEN 'unavailable' WHEN good = n THEN 'grounded' WHEN good + half = n THEN 'partial' WHEN weak = n AND made THEN 'synthetic_only' WHEN weak = n THEN 'insufficient' ELSE 'partial' END AS evidence_status FROM counted)
+SELECT *, CASE evidence_status WHEN 'grounded' THEN true WHEN 'unavailable' THEN NULL ELSE false END AS grounded FROM named""")
 def scenario_evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.scenario_evidence_status(bundles(spark, sf_dir))
+    held = bundles(spark, sf_dir).withColumn("synthetic", F.expr("(mission_id + k) % 7 = 0")).withColumn("retrieval_origin", F.expr("CASE (mission_id + 2 * k) % 5 WHEN 0 THEN 'agent_requested' WHEN 1 THEN NULL ELSE 'scenario_driven' END"))
+    return H.scenario_evidence_status(held, B.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS mission_id"))
 
 
 CASES_SQL = f"{CITED_SQL}, cases AS (SELECT q.item_id AS query_id, count(r.rank) AS n, coalesce(bool_or(contains(r.source_id, 'src' || CAST(q.item_id % 10 AS VARCHAR))), false) AS matched FROM benchmark q LEFT JOIN ranked r ON r.query_id = q.item_id GROUP BY 1), judged AS (SELECT query_id, n, matched, CASE WHEN query_id % 4 > 0 THEN n >= 2 AND matched ELSE n = 0 END AS passed FROM cases)"
@@ -146,22 +151,24 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.render_markdown(K.report_lines(decided(spark, sf_dir)))
 
 
-NOTE = "CASE event_id % 3 WHEN 0 THEN concat('My  Password is ', props, ' and TOKEN x') WHEN 1 THEN concat(' plain ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props) END"
-WORDS = "|".join(sorted(K.REDACTED, key=len, reverse=True))
+NOTE = "CASE event_id % 4 WHEN 0 THEN concat('My  Chain_of_Thought is ', props, ' and a THOUGHT x') WHEN 1 THEN concat(' plain ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props) WHEN 2 THEN '  ' END"
+WORDS = "internal_reasoning|private_reasoning|chain_of_thought|reasoning_chain|scratchpad|thought"
 
 
-@query(f"SELECT event_id, CASE WHEN length(h) > 120 THEN rtrim(substr(h, 1, 117)) || '...' ELSE h END AS note FROM (SELECT event_id, CASE WHEN regexp_matches(lower(p), '{WORDS}') THEN regexp_replace(lower(p), '{WORDS}', '[redacted]', 'g') ELSE p END AS h FROM (SELECT event_id, trim(regexp_replace({NOTE}, '\\s+', ' ', 'g')) AS p FROM events))")
+@query(f"SELECT event_id, CASE WHEN h = '' THEN 'not_available' WHEN length(h) > 120 THEN rtrim(substr(h, 1, 117)) || '...' ELSE h END AS note FROM (SELECT event_id, CASE WHEN regexp_matches(lower(p), '{WORDS}') THEN regexp_replace(lower(p), '{WORDS}', '[redacted_forbidden_token]', 'g') ELSE p END AS h FROM (SELECT event_id, trim(regexp_replace(coalesce({NOTE}, 'not_available'), '\\s+', ' ', 'g')) AS p FROM events))")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read(spark, sf_dir, "events").selectExpr("event_id", f"{NOTE} AS t").select("event_id", K.redact_text(F.col("t"), 120).alias("note"))
 
 
-TOLD = "concat('The score is ', CAST((mission_id % 100) / 100.0 AS VARCHAR(9)), '; final decision is ', CASE mission_id % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'caution' ELSE 'no_go' END, '.')"
+TOLD = "concat('A Decision Score of ', CAST((mission_id % 100) / 100.0 AS VARCHAR(9)), ' with confidence level: ', CASE mission_id % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'medium' WHEN 2 THEN 'High' ELSE 'unknown' END, '; FINAL decision ', CASE mission_id % 5 WHEN 0 THEN 'is go' WHEN 1 THEN '= Caution' WHEN 2 THEN 'is no_go' WHEN 3 THEN 'no go' ELSE 'stays open' END, '.')"
 
 
-@query(f"{DECIDE_SQL} SELECT mission_id, 'score_mismatch' AS code FROM decided WHERE abs((mission_id % 100) / 100.0 - decision_score) > 0.02 UNION ALL SELECT mission_id, 'decision_mismatch' FROM decided WHERE final_decision <> CASE mission_id % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'caution' ELSE 'no_go' END")
+@query(f"""{DECIDE_SQL} SELECT mission_id, 'score_mismatch' AS code FROM decided WHERE abs((mission_id % 100) / 100.0 - decision_score) > 0.02
+UNION ALL SELECT mission_id, 'confidence_mismatch' FROM decided WHERE mission_id % 4 < 3 AND confidence_level <> CASE mission_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END
+UNION ALL SELECT mission_id, 'decision_mismatch' FROM decided WHERE mission_id % 5 < 4 AND final_decision <> CASE mission_id % 5 WHEN 0 THEN 'go' WHEN 1 THEN 'caution' ELSE 'no_go' END""")
 def narrative_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = B.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS mission_id").selectExpr("mission_id", TOLD.replace("VARCHAR(9)", "STRING").replace("/ 100.0", "/ 100") + " AS narrative")
-    return K.narrative_conflicts(told, decided(spark, sf_dir).select("mission_id", "decision_score", "final_decision"))
+    return K.narrative_conflicts(told, decided(spark, sf_dir))
 
 
 @query(f"WITH {BUNDLES_SQL} SELECT mission_id, 'bundle_' || (k + 1) AS ref FROM bundles WHERE k = mission_id % 4")

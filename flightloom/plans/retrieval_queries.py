@@ -24,7 +24,7 @@ PAGES_SQL = f"pages_of AS (SELECT doc_id AS chunk_id, row_number() OVER (PARTITI
 TOKENS_SQL = "tokens AS (SELECT doc_id AS chunk_id, t.term FROM documents, LATERAL (SELECT unnest(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS term) t WHERE length(t.term) > 2)"
 POSTINGS_SQL = "postings AS (SELECT term, chunk_id, count(*) AS tf FROM tokens GROUP BY 1, 2), docs AS (SELECT d.doc_id AS chunk_id, count(t.term) AS dl FROM documents d LEFT JOIN tokens t ON t.chunk_id = d.doc_id GROUP BY 1), stats AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1.0) AS idf FROM postings GROUP BY 1)"
 INDEX_SQL = f"{TOKENS_SQL}, {POSTINGS_SQL}"
-QUERY_TEXT = "array_to_string(string_split_regex(text, '\\s+')[1:12], ' ')"
+QUERY_TEXT = "text"
 BM25_SQL = f"""{INDEX_SQL}, terms AS (SELECT item_id AS query_id, t.term, count(*) AS times FROM benchmark, LATERAL (SELECT unnest(string_split_regex(lower({QUERY_TEXT}), '\\s+')) AS term) t WHERE t.term <> '' GROUP BY 1, 2),
 scored AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM docs)))) AS score FROM terms JOIN stats USING (term) JOIN postings USING (term) JOIN docs USING (chunk_id) GROUP BY 1, 2),
 sparse AS (SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, score / max(score) OVER (PARTITION BY query_id) AS sparse_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored) WHERE rank <= 30)"""
@@ -34,8 +34,7 @@ FUSED_SQL = f"WITH {BM25_SQL}, {DENSE_SQL}, fused AS (SELECT query_id, chunk_id,
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
-    return B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first.alias("query"))
+    return B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -284,12 +283,14 @@ SCENE = {
     "e_stop_functional": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 19 = 0 END",
     "wind_speed_kt": "CAST(o_orderkey % 25 AS DOUBLE)",
     "precipitation_mm": "CAST(o_custkey % 7 AS DOUBLE)",
-    "airspace_class": "CASE WHEN o_custkey % 6 = 0 THEN 'C' END",
+    "airspace_class": "CASE WHEN o_custkey % 6 = 0 THEN 'C' WHEN o_custkey % 6 = 1 THEN '' END",
+    "operational_authorization": "CASE WHEN o_custkey % 11 = 0 THEN true WHEN o_custkey % 11 = 1 THEN false END",
+    "geo_fence_status": "CASE WHEN o_custkey % 13 = 0 THEN 'active' END",
     "battery_capacity_mah": "CAST(o_orderkey % 100 AS DOUBLE)",
     "operation_type": "CASE o_orderkey % 4 WHEN 0 THEN 'Aerial Survey' WHEN 1 THEN 'delivery' WHEN 2 THEN 'Tower INSPECTION' END",
 }
 SCENE_SQL = f"scene AS (SELECT o_orderkey AS mission_id, {', '.join(f'{v} AS {k}' for k, v in SCENE.items())} FROM orders)"
-KIND_SQL = f"{SCENE_SQL}, kinds AS (SELECT mission_id, CASE WHEN emergency_procedure_available OR flight_termination_system OR coalesce(e_stop_functional, false) THEN 'emergency_response' WHEN wind_speed_kt > 20 OR precipitation_mm > 5 THEN 'adverse_weather' WHEN airspace_class IS NOT NULL THEN 'regulatory_compliance' WHEN battery_capacity_mah < 20 THEN 'technical_degradation' WHEN lower(operation_type) LIKE '%survey%' THEN 'survey_mission' WHEN lower(operation_type) LIKE '%delivery%' THEN 'delivery_mission' WHEN lower(operation_type) LIKE '%inspection%' THEN 'inspection_mission' ELSE 'general_operation' END AS scenario_type FROM scene)"
+KIND_SQL = f"{SCENE_SQL}, kinds AS (SELECT mission_id, CASE WHEN emergency_procedure_available OR flight_termination_system OR coalesce(e_stop_functional, false) THEN 'emergency_response' WHEN wind_speed_kt > 20 OR precipitation_mm > 5 THEN 'adverse_weather' WHEN airspace_class <> '' OR operational_authorization OR geo_fence_status <> '' THEN 'regulatory_compliance' WHEN battery_capacity_mah < 20 THEN 'technical_degradation' WHEN lower(operation_type) LIKE '%survey%' THEN 'survey_mission' WHEN lower(operation_type) LIKE '%delivery%' THEN 'delivery_mission' WHEN lower(operation_type) LIKE '%inspection%' THEN 'inspection_mission' ELSE 'general_operation' END AS scenario_type FROM scene)"
 
 
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,9 +316,23 @@ def scenario_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexities(spark, sf_dir).select("mission_id", F.round("complexity", 9).alias("complexity"))
 
 
-@query(f"WITH {PLAN_SQL} SELECT mission_id, concat_ws(',', {', '.join(f'CASE WHEN {k} <= {v} THEN {chr(39)}{k}{chr(39)} END' for k, v in G.PRIORITY_LIMITS.items() if k in PLAN)}) AS priority_features FROM plan")
+SWITCHES = {
+    "communication_range_km": "CAST(mission_id % 4 AS DOUBLE)",
+    "gps_quality": "CAST(mission_id % 11 AS DOUBLE)",
+    "rc_link_quality": "CAST(mission_id % 101 AS DOUBLE)",
+    "emergency_procedure_available": "mission_id % 3 = 0",
+    "flight_termination_system": "CASE WHEN mission_id % 5 > 0 THEN mission_id % 2 = 0 END",
+    "parachute_equipped": "true",
+    "system_redundancy_level": "CAST(mission_id % 4 AS DOUBLE)",
+}
+
+
+@query(f"""WITH {PLAN_SQL}, switched AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in SWITCHES.items())} FROM plan)
+SELECT mission_id, concat_ws(',', CASE WHEN wind_speed_kt <= 25 THEN 'wind_speed_kt' END, CASE WHEN flight_altitude_m <= 400 THEN 'flight_altitude_m' END, CASE WHEN obstacle_proximity_m <= 20 THEN 'obstacle_proximity_m' END, CASE WHEN battery_capacity_mah <= 10 THEN 'battery_capacity_mah' END,
+ CASE WHEN communication_range_km <= 1 THEN 'communication_range_km' END, CASE WHEN gps_quality <= 5 THEN 'gps_quality' END, CASE WHEN rc_link_quality <= 50 THEN 'rc_link_quality' END, CASE WHEN NOT emergency_procedure_available THEN 'emergency_procedure_available' END,
+ CASE WHEN NOT flight_termination_system THEN 'flight_termination_system' END, CASE WHEN NOT parachute_equipped THEN 'parachute_equipped' END, CASE WHEN system_redundancy_level = 0 THEN 'system_redundancy_level' END) AS priority_features FROM switched""")
 def priority_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plan(spark, sf_dir).select("*", *(F.lit(None).cast("double").alias(k) for k in G.PRIORITY_LIMITS if k not in PLAN))
+    rows = plan(spark, sf_dir).selectExpr("*", *(f"{v} AS {k}" for k, v in SWITCHES.items()))
     return G.priority_features(rows).select("mission_id", F.array_join("priority_features", ",").alias("priority_features"))
 
 

@@ -26,13 +26,28 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundles(spark, sf_dir).selectExpr("*", "k AS query_id", f"{ASKED} AS query", f"{MEANT} AS intent")
 
 
-@query(f"WITH {ASKED_SQL} SELECT mission_id, query_id, topic, CASE support_status WHEN 'insufficient_evidence' THEN 'operational_uncertainty' ELSE 'evidence_backed' END AS finding_type, CASE WHEN support_status <> 'insufficient_evidence' AND topic IN ('airspace', 'c2') THEN 'high' ELSE 'medium' END AS severity FROM topical")
+FINDING_SQL = """SELECT mission_id, query_id, topic, 'operational_uncertainty' AS finding_type, 'high' AS severity, 'Unresolved operational topic: Evidence was insufficient for this query.' AS summary,
+ 'Treat this topic as unresolved and seek additional evidence/operator review.' AS action, query || ': Evidence was insufficient for this query.' AS limitation FROM topical WHERE support_status = 'insufficient_evidence'
+UNION ALL SELECT mission_id, query_id, topic, 'evidence_backed', CASE WHEN topic IN ('airspace', 'c2') THEN 'high' ELSE 'medium' END,
+ CASE topic WHEN 'weather' THEN 'Weather and wind conditions require preflight assessment before mission launch.' WHEN 'airspace' THEN 'Controlled/restricted airspace context requires authorization or operational review.'
+  WHEN 'vlos' THEN 'Visual line-of-sight operating requirements should be reviewed for this mission context.' WHEN 'c2' THEN 'Command-and-control link reliability is an operational concern for mission safety.'
+  WHEN 'sora_volume' THEN 'Operational volume and ground-risk context should be evaluated using SORA-style risk controls.' ELSE 'Operational evidence indicates additional UAV mission review is warranted.' END,
+ CASE topic WHEN 'weather' THEN 'Review local weather, wind direction/speed, gusts, and define mission wind limits before flight.' WHEN 'airspace' THEN 'Verify airspace class, authorization requirements, and no-fly/restriction proximity before launch.'
+  WHEN 'vlos' THEN 'Confirm remote pilot/visual observer responsibilities and maintain VLOS constraints.' WHEN 'c2' THEN 'Verify uplink/downlink reliability, contingency procedures, and lost-link behavior.'
+  WHEN 'sora_volume' THEN 'Review operational volume, adjacent area, containment, and mitigation assumptions.' ELSE 'Perform targeted operator review for this topic and confirm mission assumptions before launch.' END, NULL
+FROM topical WHERE support_status IN ('supported', 'partially_supported') AND n_citations > 0"""
+
+
+@query(f"WITH {ASKED_SQL} {FINDING_SQL}")
 def evidence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.evidence_findings(asked(spark, sf_dir))
 
 
+PLANNED = "CASE WHEN query = 'wind limits' THEN 'weather' WHEN query LIKE 'controlled%' THEN 'airspace' WHEN query LIKE 'c2%' THEN 'c2' WHEN query LIKE 'keep%' THEN 'vlos' WHEN query LIKE 'battery%' THEN 'energy' ELSE 'general' END"
+
+
 @query(f"""WITH {ASKED_SQL}, plans AS (SELECT o_orderkey AS mission_id, k AS query_id, k AS place FROM orders, (SELECT unnest(range(10, 18)) AS k)),
-planned AS (SELECT *, {ASKED.replace('k)', 'query_id)')} AS query, {MEANT.replace('k)', 'query_id)')} AS intent FROM plans), judged AS (SELECT p.*, {TOPIC} AS topic FROM planned p),
+planned AS (SELECT *, {ASKED.replace('k)', 'query_id)')} AS query, {MEANT.replace('k)', 'query_id)')} AS intent FROM plans), judged AS (SELECT p.*, {PLANNED} AS topic FROM planned p),
 one AS (SELECT j.*, CASE WHEN EXISTS (SELECT 1 FROM asked a WHERE a.mission_id = j.mission_id AND a.query = j.query) THEN 'already_retrieved' WHEN EXISTS (SELECT 1 FROM topical t WHERE t.mission_id = j.mission_id AND t.topic = j.topic AND t.support_status <> 'insufficient_evidence') THEN 'topic_already_supported' END AS early FROM judged j),
 two AS (SELECT *, CASE WHEN early IS NULL AND row_number() OVER (PARTITION BY mission_id, topic, early IS NULL ORDER BY place) > 1 THEN 'duplicate_topic' ELSE early END AS result FROM one)
 SELECT mission_id, query_id, topic, coalesce(result, CASE WHEN row_number() OVER (PARTITION BY mission_id, result IS NULL ORDER BY place) <= 2 THEN 'run' ELSE 'over_limit' END) AS result FROM two""")
@@ -41,11 +56,19 @@ def plan_gap_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.plan_gap_queries(plans, asked(spark, sf_dir), 2)
 
 
-@query(f"WITH {BUNDLES_SQL} SELECT o_orderkey AS mission_id, CASE WHEN r = 'go' AND weak THEN 'caution' ELSE r END AS recommendation, CAST(c AS DOUBLE) AS confidence FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'go' WHEN 1 THEN 'caution' WHEN 2 THEN 'no_go' ELSE 'insufficient_evidence' END AS r, CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE 0.25 END AS c FROM orders) LEFT JOIN (SELECT mission_id, true AS weak FROM bundles WHERE support_status = 'insufficient_evidence' GROUP BY 1) ON mission_id = o_orderkey")
+SAID = "CASE mission_id % 7 WHEN 0 THEN ' Approve' WHEN 1 THEN 'Conditional-Go' WHEN 2 THEN 'NO-GO' WHEN 3 THEN 'perhaps' WHEN 4 THEN 'rejected' WHEN 5 THEN 'no_evidence' END"
+SURE = "CASE mission_id % 4 WHEN 1 THEN CAST(7 AS DOUBLE) WHEN 2 THEN CAST(-1 AS DOUBLE) WHEN 3 THEN CAST(0.75 AS DOUBLE) END"
+STATE = "CASE mission_id % 3 WHEN 1 THEN 'Failed' WHEN 2 THEN 'done' END"
+
+
+@query(f"""WITH {BUNDLES_SQL}, said AS (SELECT o_orderkey AS mission_id, o_orderkey % 7 AS s, o_orderkey % 4 AS c, o_orderkey % 3 AS t, o_orderkey % 2 = 0 AS structural, o_orderkey % 5 AS n FROM orders),
+read AS (SELECT *, CASE s WHEN 0 THEN 'go' WHEN 1 THEN 'caution' WHEN 2 THEN 'no_go' WHEN 4 THEN 'no_go' WHEN 5 THEN 'insufficient_evidence' ELSE 'degraded' END AS r FROM said),
+sure AS (SELECT *, CASE WHEN t = 1 THEN 'failed' WHEN r = 'degraded' THEN 'degraded' ELSE 'completed' END AS status, CASE c WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.75 ELSE CASE WHEN r IN ('degraded', 'insufficient_evidence') THEN 0.0 ELSE 0.5 END END AS x FROM read),
+held AS (SELECT sure.*, coalesce(weak, false) AND NOT (r = 'no_go' AND structural) AS back FROM sure LEFT JOIN (SELECT DISTINCT mission_id, true AS weak FROM bundles WHERE support_status = 'insufficient_evidence') USING (mission_id))
+SELECT mission_id, CASE WHEN back THEN 'insufficient_evidence' ELSE r END AS recommendation, status, CAST(CASE WHEN back THEN least(x, 0.5) ELSE x END AS DOUBLE) AS confidence, r IN ('go', 'caution', 'no_go') AND status = 'completed' AND n = 0 AS auto_finding FROM held""")
 def normalize_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "CASE mission_id % 5 WHEN 0 THEN ' Approve' WHEN 1 THEN 'Conditional-Go' WHEN 2 THEN 'NO-GO' WHEN 3 THEN 'perhaps' END AS recommendation"
-    sure = "CASE mission_id % 4 WHEN 1 THEN 7D WHEN 2 THEN -1D WHEN 3 THEN 0.25D END AS confidence"
-    return I.normalize_recommendations(B.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS mission_id").selectExpr("mission_id", said, sure), bundles(spark, sf_dir))
+    rows = B.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS mission_id")
+    return I.normalize_recommendations(rows.selectExpr("mission_id", f"{SAID} AS recommendation", f"{SURE} AS confidence", f"{STATE} AS status", "CAST(mission_id % 5 AS INT) AS n_findings", "mission_id % 2 = 0 AS structural"), bundles(spark, sf_dir))
 
 
 FIELD_ROWS = [(f, t, i) for f in S.SCENARIO_RAW for i, (t, parts) in enumerate(I.NAME_TOPICS.items()) if any(p in f for p in parts)]
