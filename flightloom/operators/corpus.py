@@ -54,9 +54,11 @@ def tokenize(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", index_tokens(F.col("text")).alias("tokens"))
 
 
-def build_postings(tokens: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf)."""
-    return tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+def build_postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf); only of ``terms`` (term), if given, which are then looked up before anything is shuffled."""
+    each = tokens.select("chunk_id", F.explode("tokens").alias("term"))
+    each = each if terms is None else each.join(terms.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def term_stats(postings: DataFrame, n_chunks: int) -> DataFrame:

@@ -93,6 +93,13 @@ def top_attributions(contributions: DataFrame, n: int = 10, key: str = "mission_
     return contributions.withColumn("rank", ranked).where(F.col("rank") <= n).select(key, "rank", "feature", "value", "contribution", direction(F.col("contribution"), F.col("predicted_class")).alias("direction"))
 
 
+def top_contributions(features: DataFrame, weights: dict[str, tuple[float, float]], predicted: Column, n: int = 10, key: str = "mission_id") -> DataFrame:
+    """top_attributions(linear_contributions(...)) in one pass: a row's contributions are sorted and cut as an array, so nothing is shuffled."""
+    each = F.array(*(F.struct((-F.abs((F.col(f) - m) * c)).alias("order"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), ((F.col(f) - m) * c).alias("contribution")) for f, (c, m) in weights.items()))
+    rows = features.select(key, predicted.alias("_predicted"), F.posexplode(F.slice(F.array_sort(each), 1, n)).alias("_at", "x"))
+    return rows.select(key, (F.col("_at") + 1).alias("rank"), "x.feature", "x.value", "x.contribution", direction(F.col("x.contribution"), F.col("_predicted")).alias("direction"))
+
+
 def deviation_report(features: DataFrame, columns: list[str], reference: dict[str, float], row: int, n: int = 12, key: str = "mission_id") -> DataFrame:
     """The n columns in which one row lies farthest from a reference row, in population deviations of the column; columns without spread are left out."""
     spread = features.agg(*(F.stddev_pop(c).alias(c) for c in columns), *(F.max(F.when(F.col(key) == row, F.col(c))).alias(f"own_{c}") for c in columns))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from flightloom import bindings as B
 from flightloom import schemas as S
+from flightloom.operators import assessment as W
 from flightloom.operators import decision as J
-from flightloom.operators import validate as V
 from flightloom.plans.feature_queries import SCORED_SQL
 from flightloom.plans.registry import query
 from flightloom.plans.validation_queries import ISSUES_SQL, joined
@@ -128,12 +128,12 @@ def profile_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.profile_contribution(B.missions(spark, sf_dir), all_findings(spark, sf_dir))
 
 
+def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.assess_missions(joined(spark, sf_dir), bundles(spark, sf_dir), attributions(spark, sf_dir))
+
+
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, findings, evidence = B.missions(spark, sf_dir), all_findings(spark, sf_dir), bundles(spark, sf_dir)
-    full = joined(spark, sf_dir)
-    blocked = full.where(F.size(V.all_issues()) > 0).select("mission_id")
-    advice = J.recommend(rows, findings, evidence)
-    return J.decide(rows, J.ml_contribution(rows), J.attribution_contribution(attributions(spark, sf_dir), rows), J.evidence_contribution(evidence, rows), J.findings_contribution(rows, findings, advice), J.profile_contribution(rows, findings), findings, blocked)
+    return assessed(spark, sf_dir).select("mission_id", "final_decision", "decision_score", "confidence_level", "ml", "shap", "rag", "agent", "scenario_profile")
 
 
 DECIDE_SQL = f"""{WITH_FINDINGS}, {ISSUES_SQL}, {ML_SQL}, {SHAP_SQL}, {RAG_SQL}, {RECOMMEND_SQL}, {AGENT_SQL},
@@ -150,6 +150,11 @@ def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir)
 
 
+@query(f"{DECIDE_SQL} SELECT d.mission_id, CASE WHEN s.mission_id IS NULL THEN 'open' ELSE 'blocked' END AS status, recommendation, CAST(a.confidence AS DOUBLE) AS confidence, final_decision, decision_score, confidence_level FROM decided d JOIN advised a USING (mission_id) LEFT JOIN stopped s ON s.mission_id = d.mission_id")
+def assess_missions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(spark, sf_dir).select("mission_id", "status", "recommendation", "confidence", "final_decision", "decision_score", "confidence_level")
+
+
 @query(f"{DECIDE_SQL} SELECT mission_id, confidence_level FROM decided")
 def decision_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided(spark, sf_dir).select("mission_id", "confidence_level")

@@ -180,8 +180,7 @@ def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CONTRIBUTIONS_SQL}, scored AS (SELECT mission_id, CASE WHEN p_high >= p_low AND p_high >= p_medium THEN 1 WHEN p_low >= p_medium THEN -1 ELSE 0 END AS side FROM missions) SELECT mission_id, rank, feature, value, contribution, CASE side WHEN 0 THEN CASE WHEN contribution > 0 THEN 'stabilizes_medium_risk' ELSE 'shifts_away_from_medium' END ELSE CASE WHEN (contribution > 0) = (side = 1) THEN 'increases_risk' ELSE 'decreases_risk' END END AS direction FROM (SELECT *, CAST(row_number() OVER (PARTITION BY mission_id ORDER BY abs(contribution) DESC, feature) AS INT) AS rank FROM long JOIN scored USING (mission_id)) WHERE rank <= 4")
 def top_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = B.missions(spark, sf_dir).select("mission_id", D.best_class(F.col("probabilities")).alias("predicted_class"))
-    return D.top_attributions(contributions(spark, sf_dir).join(scored, "mission_id"), 4)
+    return D.top_contributions(C.derive(cleared(spark, sf_dir), *C.STAGES), LINEAR, D.best_class(F.col("probabilities")), 4)
 
 
 NUMERIC = [x for x in S.RAW_FEATURES if x not in S.CATEGORIES and x not in S.DROPPED_DEFAULTS and not x.endswith(S.MISSING)]

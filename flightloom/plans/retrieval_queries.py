@@ -37,10 +37,11 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def index(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, their statistics and those of chunks; of the given terms only, where a search needs no others."""
     chunks = B.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
     tokens = E.tokenize(chunks)
-    postings = E.build_postings(tokens)
+    postings = E.build_postings(tokens, terms)
     return postings, E.term_stats(postings, chunks.count()), E.doc_stats(tokens)
 
 
@@ -134,7 +135,7 @@ def detect_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} SELECT query_id, chunk_id, rank, round(sparse_score, 9) AS sparse_score FROM sparse")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25_topk(search_queries(spark, sf_dir), *index(spark, sf_dir)).withColumn("sparse_score", F.round("sparse_score", 9))
+    return R.bm25_topk(search_queries(spark, sf_dir), *index(spark, sf_dir, R.query_terms(search_queries(spark, sf_dir)))).withColumn("sparse_score", F.round("sparse_score", 9))
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rrf_fuse(R.dense_topk(query_vectors(spark, sf_dir), unit_vectors(spark, sf_dir)), R.bm25_topk(search_queries(spark, sf_dir), *index(spark, sf_dir)))
+    return R.rrf_fuse(R.dense_topk(query_vectors(spark, sf_dir), unit_vectors(spark, sf_dir)), R.bm25_topk(search_queries(spark, sf_dir), *index(spark, sf_dir, R.query_terms(search_queries(spark, sf_dir)))))
 
 
 @query(f"{FUSED_SQL} SELECT query_id, chunk_id, round(rrf_score, 12) AS rrf_score, round(dense_score, 9) AS dense_score, round(sparse_score, 9) AS sparse_score FROM fused")

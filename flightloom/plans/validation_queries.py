@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom import bindings as B
+from flightloom.operators import assessment as W
 from flightloom.operators import validate as V
 from flightloom.plans.registry import query
 
@@ -73,8 +74,7 @@ ISSUES_SQL = f"issues AS ({issues_sql('joined', 'mission_id', ALL_RULES)})"
 
 @query(f"{WITH}, {ISSUES_SQL} SELECT mission_id, 'blocked' AS status, 'no_go' AS final_decision, CAST(count(*) AS INT) AS n_issues, string_agg(code, ',' ORDER BY seq) AS codes FROM issues GROUP BY 1")
 def split_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = joined(spark, sf_dir)
-    return V.split_blocked(rows, V.issue_rows(rows, V.all_issues()))[0]
+    return W.split_by_issues(joined(spark, sf_dir))[0]
 
 
 @query("SELECT event_id, j.k AS field FROM events, LATERAL (SELECT unnest(json_keys(props)) AS k) j WHERE j.k NOT IN ('path', 'n')")

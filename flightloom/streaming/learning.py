@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightloom.operators import validate as V
+from flightloom.operators.assessment import assess_missions
 
 LEARNED = "scenario_type string, query_count long, avg_top_score double, hyde_success_rate double, optimal_k int"
 START = (0, 0.0, 0.0, 60)
@@ -71,11 +72,9 @@ def adaptive_thresholds(scores: DataFrame, corpus_size: int, window: int = 100)
     return scores.select("scenario_type", "entry_id", "timestamp", "top_score").groupBy("scenario_type").applyInPandas(own, "scenario_type string, entry_id long, minimum double")
 
 
-def stream_assess(stream: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Missions of a stream joined with the profiles' table: status blocked or open, and the codes of their issues. Stateless."""
-    issues = V.all_issues()
-    held = V.join_profiles(stream, profiles).select("mission_id", issues.alias("issues"))
-    return held.select("mission_id", F.when(F.size("issues") > 0, "blocked").otherwise("open").alias("status"), F.concat_ws(",", F.transform("issues", lambda x: x["code"])).alias("codes"))
+def stream_assess(stream: DataFrame, profiles: DataFrame, bundles: DataFrame, attributions: DataFrame) -> DataFrame:
+    """Missions of a stream with their status, issue codes, recommendation and decision (see assess_missions); profiles, bundles and attributions are tables. Stateless."""
+    return assess_missions(V.join_profiles(stream, profiles), bundles, attributions)
 
 
 def stream_evidence_log(stream: DataFrame, path: str, checkpoint: str):

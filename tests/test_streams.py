@@ -9,6 +9,8 @@ from flightloom import bindings as B
 from flightloom.functions.chunking import split_text
 from flightloom.functions.fingerprints import simhash, simhash_pairs
 from flightloom.operators import validate as V
+from flightloom.operators.assessment import assess_missions
+from flightloom.plans.decision_queries import attributions, bundles
 from flightloom.plans.retrieval_queries import history
 from flightloom.sources import tables as A
 from flightloom.streaming import learning as L
@@ -32,12 +34,16 @@ def test_assessed_stream_is_the_batch(spark, sf_dir, tmp_path):
     missions, profiles = B.missions(spark, sf_dir).limit(200), B.profiles(spark, sf_dir)
     missions.write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema(missions.schema).parquet(str(tmp_path / "m"))
-    q = L.stream_assess(stream, profiles).writeStream.format("memory").queryName("assessed").start()
+    evidence, named = bundles(spark, sf_dir), attributions(spark, sf_dir)
+    q = L.stream_assess(stream, profiles, evidence, named).writeStream.format("memory").queryName("assessed").start()
     q.processAllAvailable()
     q.stop()
     rows = V.join_profiles(spark.read.parquet(str(tmp_path / "m")), profiles)
     blocked = {x.mission_id for x in V.issue_rows(rows, V.all_issues()).collect()}
-    assert {x.mission_id for x in spark.table("assessed").where("status = 'blocked'").collect()} == blocked
+    got = spark.table("assessed")
+    assert {x.mission_id for x in got.where("status = 'blocked'").collect()} == blocked
+    want = {x.mission_id: tuple(x) for x in assess_missions(rows, evidence, named).collect()}
+    assert {x.mission_id: tuple(x) for x in got.collect()} == want and len({x[6] for x in want.values()}) > 1
 
 
 def test_log_stream(spark, sf_dir, tmp_path):
