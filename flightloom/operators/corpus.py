@@ -30,13 +30,21 @@ def chunk_keys(chunks: DataFrame) -> DataFrame:
     return chunks.select("*", sha.alias("text_sha256"), own.alias("chunk_id"), F.length("text").alias("char_count"), words.alias("token_count"), F.regexp_replace("source_filename", r"\.[^.]*$", "").alias("source_title"))
 
 
-def assign_vector_ids(chunks: DataFrame, *order: str) -> DataFrame:
-    """Dense ids from 0 in the order of the columns: a range sort, and each part's rows numbered from the sum of the parts before it."""
-    dealt = chunks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))  # one row a part
-    return local.join(before, "_part").withColumn("vector_id", F.col("_at") - 1 + F.coalesce("_before", F.lit(0))).drop("_part", "_at", "_before")
+def assign_vector_ids(chunks: DataFrame, source: str = "source_filename", page: str = "page", *rest: str, pages: int = 1024) -> DataFrame:
+    """Dense ids from 0 in the order of source, page and the rest.
+
+    A bucket is ``pages`` pages of a source, so a source of any size is many buckets. Buckets are counted and each one's
+    first id is the sum of those before it; within a bucket rows are numbered in order. All keys are values of the rows,
+    so ids don't depend on how the rows are dealt.
+    """
+    held = chunks.withColumn("_bucket", F.floor(F.col(page) / pages))
+    key = [source, "_bucket"]
+    sizes = held.groupBy(*key).agg(F.count("*").alias("_n"))
+    by_source = sizes.groupBy(source).agg(F.sum("_n").alias("_n"))  # one row a source
+    first = by_source.select(source, (F.sum("_n").over(Window.orderBy(source)) - F.col("_n")).alias("_first"))
+    within = sizes.select(*key, (F.sum("_n").over(Window.partitionBy(source).orderBy("_bucket")) - F.col("_n")).alias("_before"))  # one row a bucket
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(page, *rest))
+    return held.withColumn("_at", nth).join(within, key).join(first, source).withColumn("vector_id", F.col("_first") + F.col("_before") + F.col("_at") - 1).select(*chunks.columns, "vector_id")
 
 
 def source_chunk_counts(chunks: DataFrame, sources: DataFrame) -> DataFrame:

@@ -53,9 +53,15 @@ def validate_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.validate_scenarios(B.missions(spark, sf_dir))
 
 
-@query(f"{WITH} " + issues_sql("joined", "mission_id", V.IDENTITY_RULES))
+@query("""SELECT mission_id, CAST(row_number() OVER (PARTITION BY mission_id ORDER BY k) AS INT) AS seq, code, field, message FROM (
+SELECT o_orderkey AS mission_id, 1 AS k, 'MISSING_ASSESSMENT_FIELD' AS code, 'user_id' AS field, 'Missing assessment field: user_id' AS message FROM orders WHERE o_orderkey % 37 = 0
+UNION ALL SELECT o_orderkey, 2, 'MISSING_ASSESSMENT_FIELD', 'profile_id', 'Missing assessment field: profile_id' FROM orders WHERE o_orderkey % 41 = 0
+UNION ALL SELECT o_orderkey, 3, 'USER_ID_MISMATCH', 'user_id', 'Assessment user_id must match drone_profile.user_id.' FROM orders WHERE o_orderkey % 37 <> 0 AND o_orderkey % 43 = 0
+UNION ALL SELECT o_orderkey, 4, 'PROFILE_ID_MISMATCH', 'profile_id', 'Assessment profile_id must match drone_profile.profile_id.' FROM orders WHERE o_orderkey % 41 <> 0 AND o_orderkey % 29 = 0)""")
 def validate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.validate_identity(joined(spark, sf_dir))
+    """Some missions' ids taken away or changed after the join, so that each rule is broken."""
+    told = {"mission_user_id": "CASE WHEN mission_id % 37 = 0 THEN NULL WHEN mission_id % 43 = 0 THEN 'someone' ELSE user_id END", "mission_profile_id": "CASE WHEN mission_id % 41 = 0 THEN NULL WHEN mission_id % 29 = 0 THEN 'another' ELSE profile_id END"}
+    return V.validate_identity(joined(spark, sf_dir).withColumns({k: F.expr(v) for k, v in told.items()}))
 
 
 @query(f"WITH {B.MISSIONS_SQL} SELECT mission_id, 1 AS seq, 'INVALID_OVERRIDE_KEY' AS code, 'feat_fake' AS field, 'Unknown or non-overridable raw feature: feat_fake' AS message FROM missions WHERE override_fake IS NOT NULL")
