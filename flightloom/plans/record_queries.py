@@ -11,7 +11,7 @@ from flightloom.operators import evidence as H
 from flightloom.operators import records as K
 from flightloom.plans.decision_queries import BUNDLES_SQL, DECIDE_SQL, bundles, decided
 from flightloom.plans.registry import query
-from flightloom.plans.retrieval_queries import SEARCH_SQL, found, history, pages, search_queries
+from flightloom.plans.retrieval_queries import HISTORY_SQL, SEARCH_SQL, found, history, pages, search_queries
 from flightloom.sources import tables as A
 from flightloom.streaming import learning as L
 
@@ -198,11 +198,27 @@ def upsert_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.upsert_profiles(held, known.unionByName(new))
 
 
-@query()
+MEAN_SQL = "(a.mean * a.n + x.mean) / (a.n + 1)"
+LEARNED_SQL = f"""WITH {HISTORY_SQL}, runs AS (SELECT scenario_type, list({{'n': 0, 'mean': CAST(top_score AS DOUBLE), 'share': CASE WHEN used_hyde THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 'k': 0}} ORDER BY timestamp, entry_id) AS each FROM history WHERE top_score IS NOT NULL GROUP BY 1),
+ends AS (SELECT scenario_type, list_reduce(each, lambda a, x: {{'n': a.n + 1, 'mean': {MEAN_SQL}, 'share': CASE WHEN x.share > 0 THEN (a.share * a.n + CASE WHEN x.mean > 0.5 THEN 1 ELSE 0 END) / (a.n + 1) ELSE a.share END,
+'k': CASE WHEN round({MEAN_SQL}, 12) > 0.6 THEN greatest(20, a.k - 5) WHEN round({MEAN_SQL}, 12) < 0.3 THEN least(120, a.k + 10) ELSE a.k END}}, {{'n': 0, 'mean': 0.0::DOUBLE, 'share': 0.0::DOUBLE, 'k': 60}}) AS e FROM runs)
+SELECT scenario_type, CAST(e.n AS BIGINT) AS query_count, round(e.mean + 1e-12, 6) AS avg_top_score, round(e.share + 1e-12, 6) AS hyde_success_rate, CAST(e.k AS INT) AS optimal_k FROM ends"""
+
+
+@query(LEARNED_SQL)
 def learn_scenario_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.learn_scenario_profiles(history(spark, sf_dir))
+    held = L.learn_scenario_profiles(history(spark, sf_dir))
+    return held.select("scenario_type", "query_count", *(F.round(F.col(c) + 1e-12, 6).alias(c) for c in ("avg_top_score", "hyde_success_rate")), "optimal_k")
 
 
-@query()
+START_SQL = "0.35 + 0.02 * 3598 / 1000"
+THRESHOLDS_SQL = f"""WITH RECURSIVE {HISTORY_SQL}, placed AS (SELECT entry_id, row_number() OVER w AS place, count(*) OVER (w ROWS 99 PRECEDING) AS held, round(avg(CAST(top_score AS DOUBLE)) OVER (w ROWS 99 PRECEDING), 12) AS mean FROM history WHERE top_score IS NOT NULL WINDOW w AS (ORDER BY timestamp, entry_id)),
+drops AS (SELECT 0::BIGINT AS place, CAST({START_SQL} AS DOUBLE) AS least UNION ALL
+SELECT min(p.place), greatest(0.25, arg_min(p.mean, p.place) - 0.05) FROM drops d JOIN placed p ON p.place > d.place AND p.held >= 20 AND p.mean < d.least WHERE d.least > 0.25 HAVING count(*) > 0)
+SELECT entry_id, round(min(least) + 1e-12, 6) AS minimum, round({START_SQL} + 0.10, 6) AS hyde_trigger, round({START_SQL} + 0.15, 6) AS rerank_cutoff FROM placed p JOIN drops d ON d.place <= p.place GROUP BY entry_id"""
+
+
+@query(THRESHOLDS_SQL)
 def adaptive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.adaptive_thresholds(history(spark, sf_dir), 3598)
+    held = L.adaptive_thresholds(history(spark, sf_dir), 3598)
+    return held.select("entry_id", F.round(F.col("minimum") + 1e-12, 6).alias("minimum"), *(F.round(c, 6).alias(c) for c in ("hyde_trigger", "rerank_cutoff")))

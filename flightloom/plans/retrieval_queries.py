@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom import bindings as B
 from flightloom.operators import corpus as E
 from flightloom.operators import planning as G
 from flightloom.operators import retrieval as R
+from flightloom.operators.ordering import place_in_group
 from flightloom.plans.registry import query
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    held = B.read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "source", "text", page.alias("page"))
+    rows = B.read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "source", "text")
+    held = place_in_group(rows, "source", F.floor(F.col("doc_id") / 65_536), ["doc_id"]).withColumnRenamed("place", "page")
     name = F.concat("source", F.lit(".pdf"))
     return held.select(F.col("doc_id").alias("chunk_id"), "page", name.alias("source_filename"), F.col("source").alias("source_title"), E.normalize_source_id(name).alias("source_id"), F.lit(0).alias("at_place"), F.coalesce("text", F.lit("")).alias("text"))
 
