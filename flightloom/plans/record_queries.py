@@ -189,12 +189,20 @@ def dedupe_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dedupe_actions(rows).select("mission_id", "at_place")
 
 
-@query(f"WITH {B.PROFILES_SQL}, k AS (SELECT user_id, profile_id, profile_name, CAST(substr(profile_id, 9) AS BIGINT) AS n FROM profiles) SELECT user_id, profile_id, CASE WHEN n % 4 = 2 THEN 'renamed' ELSE profile_name END AS profile_name, CASE n % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'refused' WHEN 2 THEN 'update' ELSE 'delete' END AS result FROM k UNION ALL SELECT user_id, profile_id || '_new', CASE WHEN n % 3 = 0 THEN 'renamed' END, CASE WHEN n % 3 = 0 THEN 'create' ELSE 'refused' END FROM k WHERE n % 10 = 0")
+UPSERT_SQL = f"""WITH {B.PROFILES_SQL}, k AS (SELECT *, CAST(substr(profile_id, 9) AS BIGINT) AS n FROM profiles), made AS (SELECT * FROM k WHERE n % 30 = 0)
+SELECT * EXCLUDE (n) REPLACE (CASE WHEN n % 4 = 2 THEN 'renamed' ELSE profile_name END AS profile_name, CASE WHEN n % 4 = 2 THEN uav_mass_kg * 2 ELSE uav_mass_kg END AS uav_mass_kg),
+CASE n % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'refused' WHEN 2 THEN 'update' ELSE 'delete' END AS result, n % 4 < 3 AS stored FROM k
+UNION ALL BY NAME SELECT * EXCLUDE (n) REPLACE (profile_id || '_new' AS profile_id, 'renamed' AS profile_name, uav_mass_kg * 2 AS uav_mass_kg), 'create' AS result, true AS stored FROM made
+UNION ALL BY NAME SELECT user_id, profile_id || '_new' AS profile_id, 'refused' AS result, false AS stored FROM k WHERE n % 10 = 0 AND n % 3 > 0"""
+
+
+@query(UPSERT_SQL)
 def upsert_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = B.profiles(spark, sf_dir).select("user_id", "profile_id", "profile_name")
+    held = B.profiles(spark, sf_dir)
     n = F.substring("profile_id", 9, 20).cast("long")
-    known = held.where(n % 4 > 0).select("user_id", "profile_id", F.when(n % 4 == 1, "create").when(n % 4 == 2, "update").otherwise("delete").alias("op"), F.lit("renamed").alias("profile_name"))
-    new = held.where(n % 10 == 0).select("user_id", F.concat("profile_id", F.lit("_new")).alias("profile_id"), F.when(n % 3 == 0, "create").otherwise("update").alias("op"), F.lit("renamed").alias("profile_name"))
+    asked = held.withColumns({"profile_name": F.lit("renamed"), "uav_mass_kg": F.col("uav_mass_kg") * 2})
+    known = asked.where(n % 4 > 0).withColumn("op", F.when(n % 4 == 1, "create").when(n % 4 == 2, "update").otherwise("delete"))
+    new = asked.where(n % 10 == 0).withColumns({"op": F.when(n % 3 == 0, "create").otherwise("update"), "profile_id": F.concat("profile_id", F.lit("_new"))})
     return A.upsert_profiles(held, known.unionByName(new))
 
 

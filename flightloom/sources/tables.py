@@ -22,22 +22,33 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROFILE_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
 
 
-def upsert_profiles(existing: DataFrame, changes: DataFrame) -> DataFrame:
-    """Profiles after create, update and delete (``op``), and changes refused (``result``): create needs a new key, the others a known one."""
-    key = ["user_id", "profile_id"]
-    both = existing.select(*key, F.col("profile_name").alias("old"), F.lit(True).alias("known")).join(changes.select(*key, "op", F.col("profile_name").alias("new")), key, "full")
-    known, op = F.coalesce("known", F.lit(False)), F.col("op")
-    fine = op.isNull() | ((op == "create") & ~known) | (op.isin("update", "delete") & known)
-    name = F.when(fine & op.isin("create", "update"), F.col("new")).otherwise(F.col("old"))
-    result = F.when(op.isNull(), "kept").when(~fine, "refused").otherwise(op)
-    return both.select(*key, name.alias("profile_name"), result.alias("result"))
-
-
 def safe_id(name: str):
     held = F.col(name)
     return held.isNotNull() & ~held.isin("", ".", "..") & ~held.contains("/") & ~held.contains("\\")
 
 
+def upsert_profiles(existing: DataFrame, changes: DataFrame) -> DataFrame:
+    """Profiles with all columns of ``existing`` after create, update and delete (``op``), the ``result`` of each, and whether it is ``stored`` then.
+
+    create needs a new key whose ids can name a place, the others a known key; anything else is refused and alters
+    nothing. An update replaces the whole profile. A deleted profile is shown as it was. ``changes`` has the same columns
+    and at most one row a key; columns that it lacks are null. The rows that are stored are the new table.
+    """
+    key = ["user_id", "profile_id"]
+    rest = [x for x in existing.columns if x not in key]
+    old = existing.select(*key, F.struct(*rest).alias("old"), F.lit(True).alias("known"))
+    kinds = {x: existing.schema[x].dataType for x in rest}
+    given = F.struct(*(F.col(x).cast(kinds[x]).alias(x) if x in changes.columns else F.lit(None).cast(kinds[x]).alias(x) for x in rest))
+    both = old.join(changes.select(*key, "op", given.alias("new"), F.lit(True).alias("asked")), key, "full")
+    known, op = F.coalesce("known", F.lit(False)), F.coalesce("op", F.lit(""))
+    fine = ((op == "create") & ~known & safe_id("user_id") & safe_id("profile_id")) | (op.isin("update", "delete") & known)
+    now = F.when(fine & op.isin("create", "update"), F.col("new")).otherwise(F.col("old"))
+    result = F.when(F.col("asked").isNull(), "kept").when(~fine, "refused").otherwise(op)
+    stored = F.when(fine, op != "delete").otherwise(known)
+    shown = both.select(*key, now.alias("now"), result.alias("result"), stored.alias("stored"))
+    return shown.select(*(x if x in key else F.col("now")[x].alias(x) for x in existing.columns), "result", "stored")
+
+
 def write_assessments(records: DataFrame, path: str) -> None:
     """Append records in parts by user; rows whose ids can't name a place are refused."""
     records.where(safe_id("user_id") & safe_id("assessment_id")).write.mode("append").partitionBy("user_id").parquet(path)

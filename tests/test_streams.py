@@ -111,6 +111,25 @@ def test_sources(spark, tmp_path):
     assert sorted(str(x.assessment_id) for x in spark.read.parquet(str(tmp_path / "r")).collect()) == ["1", "4"]
 
 
+def test_changed_profiles(spark):
+    held = spark.createDataFrame([("u", "a", 1.0, "x"), ("u", "b", 2.0, "y"), ("u", "c", 3.0, None)], "user_id string, profile_id string, mass double, name string")
+    asked = [("u", "a", "n", 9.0, "update"), ("u", "b", "n", 9.0, "delete"), ("u", "c", "n", 9.0, "create"), ("u", "d", None, 4.0, "create"), ("u", "e", "n", 9.0, "update"), ("..", "f", "n", 9.0, "create"), (None, "g", "n", 9.0, "create"), ("u", "h", "n", 9.0, None)]
+    changes = spark.createDataFrame(asked, "user_id string, profile_id string, name string, mass double, op string")
+    got = A.upsert_profiles(held, changes)
+    assert got.columns == ["user_id", "profile_id", "mass", "name", "result", "stored"]
+    assert {x.profile_id: tuple(x)[2:] for x in got.collect()} == {
+        "a": (9.0, "n", "update", True),
+        "b": (2.0, "y", "delete", False),
+        "c": (3.0, None, "refused", True),
+        "d": (4.0, None, "create", True),
+        "e": (None, None, "refused", False),
+        "f": (None, None, "refused", False),
+        "g": (None, None, "refused", False),
+        "h": (None, None, "refused", False),
+    }
+    assert A.upsert_profiles(held.limit(0), changes.limit(0)).count() == 0
+
+
 def test_chunks():
     text = "\n\n".join("word " * n for n in (10, 300, 5, 90))
     parts = split_text(text, 200, 40)
