@@ -86,13 +86,38 @@ def scenario_evidence_status(bundles: DataFrame, missions: DataFrame | None = No
 
 
 def retrieval_quality_cases(expected: DataFrame, cited: DataFrame) -> DataFrame:
-    """Per labelled query (query_id, keyword, minimum, should_have): citations, whether a source holds the keyword, and whether it passed."""
-    held = cited.join(expected.select("query_id", "keyword"), "query_id").groupBy("query_id").agg(F.count("*").alias("n"), F.bool_or(F.col("source_id").contains(F.col("keyword"))).alias("matched"))
-    both = expected.join(held, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("matched", F.coalesce("matched", F.lit(False)))
-    return both.select("query_id", "n", "matched", F.when(F.col("should_have"), (F.col("n") >= F.col("minimum")) & F.col("matched")).otherwise(F.col("n") == 0).alias("passed"))
+    """Each labelled query (query_id, keywords, minimum, should_have, critical) with what was found for it in ``cited``.
+
+    n: citations. matched: a keyword, in any case, is in a source's id or title, or none is asked for. complete: no
+    citation lacks an id, title, quote, chunk or file name (those of the columns that ``cited`` has) and no page is below
+    1; true without citations. warnings: codes of what is amiss.
+    """
+    named = [F.col(c) for c in ("source_id", "source_title", "quote", "chunk_id", "source_filename") if c in cited.columns]
+    whole = F.lit(True)
+    for c in named:
+        whole = whole & (F.trim(F.coalesce(c.cast("string"), F.lit(""))) != "")
+    if "page" in cited.columns:
+        whole = whole & (F.coalesce("page", F.lit(1)) >= 1)
+    places = F.lower(F.concat_ws(" ", *(c for c in ("source_id", "source_title") if c in cited.columns)))
+    held = cited.select("query_id", whole.alias("whole"), places.alias("places")).join(expected.select("query_id", "keywords"), "query_id")
+    held = held.groupBy("query_id").agg(F.count("*").alias("n"), F.bool_and("whole").alias("complete"), F.bool_or(F.exists("keywords", lambda k: F.col("places").contains(F.lower(k)))).alias("matched"))
+    asked = F.size(F.coalesce("keywords", F.array().cast("array<string>"))) > 0
+    both = expected.join(held, "query_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "matched": ~asked | F.coalesce("matched", F.lit(False)), "complete": F.coalesce("complete", F.lit(True))})
+    n, due = F.col("n"), F.col("should_have")
+    amiss = [(due & (n == 0), "no_evidence"), (due & (n < F.col("minimum")), "too_few"), (due & asked & ~F.col("matched"), "no_source"), (due & ~F.col("complete"), "no_provenance"), (~due & (n > 0), "not_refused")]
+    return both.select("query_id", "should_have", "critical", "minimum", "n", "matched", "complete", F.array_compact(F.array(*(F.when(c, code) for c, code in amiss))).alias("warnings"))
 
 
 def retrieval_quality_report(cases: DataFrame) -> DataFrame:
-    """One row: cases, those passed, matched, and whether all passed."""
-    one = lambda c: F.count(F.when(F.col(c), 1))
-    return cases.agg(F.count("*").alias("cases"), one("passed").alias("passed"), one("matched").alias("matched"), F.bool_and("passed").alias("proven"))
+    """One row of counts over the cases, of those that ask for evidence: supported, and of these matched and complete; of the others: refused.
+
+    usable: some case is supported and every critical one has a known source and its provenance. proven: every case is as expected, without a warning.
+    """
+    due, found = F.col("should_have"), F.col("n") > 0
+    good = due & found & (F.col("n") >= F.col("minimum"))
+    many = lambda c: F.count(F.when(c, 1))
+    lost = many(due & F.col("critical") & ~(found & F.col("matched") & F.col("complete")))
+    out = cases.agg(F.count("*").alias("cases"), many(due).alias("expected"), many(good).alias("supported"), many(good & F.col("matched")).alias("matched"), many(good & F.col("complete")).alias("complete"), many(~due & ~found).alias("refused"), F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"), lost.alias("lost"))
+    usable = (F.col("supported") > 0) & (F.col("lost") == 0)
+    all_due = (F.col("expected") > 0) & (F.least("supported", "matched", "complete") == F.col("expected"))
+    return out.withColumns({"usable": usable, "proven": all_due & (F.col("refused") == F.col("cases") - F.col("expected")) & (F.col("warnings") == 0)}).drop("lost")

@@ -81,21 +81,28 @@ def scenario_evidence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.scenario_evidence_status(held, B.read(spark, sf_dir, "orders").selectExpr("o_orderkey AS mission_id"))
 
 
-CASES_SQL = f"{CITED_SQL}, cases AS (SELECT q.item_id AS query_id, count(r.rank) AS n, coalesce(bool_or(contains(r.source_id, 'src' || CAST(q.item_id % 10 AS VARCHAR))), false) AS matched FROM benchmark q LEFT JOIN ranked r ON r.query_id = q.item_id GROUP BY 1), judged AS (SELECT query_id, n, matched, CASE WHEN query_id % 4 > 0 THEN n >= 2 AND matched ELSE n = 0 END AS passed FROM cases)"
+CASES_SQL = f"""{CITED_SQL}, cases AS (SELECT q.item_id AS query_id, q.item_id % 4 > 0 AS should_have, q.item_id % 3 = 1 AS critical, 2 AS minimum, count(r.rank) AS n,
+ q.item_id % 11 = 0 OR coalesce(bool_or(contains(r.source_id, 'src' || CAST(q.item_id % 10 AS VARCHAR)) OR contains(r.source_id, 'src' || CAST(q.item_id % 7 AS VARCHAR))), false) AS matched,
+ coalesce(bool_and(trim(r.source_id) <> '' AND coalesce(r.page, 1) >= 1) FILTER (WHERE r.rank IS NOT NULL), true) AS complete FROM benchmark q LEFT JOIN ranked r ON r.query_id = q.item_id GROUP BY 1),
+judged AS (SELECT *, concat_ws(',', CASE WHEN should_have AND n = 0 THEN 'no_evidence' END, CASE WHEN should_have AND n < minimum THEN 'too_few' END, CASE WHEN should_have AND NOT matched THEN 'no_source' END, CASE WHEN should_have AND NOT complete THEN 'no_provenance' END, CASE WHEN NOT should_have AND n > 0 THEN 'not_refused' END) AS warnings FROM cases)"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("query_id")
-    expected = search_queries(spark, sf_dir).select(q, F.concat(F.lit("src"), (q % 10).cast("string")).alias("keyword"), F.lit(2).alias("minimum"), (q % 4 > 0).alias("should_have"))
-    return H.retrieval_quality_cases(expected, ranked(spark, sf_dir).select("query_id", "source_id"))
+    keywords = F.when(q % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("src"), (q % 10).cast("string")), F.concat(F.lit("SRC"), (q % 7).cast("string"))))
+    expected = search_queries(spark, sf_dir).select(q, keywords.alias("keywords"), F.lit(2).alias("minimum"), (q % 4 > 0).alias("should_have"), (q % 3 == 1).alias("critical"))
+    return H.retrieval_quality_cases(expected, ranked(spark, sf_dir))
 
 
 @query(f"{CASES_SQL} SELECT * FROM judged")
 def retrieval_quality_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir)
+    return cases(spark, sf_dir).withColumn("warnings", F.array_join("warnings", ","))
 
 
-@query(f"{CASES_SQL} SELECT count(*) AS cases, count(CASE WHEN passed THEN 1 END) AS passed, count(CASE WHEN matched THEN 1 END) AS matched, bool_and(passed) AS proven FROM judged")
+@query(f"""{CASES_SQL}, good AS (SELECT *, should_have AND n >= minimum AND n > 0 AS good, CASE WHEN warnings = '' THEN 0 ELSE length(warnings) - length(replace(warnings, ',', '')) + 1 END AS w FROM judged),
+summed AS (SELECT count(*) AS cases, count(*) FILTER (should_have) AS expected, count(*) FILTER (good) AS supported, count(*) FILTER (good AND matched) AS matched, count(*) FILTER (good AND complete) AS complete, count(*) FILTER (NOT should_have AND n = 0) AS refused, CAST(sum(w) AS BIGINT) AS warnings,
+ bool_and(NOT (should_have AND critical) OR (n > 0 AND matched AND complete)) AS kept FROM good)
+SELECT * EXCLUDE (kept), supported > 0 AND kept AS usable, expected > 0 AND supported = expected AND matched = expected AND complete = expected AND refused = cases - expected AND warnings = 0 AS proven FROM summed""")
 def retrieval_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.retrieval_quality_report(cases(spark, sf_dir))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flightloom import bindings as B
 from flightloom.functions.chunking import split_text
 from flightloom.functions.fingerprints import simhash, simhash_pairs
+from flightloom.operators import evidence as H
 from flightloom.operators import validate as V
 from flightloom.operators.assessment import assess_missions
 from flightloom.plans.decision_queries import attributions, bundles
@@ -130,6 +131,23 @@ def test_changed_profiles(spark):
     assert A.upsert_profiles(held.limit(0), changes.limit(0)).count() == 0
 
 
+def test_retrieval_quality(spark):
+    expected = spark.createDataFrame([(1, ["EASA"], 1, True, True), (2, [], 2, True, False), (3, ["faa"], 1, True, False), (4, [], 0, False, False), (5, [], 0, False, False), (6, ["x"], 1, True, False)], "query_id long, keywords array<string>, minimum int, should_have boolean, critical boolean")
+    cited = spark.createDataFrame([(1, "easa_1", "q", 3), (1, "other", "q", None), (2, "s", "q", 1), (3, "easa_2", " ", 1), (5, "s", "q", 1)], "query_id long, source_id string, quote string, page int")
+    cases = H.retrieval_quality_cases(expected, cited)
+    assert {x.query_id: (x.n, x.matched, x.complete, x.warnings) for x in cases.collect()} == {
+        1: (2, True, True, []),
+        2: (1, True, True, ["too_few"]),
+        3: (1, False, False, ["no_source", "no_provenance"]),
+        4: (0, True, True, []),
+        5: (1, True, True, ["not_refused"]),
+        6: (0, False, True, ["no_evidence", "too_few", "no_source"]),
+    }
+    assert tuple(H.retrieval_quality_report(cases).first()) == (6, 4, 2, 1, 1, 1, 7, True, False)
+    assert tuple(H.retrieval_quality_report(cases.where("query_id in (1, 4)")).first()) == (2, 1, 1, 1, 1, 1, 0, True, True)
+    assert tuple(H.retrieval_quality_report(cases.limit(0)).first()) == (0,) * 7 + (False, False)
+
+
 def test_chunks():
     text = "\n\n".join("word " * n for n in (10, 300, 5, 90))
     parts = split_text(text, 200, 40)
