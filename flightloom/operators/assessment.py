@@ -30,14 +30,14 @@ def topics_by_mission(attributions: DataFrame) -> DataFrame:
     return held.select("mission_id", sum((F.col(f"topic_{k}").cast("int") for k in J.DECISION_TOPICS), F.lit(0)).alias("topics"), "great")
 
 
-def assess_missions(joined: DataFrame, bundles: DataFrame, attributions: DataFrame, policy: J.Policy = J.Policy()) -> DataFrame:
+def assess_missions(joined: DataFrame, bundles: DataFrame, attributions: DataFrame, policy: J.Policy = J.Policy(), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a mission of ``joined`` (missions with their profiles and class probabilities).
 
     mission_id, status (blocked or open), codes of issues, recommendation and its confidence, final_decision,
-    decision_score, confidence_level and the stages' contributions. ``joined`` may be a stream where the others are tables.
+    decision_score, confidence_level, the stages' contributions, and the mission's columns ``keep``. ``joined`` may be a stream where the others are tables.
     """
     p = F.sort_array(F.map_values("probabilities"), asc=False)
-    rows = joined.select("mission_id", best_class(F.col("probabilities")).alias("label"), p.alias("p"), V.all_issues().alias("issues"), F.array_compact(F.array(*J.margin_findings())).alias("margins"))
+    rows = joined.select("mission_id", *keep, best_class(F.col("probabilities")).alias("label"), p.alias("p"), V.all_issues().alias("issues"), F.array_compact(F.array(*J.margin_findings())).alias("margins"))
     rows = rows.join(evidence_of(bundles), "mission_id", "left").join(topics_by_mission(attributions), "mission_id", "left")
     c, zero = F.col, F.lit(0)
     low, weak, blocked = F.lower("label"), F.coalesce("insufficient", zero) > 0, F.size("issues") > 0
@@ -61,7 +61,7 @@ def assess_missions(joined: DataFrame, bundles: DataFrame, attributions: DataFra
     )
     decided = J.decision_columns(scored, policy)
     codes = F.concat_ws(",", F.transform("issues", lambda x: x["code"]))
-    return decided.select("mission_id", F.when(c("blocked"), "blocked").otherwise("open").alias("status"), codes.alias("codes"), "advice.recommendation", c("advice.confidence").alias("confidence"), "final_decision", "decision_score", "confidence_level", "ml", "shap", "rag", "agent", "scenario_profile")
+    return decided.select("mission_id", F.when(c("blocked"), "blocked").otherwise("open").alias("status"), codes.alias("codes"), "advice.recommendation", c("advice.confidence").alias("confidence"), "final_decision", "decision_score", "confidence_level", "ml", "shap", "rag", "agent", "scenario_profile", *keep)
 
 
 def split_by_issues(joined: DataFrame, issues: Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Origins that are generated text, those a citation keeps, weights of the confidence blend, its labels.
@@ -10,7 +10,8 @@ GENERATED = ["llm_synthesis", "hyde_generated"]
 KEPT_ORIGINS = ["local_document", "retrieval_system"]
 BLEND = {"final_score": 0.6, "dense_score": 0.2, "sparse_score": 0.1, "source_match_score": 0.1}
 LABELS = [(0.65, "HIGH"), (0.45, "MEDIUM"), (0.25, "LOW")]
-#: Scores by which citations are ordered: the first that isn't null.
+#: Scores by which a candidate is judged and by which citations are ordered: the first that isn't null.
+SCORES = ["final_score", "score", "retrieval_score"]
 LEAD = ["final_score", "retrieval_score", "dense_score", "sparse_score"]
 
 
@@ -18,12 +19,18 @@ def blank(name: str):
     return F.trim(F.coalesce(F.col(name), F.lit(""))) == ""
 
 
-def sufficient_candidates(cands: DataFrame) -> DataFrame:
-    """Candidates fit to be cited: not generated, long enough, with their source and score, of the asked source, and on a page from 1 on if they name one."""
+def is_sufficient(cands: DataFrame) -> Column:
+    """Whether a candidate may be cited: not generated, long enough, with its source and score, of the asked source, and on a page from 1 on if it names one. The score is the final one, else score, else retrieval_score."""
     real = ~F.lower(F.trim(F.coalesce("origin", F.lit("")))).isin(GENERATED)
     whole = ~blank("source_id") & ~blank("source_filename") & ~(F.trim(F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))) == "") & (F.col("page").isNull() | (F.col("page") >= 1))
-    good = F.col("final_score").isNotNull() & (F.col("final_score") >= 0.08) & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= 40)
-    return cands.where(real & whole & good & ~(F.coalesce("explicit", F.lit(False)) & (F.coalesce("source_match_score", F.lit(0.0)) <= 0)))
+    score = F.coalesce(*(F.col(c) for c in SCORES if c in cands.columns))
+    good = score.isNotNull() & (score >= 0.08) & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= 40)
+    return real & whole & good & ~(F.coalesce("explicit", F.lit(False)) & (F.coalesce("source_match_score", F.lit(0.0)) <= 0))
+
+
+def sufficient_candidates(cands: DataFrame) -> DataFrame:
+    """Candidates fit to be cited (see is_sufficient)."""
+    return cands.where(is_sufficient(cands))
 
 
 def build_citations(cands: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ REDACTED = ["reasoning_chain", "chain_of_thought", "thought", "scratchpad", "int
 REDACTED_MARK, NO_TEXT = "[redacted_forbidden_token]", "not_available"
 
 
-def build_records(decided: DataFrame, missions: DataFrame) -> DataFrame:
-    """One record a mission: ids, time of creation as ISO text, and the decision's fields."""
-    held = decided.join(missions.select("mission_id", "mission_user_id", "mission_profile_id", "created_at"), "mission_id")
+def build_records(decided: DataFrame, missions: DataFrame | None = None) -> DataFrame:
+    """One record a mission: ids, time of creation as ISO text, and the decision's fields. Without ``missions``, ``decided`` has the ids and the time itself."""
+    held = decided if missions is None else decided.join(missions.select("mission_id", "mission_user_id", "mission_profile_id", "created_at"), "mission_id")
     return held.select(F.concat(F.lit("assessment_"), F.col("mission_id").cast("string")).alias("assessment_id"), F.col("mission_user_id").alias("user_id"), F.col("mission_profile_id").alias("profile_id"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "final_decision", "decision_score", "confidence_level")
 
 

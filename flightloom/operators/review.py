@@ -186,18 +186,6 @@ def manifest_integrity(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select(code.alias("code"), "source_id").where("code is not null")
 
 
-def profile_data_quality(rows: DataFrame, core: list[str], others: list[str], flags: dict[str, float], key: str = "mission_id") -> DataFrame:
-    """key, score, missing_core, usable: 0.7 of the share of core features given and 0.3 of all; usable if all core ones are and none reaches its bound in ``flags``."""
-    given = lambda c: F.col(c).isNotNull() & F.col(c).between(-1.7976931348623157e308, 1.7976931348623157e308)
-    count = lambda names: sum((F.when(given(c), 1).otherwise(0) for c in names), F.lit(0))
-    score = F.least(F.lit(1.0), 0.7 * count(core) / len(core) + 0.3 * count(core + others) / len(core + others))
-    lacking = F.array_compact(F.array(*(F.when(~given(c), F.lit(c)) for c in core)))
-    breach = F.lit(False)
-    for c, top in flags.items():
-        breach = breach | F.coalesce(F.col(c) >= top, F.lit(False))
-    return rows.select(key, F.round(score + 1e-12, 9).alias("score"), F.array_join(lacking, ",").alias("missing_core"), ((F.size(lacking) == 0) & ~breach).alias("usable"))
-
-
 def clean(value: object, depth: int = 0, allowed: frozenset[str] | None = None, text: int = 500, items: int = 64, levels: int = 8) -> object:
     """A JSON value without forbidden keys, and with long texts cut (three dots at the end), long lists cut, deep levels marked and numbers that aren't finite null. ``allowed``: keys of the top level that are kept."""
     if depth >= levels:

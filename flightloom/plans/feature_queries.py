@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flightloom import bindings as B
 from flightloom import schemas as S
 from flightloom.operators import features as C
+from flightloom.operators import graph_features as P
 from flightloom.operators import scoring as D
 from flightloom.operators import validate as V
 from flightloom.plans.registry import query
@@ -214,3 +215,66 @@ def linear_model(x: pd.DataFrame) -> pd.DataFrame:
 def score_missions(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = C.derive(cleared(spark, sf_dir), *C.STAGES).select("mission_id", "feat_fault_risk", "feat_weather_severity")
     return D.score_missions(made, linear_model, ["High Risk", "Medium Risk", "Low Risk"])
+
+
+#: The overrides of the query, by name: where an order has one, and what it says.
+GRAPH_OVERRIDES = {
+    "uav_rotorcraft_disk_area_m2": ("o_orderkey % 4 = 0", "2.5"),
+    "uav_aero_cl_max": ("o_orderkey % 6 = 0", " 0 "),
+    "landing_preferred_sites_x_std": ("o_orderkey % 5 = 0", "1e1"),
+    "landing_preferred_sites_z_mean": ("o_orderkey % 8 = 0", "7"),
+    "environment_thermal_plumes_count": ("o_orderkey % 9 = 0", "Yes"),
+    "feat_fault_risk": ("o_orderkey % 61 = 0", "n/a"),
+    "uav_mass_kg": ("o_orderkey % 3 = 0", "99"),
+}
+
+
+def spread_sql(p: str, mean: tuple[str, ...], std: tuple[str, ...]) -> str:
+    """Moments, bounds and ranges of a place by hand, from what its means and deviations are."""
+    out = []
+    for a, m, s in zip("xyz", mean, std):
+        out.append(f"{m} AS {p}_{a}_mean, {s} AS {p}_{a}_std, {m} - 2 * ({s}) AS {p}_{a}_min, {m} + 2 * ({s}) AS {p}_{a}_max, ({m} + 2 * ({s})) - ({m} - 2 * ({s})) AS {p}_{a}_range")
+    return ", ".join(out)
+
+
+ABOVE = lambda n, least, v: f"CASE WHEN {n} >= {least} THEN {v} ELSE 0 END"
+GRAPH_SQL = f"""{WITH}, j AS (SELECT *, mission_id AS k, uav_energy_source IN ('fuel', 'hybrid') AS winged, CASE WHEN uav_energy_source IN ('fuel', 'hybrid') THEN uav_mass_kg / 35 ELSE 0 END AS wing,
+ CASE WHEN mission_id % 6 = 0 THEN 0 WHEN uav_energy_source IN ('fuel', 'hybrid') AND uav_mass_kg <> 0 THEN 1.4 ELSE 0 END AS cl, CASE WHEN uav_mass_kg > 0 THEN uav_mass_kg / (40 / sqrt(greatest(uav_rotorcraft_rotor_count, 1))) ELSE 0 END AS disk,
+ CASE WHEN mission_id % 8 = 0 THEN 7 ELSE landing_preferred_sites_z_mean END AS pz, airspace_altitude_agl_min_m + 5 AS low, greatest(least(airspace_altitude_agl_max_m - 10, uav_rotorcraft_hover_ceiling_m - 20), airspace_altitude_agl_min_m + 5) AS high,
+ list_sort(list_filter([CASE WHEN uav_battery_wh IS NULL THEN 'uav_battery_wh' END, CASE WHEN mission_id % 61 = 0 THEN 'feat_fault_risk' END], lambda x: x IS NOT NULL)) AS refused FROM joined),
+made AS (SELECT mission_id, refused, CASE WHEN uav_energy_source = 'fuel' THEN 1 ELSE 0 END AS uav_energy_source_fuel, CASE WHEN uav_energy_source = 'hybrid' THEN 1 ELSE 0 END AS uav_energy_source_hybrid,
+ {', '.join(f"CASE WHEN mission_pattern = '{v}' THEN 1 ELSE 0 END AS mission_pattern_{v}" for v in ('custom', 'grid', 'orbit', 'spiral'))}, {', '.join(f"CASE WHEN swarm_roles_first = '{v}' THEN 1 ELSE 0 END AS swarm_roles_first_{v}" for v in ('relay', 'scout', 'single', 'solo'))},
+ CASE WHEN controls_mode = 'discrete' THEN 1 ELSE 0 END AS controls_mode_discrete, CASE WHEN controls_mode = 'discrete' THEN 1 ELSE 0 END AS controls_actions_first_hold, CASE WHEN controls_mode = 'discrete' THEN 0 ELSE 1 END AS controls_actions_first_throttle,
+ {', '.join(x for x in S.PROFILE_NUMERIC + S.SCENARIO_NUMERIC if not x.endswith('_sites_z_mean'))},
+ 10 AS sim_policy_frequency, mission_time_budget_s * 10 AS sim_duration_steps, 0 AS autofix_uav_physics_count, mission_waypoints_count + 1 AS controls_actions_count,
+ CASE WHEN swarm_enabled = 0 OR swarm_size = 1 THEN 1 WHEN swarm_size = 2 THEN 2 ELSE 3 END AS swarm_roles_count, mission_runway_required AS airspace_runway_threshold_count,
+ CASE WHEN mission_runway_required = 1 THEN spawn_yaw_deg ELSE 0 END AS airspace_runway_heading_deg, CASE WHEN mission_runway_required = 1 THEN spawn_xyz_first ELSE 0 END AS airspace_runway_threshold_first,
+ airspace_no_fly_zones_count * 4 AS airspace__geofence__sample__points_count, airspace_no_fly_zones_sample_radius_m AS airspace_no_fly_zones_dynamic_sample_radius_m, airspace_altitude_agl_min_m AS airspace_no_fly_zones_dynamic_sample_floor_m, airspace_altitude_agl_max_m AS airspace_no_fly_zones_dynamic_sample_ceiling_m,
+ CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END AS environment_thermal_plumes_count, CASE WHEN k % 9 = 0 THEN 1 ELSE 0 END AS environment__thermal__plumes__sample__ce_count, 0 AS environment_thermal_plumes_sample_radius_m, 0 AS environment_thermal_plumes_sample_w_up_mps,
+ 1 AS environment_wind_profile_count, (airspace_altitude_agl_min_m + airspace_altitude_agl_max_m) / 2 AS environment_wind_profile_sample_alt_m, environment_weather_wind_mps AS environment_wind_profile_sample_wind_mps, environment_weather_wind_dir_deg AS environment_wind_profile_sample_dir_deg,
+ CASE WHEN faults_count = 0 THEN 0 ELSE mission_time_budget_s / 2 END AS faults_sample_t_s, 0 AS traffic_sample_heading_deg,
+ airspace_no_fly_zones_count AS airspace__no__fly__zones__sample__center_count, airspace_no_fly_zones_dynamic_count AS airspace__no__fly__zones__dynamic__sampl_count, landing_preferred_sites_count AS landing__preferred__sites__sample_count, landing_emergency_sites_count AS landing__emergency__sites__sample_count,
+ mission_waypoints_count AS mission__waypoints__sample_count, traffic_count AS traffic__sample__spawn_count, moving_obstacles_count AS moving__obstacles__sample__center_count, moving_obstacles_count AS moving__obstacles__sample__vel_count, comms_loss_windows_count AS comms__loss__windows__sample_count,
+ wing AS uav_aero_wing_area_m2, CASE WHEN wing = 0 THEN 0 ELSE 10.2 END AS uav_aero_aspect_ratio, cl AS uav_aero_cl_max, CASE WHEN wing = 0 THEN 0 ELSE 0.025 END AS uav_aero_cd0, CASE WHEN wing = 0 OR cl <= 0 THEN 0 ELSE sqrt(19.62 * uav_mass_kg / (1.225 * wing * cl)) END AS uav_aero_stall_speed_mps,
+ CASE WHEN k % 4 = 0 THEN 2.5 ELSE disk END AS uav_rotorcraft_disk_area_m2, CASE WHEN disk <= 0 THEN 0 ELSE power(uav_mass_kg * 9.81, 1.5) / sqrt(1.8375 * disk) END AS uav_battery_model_hover_power_w,
+ CASE WHEN uav_payload_mass_kg = 0 THEN 0.08 ELSE least(0.5, greatest(0.05, 0.12 + 0.15 * uav_payload_mass_kg / greatest(uav_mass_kg, 1e-6))) END AS uav_battery_model_k_drag, 1 + uav_max_tilt_deg / 150 AS uav_battery_model_k_manoeuvre,
+ CASE WHEN uav_payload_mass_kg = 0 THEN 0 WHEN uav_payload_mass_kg > 0.5 THEN 0.25 ELSE 0.15 END AS uav_payload_drag_coeff, CASE WHEN wing = 0 THEN 0 ELSE 10 END AS mission_transition_profile_vtol_to_ff_t_s, CASE WHEN wing = 0 THEN 0 ELSE 10 END AS mission_transition_profile_ff_to_vtol_t_s,
+ airspace_altitude_agl_max_m - airspace_altitude_agl_min_m AS feat_altitude_range, CASE WHEN environment_weather_wind_mps = 0 THEN 1 ELSE environment_weather_gust_mps / environment_weather_wind_mps END AS feat_wind_gust_ratio, environment_weather_wind_mps / greatest(uav_max_speed_mps, 1e-6) AS feat_wind_speed_ratio,
+ (uav_sensors_gnss + uav_sensors_lidar + uav_sensors_radar + uav_sensors_camera_rgb + uav_sensors_camera_thermal) / 5 AS feat_sensor_redundancy, uav_reserve_fraction * 100 AS feat_reserve_utilization, traffic_count / greatest(mission_time_budget_s, 1e-6) AS feat_traffic_density,
+ faults_count * faults_sample_severity * faults_sample_duration_s / greatest(mission_time_budget_s, 1e-6) AS feat_fault_risk, CASE WHEN k % 4 = 0 THEN uav_mass_kg / 2.5 WHEN disk > 0 THEN uav_mass_kg / disk ELSE 0 END AS feat_disk_loading,
+ least(1, greatest(0, (comms_uplink_ok + comms_downlink_ok) / 2 * (2 + comms_rssi_dbm_min / 100))) AS feat_comms_health, (environment_weather_wind_mps / 10 + environment_weather_gust_mps / 15 + environment_weather_phenomena_count) / 3 AS feat_weather_severity,
+ {spread_sql('landing_preferred_sites', (ABOVE('landing_preferred_sites_count', 1, 'spawn_xyz_first'),) * 2 + ('pz',), ('CASE WHEN k % 5 = 0 THEN 10 WHEN landing_preferred_sites_count >= 2 THEN 57.74 ELSE 0 END', ABOVE('landing_preferred_sites_count', 2, '57.74'), ABOVE('landing_preferred_sites_count', 2, '2.89')))},
+ {spread_sql('landing_emergency_sites', (ABOVE('landing_emergency_sites_count', 1, 'spawn_xyz_first'),) * 2 + (ABOVE('landing_emergency_sites_count', 1, 'pz'),), (ABOVE('landing_emergency_sites_count', 2, '115.47'),) * 2 + (ABOVE('landing_emergency_sites_count', 2, '5.77'),))},
+ {spread_sql('mission_waypoints', (ABOVE('mission_waypoints_count', 1, 'spawn_xyz_first'),) * 2, (ABOVE('mission_waypoints_count', 3, 'mission_loiter_radius_m / 1.414'),) * 2)},
+ low AS mission_waypoints_z_min, high AS mission_waypoints_z_max, high - low AS mission_waypoints_z_range, CASE WHEN mission_waypoints_count >= 1 THEN (high - low) / 4 ELSE 0 END AS mission_waypoints_z_std,
+ {', '.join(f"CASE WHEN comms_loss_windows_count >= 1 THEN spawn_xyz_first {s} ELSE 0 END AS comms_loss_windows_{a}_{end}" for a in 'xy' for end, s in (('mean', ''), ('min', '- 300'), ('max', '+ 300')))},
+ {', '.join(f"CASE WHEN comms_loss_windows_count >= 1 THEN 150 ELSE 0 END AS comms_loss_windows_{a}_std, 0 AS comms_loss_windows_{a}_range" for a in 'xy')},
+ {', '.join(f'0 AS {x}' for x in S.RAW_FEATURES if x.endswith(S.MISSING))} FROM j)
+SELECT mission_id, array_to_string(refused, ',') AS refused, {', '.join(f'CASE WHEN len(refused) = 0 THEN CAST({x} AS DOUBLE) END AS {x}' for x in C.PROCESSED)} FROM made"""
+
+
+@query(GRAPH_SQL)
+def legacy_processed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.array_compact(F.array(*(F.when(F.expr(c.replace("o_orderkey", "mission_id")), F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))) for k, (c, v) in GRAPH_OVERRIDES.items())))
+    rows = P.flagged(joined(spark, sf_dir)).withColumn("overrides", F.map_from_entries(entries))
+    return P.legacy_processed_features(rows).withColumn("refused", F.array_join("refused", ","))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from flightloom import bindings as B
 from flightloom.functions import chunking, fingerprints
+from flightloom.operators import bundles as N
 from flightloom.operators import evidence as H
 from flightloom.operators import records as K
 from flightloom.plans.decision_queries import BUNDLES_SQL, DECIDE_SQL, bundles, decided
 from flightloom.plans.registry import query
-from flightloom.plans.retrieval_queries import HISTORY_SQL, SEARCH_SQL, found, history, pages, search_queries
+from flightloom.plans.retrieval_queries import FOUND_SQL, HISTORY_SQL, PAGES_SQL, PRINTS_SQL, SEARCH_SQL, found, fresh_candidates, history, pages, search_queries
 from flightloom.sources import tables as A
 from flightloom.streaming import learning as L
 
@@ -72,6 +73,48 @@ def flatten_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.flatten_citations(query_bundles(spark, sf_dir))
 
 
+SURE = "greatest(0.0, least(1.0, c.retrieval_score))"
+NESTED_SQL = f"""{CITED_SQL}, whole AS (SELECT r.query_id, r.rank, r.citation_id, CASE WHEN c.chunk_id % 7 = 2 THEN NULL ELSE r.page END AS page, r.origin, {SURE} AS retrieval_score, CASE WHEN r.blend >= 0.65 THEN 'HIGH' WHEN r.blend >= 0.45 THEN 'MEDIUM' WHEN r.blend >= 0.25 THEN 'LOW' ELSE 'VERY LOW' END AS confidence_label,
+ 'bundle_' || substr(sha256(trim(b.text)), 1, 16) AS bundle_id, 'Retrieved evidence is available for the query: ' || trim(b.text) AS claim, trim(d.text) AS quote, d.source || '.pdf' AS source_filename, d.source AS source_title
+ FROM ranked r JOIN cands c ON c.query_id = r.query_id AND 'cit_' || c.chunk_id = r.citation_id JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = c.chunk_id WHERE r.rank <= 3),
+found_of AS (SELECT query_id, bool_or(coalesce(lower(origin) IN ('llm_synthesis', 'hyde_generated'), false)) AS generated FROM cands GROUP BY 1)"""
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.evidence_bundles(candidates(spark, sf_dir), search_queries(spark, sf_dir))
+
+
+@query(f"""{NESTED_SQL} SELECT 'bundle_' || substr(sha256(trim(b.text)), 1, 16) AS bundle_id, b.item_id AS query_id, CASE WHEN count(w.rank) = 0 THEN 'insufficient_evidence' ELSE 'supported' END AS support_status, round(coalesce(max(retrieval_score), 0), 9) AS confidence,
+ CASE WHEN count(w.rank) = 0 THEN 'No sufficient evidence candidates passed retrieval safety checks.' END AS no_evidence_reason, 'scenario_driven' AS retrieval_origin, CASE WHEN count(w.rank) > 0 THEN 'grounded' WHEN coalesce(bool_or(generated), false) THEN 'synthetic_only' ELSE 'insufficient' END AS evidence_status,
+ count(w.rank) = 0 AND coalesce(bool_or(generated), false) AS synthetic, CAST(count(w.rank) AS INT) AS citation_count, CAST(count(w.rank) AS INT) AS n_claims FROM benchmark b LEFT JOIN whole w ON w.query_id = b.item_id LEFT JOIN found_of f ON f.query_id = b.item_id GROUP BY b.item_id, b.text""")
+def evidence_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested(spark, sf_dir).withColumns({"n_claims": F.size("claims"), "confidence": F.round("confidence", 9)}).drop("claims", "citations", "query")
+
+
+@query(f"{NESTED_SQL} SELECT query_id, bundle_id, rank - 1 AS at_place, 'claim_' || rank AS claim_id, claim, 'supported' AS support_status, 'retrieval_context' AS evidence_use, citation_id, round(retrieval_score, 9) AS confidence FROM whole")
+def bundle_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = N.bundle_claims(nested(spark, sf_dir))
+    return held.select("query_id", "bundle_id", "at_place", "claim_id", "claim", "support_status", "evidence_use", F.array_join(F.col("citations.citation_id"), ",").alias("citation_id"), F.round("confidence", 9).alias("confidence"))
+
+
+@query(f"{NESTED_SQL} SELECT query_id, bundle_id, citation_id, source_filename, source_title, CAST(page AS INT) AS page_start, CAST(NULL AS INT) AS page_end, CAST(NULL AS VARCHAR) AS section_title, quote, round(retrieval_score, 9) AS retrieval_score, confidence_label, rank, 'scenario_driven' AS retrieval_origin, 'grounded' AS support_status, false AS synthetic FROM whole")
+def bundle_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.bundle_citations(nested(spark, sf_dir)).withColumn("retrieval_score", F.round("retrieval_score", 9))
+
+
+@query(f"""{NESTED_SQL}, numbers AS (SELECT item_id AS query_id, 'bundle_' || substr(sha256(trim(b.text)), 1, 16) AS bundle_id, count(rank) AS n FROM benchmark b LEFT JOIN whole w ON w.query_id = b.item_id GROUP BY b.item_id, b.text)
+SELECT query_id, bundle_id, NULL AS place, 'insufficient_without_reason' AS code FROM numbers WHERE n > 0
+UNION ALL SELECT query_id, bundle_id, claim_id, code FROM (SELECT query_id, bundle_id, 'claim_' || rank AS claim_id, CASE rank WHEN 1 THEN 'claim_without_citation' WHEN 2 THEN 'insufficient_without_limitation' ELSE 'conflicting_without_conflict' END AS code FROM whole)
+UNION ALL SELECT query_id, bundle_id, citation_id, 'citation_page' FROM whole WHERE page - 2 < 1""")
+def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles made to contradict themselves: no reason for none, claims without what their state asks for, pages two lower."""
+    states = F.array(*map(F.lit, (N.SUPPORTED, N.INSUFFICIENT, N.CONFLICTING)))
+    broken = F.transform("claims", lambda x, i: x.withField("support_status", F.get(states, i)).withField("citations", F.slice(x["citations"], 1, 0)))
+    held = nested(spark, sf_dir).where("support_status = 'supported'")
+    held = held.withColumns({"claims": broken, "support_status": F.lit(N.INSUFFICIENT), "citations": F.transform("citations", lambda c: c.withField("page", c["page"] - 2))})
+    return N.bundle_violations(held)
+
+
 @query(f"""WITH {BUNDLES_SQL}, asked_for AS (SELECT *, (mission_id + k) % 7 = 0 AS synthetic FROM bundles WHERE (mission_id + 2 * k) % 5 <> 0),
 counted AS (SELECT o_orderkey AS mission_id, count(k) AS n, count(CASE WHEN support_status = 'supported' THEN 1 END) AS good, count(CASE WHEN support_status = 'partially_supported' THEN 1 END) AS half, count(CASE WHEN support_status = 'insufficient_evidence' THEN 1 END) AS weak, coalesce(bool_or(synthetic), false) AS made FROM orders LEFT JOIN asked_for ON mission_id = o_orderkey GROUP BY 1),
 named AS (SELECT mission_id, CASE WHEN n = 0 THEN 'unavailable' WHEN good = n THEN 'grounded' WHEN good + half = n THEN 'partial' WHEN weak = n AND made THEN 'synthetic_only' WHEN weak = n THEN 'insufficient' ELSE 'partial' END AS evidence_status FROM counted)
@@ -107,19 +150,20 @@ def retrieval_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.retrieval_quality_report(cases(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {PAGES_SQL}, {PRINTS_SQL} SELECT doc_id, CAST(coalesce(fingerprint, 0)::HUGEINT - CASE WHEN fingerprint >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS fingerprint FROM documents LEFT JOIN prints ON chunk_id = doc_id")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.read(spark, sf_dir, "documents").select("doc_id", fingerprints.simhash("text").alias("fingerprint"))
+    return fingerprints.fingerprint_rows(B.read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""WITH {PAGES_SQL}, {PRINTS_SQL}, own AS (SELECT coalesce(fingerprint, 0) AS f, min(doc_id) AS id FROM documents LEFT JOIN prints ON chunk_id = doc_id GROUP BY 1)
+SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.f, y.f)) AS INT) AS distance FROM own x JOIN own y ON x.id < y.id AND bit_count(xor(x.f, y.f)) <= 3""")
 def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.simhash_pairs(simhash(spark, sf_dir).withColumnRenamed("doc_id", "id"))
 
 
-@query()
+@query(f"{FOUND_SQL} SELECT query_id, chunk_id FROM walk WHERE fresh AND nth > 0")
 def dedupe_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.dedupe_near_duplicates(found(spark, sf_dir).withColumn("fingerprint", fingerprints.simhash("text")))
+    return fresh_candidates(spark, sf_dir).select("query_id", "chunk_id")
 
 
 @query()

@@ -9,6 +9,7 @@ from flightloom import bindings as B
 from flightloom.operators import corpus as E
 from flightloom.operators import planning as G
 from flightloom.operators import retrieval as R
+from flightloom.operators import search as W
 from flightloom.operators.ordering import place_in_group
 from flightloom.plans.registry import query
 
@@ -201,9 +202,40 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.diversify(R.gate_candidates(R.blend_scores(matched(spark, sf_dir))), 10)
 
 
-@query(f"{SEARCH_SQL} SELECT query_id, rank, chunk_id, round(final_score, 9) AS final_score FROM found WHERE rank <= 10")
+PRINTS_SQL = """words_of AS (SELECT chunk_id, CAST('0x' || substr(md5(t.term), 1, 16) AS UBIGINT) AS h FROM pages_of, LATERAL (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS term) t WHERE t.term <> ''),
+prints AS (SELECT chunk_id, sum(CASE WHEN 2 * ones > n THEN CAST(1 AS UBIGINT) << b ELSE 0 END)::UBIGINT AS fingerprint FROM (SELECT chunk_id, b, sum((h >> b) & 1) AS ones, count(*) AS n FROM words_of, range(64) AS r(b) GROUP BY 1, 2) GROUP BY 1)"""
+#: The reciprocal's k of each query: a step by the corpus' size, blended with a learned k that two of three queries have.
+RRF_K_SQL = "ks AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN s ELSE greatest(20, least(120, floor(0.7 * s + 0.3 * (20 + item_id % 101) + 1e-9))) END AS rrf_k FROM benchmark, (SELECT CASE WHEN count(*) < 1000 THEN 40 WHEN count(*) < 10000 THEN 60 WHEN count(*) < 100000 THEN 80 ELSE 100 END AS s FROM documents))"
+FOUND_SQL = f"""WITH RECURSIVE {BM25_SQL}, {DENSE_SQL}, {PAGES_SQL}, {INTENT_SQL}, {PRINTS_SQL}, {RRF_K_SQL},
+both_sides AS (SELECT query_id, chunk_id, 0.6 / (rrf_k + rank) AS w, dense_score, CAST(0 AS DOUBLE) AS sparse_score FROM dense JOIN ks USING (query_id) UNION ALL SELECT query_id, chunk_id, 0.4 / (rrf_k + rank), CAST(0 AS DOUBLE), sparse_score FROM sparse JOIN ks USING (query_id)),
+one_list AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, chunk_id) AS n FROM (SELECT query_id, chunk_id, sum(w) AS rrf_score, max(dense_score) AS dense_score, max(sparse_score) AS sparse_score FROM both_sides GROUP BY 1, 2)),
+pool AS (SELECT l.*, fingerprint, intent, row_number() OVER (PARTITION BY l.query_id ORDER BY n) AS nth FROM one_list l JOIN prints USING (chunk_id) JOIN intents USING (query_id) WHERE n <= 60 AND intent <> 'unsupported_domain'),
+walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS nth, CAST([] AS UBIGINT[]) AS kept, true AS fresh, CAST(NULL AS BIGINT) AS chunk_id FROM pool
+ UNION ALL SELECT p.query_id, p.nth, CASE WHEN len(list_filter(kept, lambda f: bit_count(xor(f, p.fingerprint)) <= 3)) = 0 THEN list_append(kept, p.fingerprint) ELSE kept END, len(list_filter(kept, lambda f: bit_count(xor(f, p.fingerprint)) <= 3)) = 0, p.chunk_id FROM walk w JOIN pool p ON p.query_id = w.query_id AND p.nth = w.nth + 1),
+named AS (SELECT p.*, g.page, g.source_filename, g.source_id, g.text, lower(g.source_id || ' ' || g.source_filename || ' ' || g.source_title) AS names, intent IN ('first', 'second', 'third') AS explicit FROM pool p JOIN walk w ON w.query_id = p.query_id AND w.nth = p.nth AND w.fresh JOIN pages_of g ON g.chunk_id = p.chunk_id),
+judged AS (SELECT *, 0.5 * rrf_score + 0.3 * dense_score + 0.2 * sparse_score + CASE WHEN explicit THEN 0.18 ELSE 0.05 END * m - CASE WHEN explicit AND m <= 0 THEN 0.08 ELSE 0 END AS final_score FROM (SELECT *, CAST({MATCH_SQL} AS DOUBLE) AS m FROM named)),
+fit AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_filename, page ORDER BY round(final_score, 9) DESC, chunk_id) AS of_page FROM judged WHERE length(trim(text)) >= 40 AND final_score >= 0.08 AND (NOT explicit OR m > 0)),
+spread AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY round(final_score, 9) DESC, chunk_id) AS of_source FROM fit WHERE of_page = 1),
+chosen AS (SELECT query_id, chunk_id, final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, chunk_id) AS INT) AS rank FROM spread WHERE of_source <= CASE WHEN explicit THEN 3 ELSE 2 END)"""
+
+
+def asked_and_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, W.SearchIndex]:
+    """Benchmark texts, each with its vector and its own k of the fusion, and an index over the documents."""
+    texts = search_queries(spark, sf_dir)
+    rows = texts.join(query_vectors(spark, sf_dir), "query_id", "left").withColumn("corpus_size", F.lit(B.read(spark, sf_dir, "documents").count()))
+    queries = R.adaptive_rrf_k(rows.withColumn("optimal_k", F.when(F.col("query_id") % 3 != 0, 20 + F.col("query_id") % 101)))
+    return queries, W.build_index(pages(spark, sf_dir), B.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), R.query_terms(texts))
+
+
+def fresh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, tables = asked_and_index(spark, sf_dir)
+    return W.candidate_pool(queries.join(intents(spark, sf_dir).where("domain_match").select("query_id"), "query_id"), tables)
+
+
+@query(f"{FOUND_SQL} SELECT query_id, rank, chunk_id, round(final_score, 9) AS final_score FROM chosen WHERE rank <= 10")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir).select("query_id", "rank", "chunk_id", F.round("final_score", 9).alias("final_score"))
+    queries, tables = asked_and_index(spark, sf_dir)
+    return W.hybrid_search(queries, tables, 10, None, TEST_RULES, ["que"]).select("query_id", "rank", "chunk_id", F.round("final_score", 9).alias("final_score"))
 
 
 @query(f"{SEARCH_SQL} SELECT query_id, source_id, count(*) AS n FROM found WHERE rank <= 10 GROUP BY 1, 2")

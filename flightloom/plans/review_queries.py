@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from flightloom import bindings as B
 from flightloom import schemas as S
+from flightloom.operators import graph_features as P
+from flightloom.operators import quality_records as Q
 from flightloom.operators import review as I
-from flightloom.operators import validate as V
 from flightloom.plans.decision_queries import BUNDLES_SQL, attributions, bundles
 from flightloom.plans.registry import query
 from flightloom.plans.retrieval_queries import PAGES_SQL, pages
@@ -95,13 +96,46 @@ def manifest_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.manifest_integrity(manifest, held.where("source_title <> 'src2'"))
 
 
-CORE, REST = ["uav_mass_kg", "uav_battery_wh", "environment_weather_wind_mps", "airspace_altitude_agl_max_m"], ["uav_fuel_l", "uav_max_speed_mps", "max_payload_kg"]
-GIVEN = lambda names: " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in names)
+#: Profiles as the audit sees them: known columns, an odd fuel text, a spawn place that is a triplet, a pair or missing.
+FUEL = "CASE WHEN p_partkey % 7 = 0 THEN ' Unknown ' WHEN p_partkey % 7 = 1 THEN 'full' ELSE '1.5' END"
+SPAWN = "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN {two} ELSE {three} END"
+KNOWN = [x for x in S.PROFILE_NUMERIC if x != "uav_fuel_l"]
+RECORDS_SQL = f"""WITH {B.PROFILES_SQL}, named AS (SELECT {B.PROFILE['profile_id']} AS profile_id, {FUEL} AS fuel, p_partkey % 5 AS spawn FROM part),
+given AS (SELECT p.profile_id, x.name, x.v, CASE WHEN x.name = 'spawn_xyz_first' AND spawn > 0 THEN CASE WHEN spawn = 1 THEN 2 ELSE 3 END END AS size FROM profiles p JOIN named n USING (profile_id),
+ LATERAL (SELECT unnest([{', '.join(f"struct_pack(name := '{c}', v := CAST({c} AS DOUBLE))" for c in KNOWN)}, struct_pack(name := 'uav_fuel_l', v := CASE WHEN fuel = '1.5' THEN 1.5 END), struct_pack(name := 'spawn_xyz_first', v := CASE WHEN spawn > 1 THEN 4.0 END)]) AS x)),
+audited AS (SELECT profile_id, f.name, coalesce(f.name = 'uav_fuel_l' AND fuel = 'full', false) AS garbled, g.v, g.size FROM named CROSS JOIN (SELECT unnest({Q.AUDITED}) AS name) f LEFT JOIN given g USING (profile_id, name)),
+records AS (SELECT profile_id, name AS feature_name, v AS final_value, CASE WHEN v IS NULL THEN 'IMPUTED' ELSE 'PROVIDED' END AS status, v IS NULL AND size IS NULL AND NOT garbled AS was_missing, v IS NULL AND (size IS NOT NULL OR garbled) AS was_invalid_type,
+ name = 'uav_mass_kg' AND coalesce(v < 0.5 OR v > 24.5, false) AS was_out_of_range,
+ CASE WHEN size = 3 THEN 'Accepted spatial triplet payload; canonical scalar anchor retained from first coordinate.' WHEN size = 2 THEN 'spawn_xyz_first must contain exactly 3 spatial values.' WHEN garbled THEN 'Invalid numeric format signals.' WHEN v IS NULL THEN 'Missing feature telemetry field.'
+ WHEN name = 'uav_mass_kg' AND v >= 25 THEN 'CRITICAL OPERATIONAL BREACH DETECTED AND NATIVELY PRESERVED' WHEN name = 'uav_mass_kg' AND (v < 0.5 OR v > 24.5) THEN 'Value preserved outside safe envelope.' ELSE 'OK' END AS correction_reason,
+ name IN {tuple(S.CORE_FEATURES)} AS is_core_feature FROM audited)"""
 
 
-@query(f"{WITH} SELECT mission_id, round(least(1.0, 0.7 * ({GIVEN(CORE)}) / 4 + 0.3 * ({GIVEN(CORE + REST)}) / 7) + 1e-12, 9) AS score, concat_ws(',', {', '.join(f'CASE WHEN {c} IS NULL THEN {chr(39)}{c}{chr(39)} END' for c in CORE)}) AS missing_core, ({GIVEN(CORE)}) = 4 AND NOT (coalesce(uav_mass_kg >= 25, false) OR coalesce(environment_weather_wind_mps >= 15, false) OR coalesce(airspace_altitude_agl_max_m >= 122, false)) AS usable FROM joined")
+def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = B.profiles(spark, sf_dir).select("profile_id", *KNOWN)
+    odd = B.read(spark, sf_dir, "part").selectExpr(f"{B.PROFILE['profile_id'].replace('VARCHAR(20)', 'STRING')} AS profile_id", f"{FUEL} AS uav_fuel_l", SPAWN.format(two="array(4D, 5D)", three="array(4D, 5D, 6D)") + " AS spawn_xyz_first")
+    return Q.profile_data_quality(known.join(odd, "profile_id"), Q.feature_bounds(spark), "profile_id")
+
+
+@query(f"{RECORDS_SQL} SELECT * FROM records")
 def profile_data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.profile_data_quality(joined(spark, sf_dir), CORE, REST, V.HARD_BOUNDS)
+    return profile_records(spark, sf_dir).drop("original_value", "is_critical", "place", "core_place")
+
+
+#: Missions as the audit sees them: of the core features the battery's charge may be missing, and the loiter radius is text.
+SCORES_SQL = f"""{WITH}, held AS (SELECT mission_id, uav_battery_wh IS NULL AS no_battery, mission_id % 6 = 0 AS no_radius, uav_mass_kg >= 25 OR environment_weather_wind_mps >= 15 OR airspace_altitude_agl_max_m >= 122 AS breach FROM joined),
+lists AS (SELECT *, concat_ws(', ', CASE WHEN no_battery THEN 'uav_battery_wh' END, CASE WHEN no_radius THEN 'mission_loiter_radius_m' END) AS lacking, no_battery::INT + no_radius::INT AS n FROM held)
+SELECT mission_id, round(0.7 * (68 - n) / 68 + 0.3 * (68 - n) / 198, 9) AS overall_data_quality_score, lacking AS missing_core, lacking AS imputed_core, n > 0 AS has_critical_missing, n = 0 AND NOT breach AS is_usable,
+ CASE WHEN n > 0 THEN 'IMPUTED_CORE_POLICY: imputed cores present: ' || lacking || '|MISSING_CORE_FEATURES: ' || lacking ELSE '' END AS errors FROM lists"""
+
+
+@query(SCORES_SQL)
+def data_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.flagged(joined(spark, sf_dir)).select("mission_id", *S.CORE_FEATURES)
+    rows = rows.withColumn("mission_loiter_radius_m", F.when(F.col("mission_id") % 6 == 0, "n/a").otherwise(F.col("mission_loiter_radius_m").cast("string")))
+    out = Q.data_quality_score(Q.profile_data_quality(rows, Q.feature_bounds(spark)), True)
+    listed = [F.array_join(c, ", ").alias(c) for c in ("missing_core", "imputed_core")]
+    return out.select("mission_id", F.round("overall_data_quality_score", 9).alias("overall_data_quality_score"), *listed, "has_critical_missing", "is_usable", F.array_join("errors", "|").alias("errors"))
 
 
 @query()

@@ -78,6 +78,24 @@ swarm_size swarm_roles_first swarm_inter_uav_sep_min_m controls_mode daa_sep_thr
 faults_count faults_sample_duration_s faults_sample_severity comms_uplink_ok comms_downlink_ok
 comms_loss_windows_count comms_rssi_dbm_min
 """.split()
+CORE_FEATURES = """
+uav_energy_source_fuel uav_energy_source_hybrid mission_pattern_custom mission_pattern_grid mission_pattern_orbit
+mission_pattern_spiral controls_mode_discrete swarm_enabled swarm_size swarm_inter_uav_sep_min_m
+swarm_roles_first_relay swarm_roles_first_scout swarm_roles_first_single swarm_roles_first_solo uav_mass_kg
+uav_battery_wh uav_fuel_l uav_payload_mass_kg uav_max_speed_mps uav_max_tilt_deg uav_reserve_fraction
+uav_rotorcraft_rotor_count uav_rotorcraft_max_climb_mps uav_rotorcraft_hover_ceiling_m uav_aero_prop_efficiency
+uav_sensors_gnss uav_sensors_lidar uav_sensors_radar uav_sensors_camera_rgb uav_sensors_camera_thermal
+environment_weather_wind_mps environment_weather_wind_dir_deg environment_weather_gust_mps
+environment_weather_phenomena_count environment_gnss_jam_dbm environment_gnss_multipath environment_em_interference
+airspace_altitude_agl_min_m airspace_altitude_agl_max_m airspace_no_fly_zones_count
+airspace_no_fly_zones_sample_radius_m airspace_no_fly_zones_sample_floor_m airspace_no_fly_zones_sample_ceiling_m
+airspace_no_fly_zones_dynamic_count mission_runway_required airspace_runway_length_m spawn_xyz_first spawn_yaw_deg
+landing_preferred_sites_count landing_preferred_sites_z_mean landing_emergency_sites_count mission_waypoints_count
+mission_waypoints_z_mean mission_time_budget_s mission_loiter_radius_m traffic_count traffic_sample_speed_mps
+moving_obstacles_count moving_obstacles_sample_radius_m daa_sep_threshold_m daa_ttc_threshold_s comms_uplink_ok
+comms_downlink_ok comms_rssi_dbm_min comms_loss_windows_count faults_count faults_sample_severity
+faults_sample_duration_s
+""".split()
 DROPPED_RAW = """
 uav_type environment_airspace environment_weather_visibility environment_weather_phenomena_first mission_type
 faults_sample_type autofix_uav_physics_first

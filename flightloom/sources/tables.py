@@ -49,9 +49,26 @@ def upsert_profiles(existing: DataFrame, changes: DataFrame) -> DataFrame:
     return shown.select(*(x if x in key else F.col("now")[x].alias(x) for x in existing.columns), "result", "stored")
 
 
-def write_assessments(records: DataFrame, path: str) -> None:
-    """Append records in parts by user; rows whose ids can't name a place are refused."""
-    records.where(safe_id("user_id") & safe_id("assessment_id")).write.mode("append").partitionBy("user_id").parquet(path)
+def write_assessments(records: DataFrame, path: str, batch: int | None = None) -> None:
+    """Store records in parts by user and batch; rows whose ids can't name a place are refused.
+
+    Without ``batch`` they are appended. With one, the batch's parts are replaced: a batch of a stream that is written
+    again leaves each record once.
+    """
+    fit = records.where(safe_id("user_id") & safe_id("assessment_id")).withColumn("batch", F.lit(-1 if batch is None else batch).cast("long"))
+    to = fit.hint("rebalance", "user_id").write.partitionBy("user_id", "batch")
+    (to.mode("append") if batch is None else to.mode("overwrite").option("partitionOverwriteMode", "dynamic")).parquet(path)
+
+
+def read_assessments(spark: SparkSession, path: str) -> DataFrame:
+    """All stored records; ids stay text whatever they look like."""
+    return parts_as_text(spark, path, "user_id").drop("batch")
+
+
+def parts_as_text(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """A partitioned table whose part isn't taken for a number."""
+    kinds = [T.StructField(f.name, T.StringType() if f.name == part else f.dataType) for f in spark.read.parquet(path).schema]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
 
 
 def read_labelled_features(spark: SparkSession, path: str) -> DataFrame:
@@ -65,11 +82,5 @@ def catalog_sources(spark: SparkSession, path: str, pattern: str = "*") -> DataF
     return held.select(normalize_source_id(name).alias("source_id"), name.alias("filename"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
-def write_index_tables(tables: dict[str, DataFrame], path: str, force: bool = False) -> None:
-    """Each table under its name; refuses where one exists, unless forced."""
-    for name, df in tables.items():
-        df.write.mode("overwrite" if force else "errorifexists").parquet(f"{path}/{name}")
-
-
 def append_evidence_log(entries: DataFrame, path: str, rows: int = 5000) -> None:
     entries.write.mode("append").option("maxRecordsPerFile", rows).json(path)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightloom.operators import validate as V
 from flightloom.operators.assessment import assess_missions
 from flightloom.operators.ordering import place_in_group
+from flightloom.operators.records import build_records
+from flightloom.sources.tables import write_assessments
+from flightloom.streaming.keyed import LearnedProfile, Thresholds, needs_rocksdb
 
 LEARNED = "scenario_type string, query_count long, avg_top_score double, hyde_success_rate double, optimal_k int"
 START = (0, 0.0, 0.0, 60)
@@ -85,15 +87,33 @@ def learn_scenario_profiles(history: DataFrame, part: str = "day") -> DataFrame:
 
 
 def stream_scenario_profiles(stream: DataFrame) -> DataFrame:
-    """The same as a stream: each batch's rows of a type, in order, on from its state; emits the state after each batch."""
+    """The same as a stream: each batch's rows of a type, in order of time and entry_id, on from its state; emits the state after each batch. Needs the RocksDB state store."""
+    rows = usable(needs_rocksdb(stream))
+    return rows.groupBy("scenario_type").transformWithStateInPandas(LearnedProfile(learn, START), LEARNED, "Update", "None")
 
-    def own(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["timestamp", "entry_id"])
-        now = fold(rows, state.get if state.exists else START)
-        state.update(now)
-        yield pd.DataFrame([(key[0], *now)], columns=["scenario_type", "query_count", "avg_top_score", "hyde_success_rate", "optimal_k"])
 
-    return usable(stream).groupBy("scenario_type").applyInPandasWithState(own, LEARNED, "n long, mean double, share double, k int", "update", GroupStateTimeout.NoTimeout)
+def starting_minimum(corpus_size: int) -> float:
+    return min(0.55, 0.35 + 0.02 * corpus_size / 1000)
+
+
+def lowered(scores: Sequence[float], minimum: float) -> float:
+    """The minimum after one more score, of the last scores: from twenty on, a mean below it takes it to STEP under that mean, FLOOR at least."""
+    mean = round(sum(scores) / len(scores), 12)
+    return max(FLOOR, mean - STEP) if len(scores) >= 20 and mean < minimum else minimum
+
+
+def stream_thresholds(stream: DataFrame, corpus_size: int, window: int = 100, key: str | None = None) -> DataFrame:
+    """adaptive_thresholds as a stream: a row a score, from the state that the batches before left. Needs the RocksDB state store.
+
+    A batch's rows of a key are taken in order of time and entry_id; a batch goes on where the one before ended, so the
+    stream equals the batch where batches follow each other in time. Without ``key`` there is one history, and one task.
+    """
+    start, names = starting_minimum(corpus_size), [key] if key else []
+    rows = needs_rocksdb(stream).where("top_score is not null and not isnan(top_score)")
+    rows = rows.select("entry_id", "timestamp", F.col("top_score").cast("double").alias("top_score"), (F.col(key) if key else F.lit("all")).alias("key"))
+    kinds = f"key {rows.schema['key'].dataType.simpleString()}, entry_id {rows.schema['entry_id'].dataType.simpleString()}, minimum double"
+    out = rows.groupBy("key").transformWithStateInPandas(Thresholds(lowered, start, window), kinds, "Append", "None")
+    return out.select(*(F.col("key").alias(n) for n in names), "entry_id", "minimum", F.lit(start + 0.10).alias("hyde_trigger"), F.lit(start + 0.15).alias("rerank_cutoff"))
 
 
 def adaptive_thresholds(scores: DataFrame, corpus_size: int, window: int = 100, key: str | None = None, part: str = "hour") -> DataFrame:
@@ -103,7 +123,7 @@ def adaptive_thresholds(scores: DataFrame, corpus_size: int, window: int = 100,
     that mean. Each drop is of more than STEP or ends at FLOOR, so there are a few at most, whatever the number of rows:
     each is the first mean below the one before, found by an aggregation over those means that are new lows of their block.
     """
-    start = min(0.55, 0.35 + 0.02 * corpus_size / 1000)
+    start = starting_minimum(corpus_size)
     names = [key] if key else []
     held = scores.where("top_score is not null and not isnan(top_score)").select("entry_id", "timestamp", "top_score", (F.col(key) if key else F.lit(0)).alias("_key"))
     placed = place_in_group(held, "_key", F.date_trunc(part, "timestamp"), ["timestamp", "entry_id"]).select("_key", "entry_id", "place", F.col("top_score").cast("double").alias("score"))
@@ -131,9 +151,25 @@ def adaptive_thresholds(scores: DataFrame, corpus_size: int, window: int = 100,
     return out.select(*(F.col("_key").alias(n) for n in names), "entry_id", so_far.alias("minimum"), F.lit(start + 0.10).alias("hyde_trigger"), F.lit(start + 0.15).alias("rerank_cutoff"))
 
 
-def stream_assess(stream: DataFrame, profiles: DataFrame, bundles: DataFrame, attributions: DataFrame) -> DataFrame:
-    """Missions of a stream with their status, issue codes, recommendation and decision (see assess_missions); profiles, bundles and attributions are tables. Stateless."""
-    return assess_missions(V.join_profiles(stream, profiles), bundles, attributions)
+def stream_assess(stream: DataFrame, profiles: DataFrame, bundles: DataFrame, attributions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Missions of a stream with their status, issue codes, recommendation and decision (see assess_missions), and their columns ``keep``; profiles, bundles and attributions are tables. Stateless."""
+    return assess_missions(V.join_profiles(stream, profiles), bundles, attributions, keep=keep)
+
+
+OF_RECORD = ("mission_user_id", "mission_profile_id", "created_at")
+
+
+def stream_records(stream: DataFrame, profiles: DataFrame, bundles: DataFrame, attributions: DataFrame, path: str, checkpoint: str):
+    """Assess the missions of a stream and store their records under ``path`` as write_assessments does; all that is there is done, then it stops.
+
+    Each batch writes the parts that carry its number, so a batch that is run again after a failure replaces what it wrote.
+    """
+    decided = stream_assess(stream, profiles, bundles, attributions, OF_RECORD)
+
+    def store(rows: DataFrame, batch: int) -> None:
+        write_assessments(build_records(rows), path, batch)
+
+    return decided.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_evidence_log(stream: DataFrame, path: str, checkpoint: str):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flightloom import bindings as B
 from flightloom.functions.chunking import split_text
-from flightloom.functions.fingerprints import simhash, simhash_pairs
+from flightloom.functions.fingerprints import fingerprint_rows, simhash_pairs
 from flightloom.operators import evidence as H
 from flightloom.operators import validate as V
 from flightloom.operators.assessment import assess_missions
@@ -31,6 +31,42 @@ def test_learned_stream_is_the_batch(spark, sf_dir, tmp_path):
     assert {x.scenario_type: (round(x.m, 9), x.k, x.n) for x in last.collect()} == want
 
 
+def in_parts(spark, rows, cuts, path):
+    """The rows in order of time as files, one a batch, each dealt backwards."""
+    ordered = sorted(rows.collect(), key=lambda x: (x.timestamp, x.entry_id))
+    for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ordered)])):
+        spark.createDataFrame(ordered[a:b][::-1], rows.schema).coalesce(1).write.parquet(f"{path}/p{i:02}")
+        yield i
+
+
+def test_states_of_streams_are_those_of_batches(spark, tmp_path):
+    """Thresholds and learned profiles over several batches and a restart, with batches of many chunks that come in no order."""
+    rows = learned_rows(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out, learned = {}, {}
+
+        def keep(batch, _):
+            for x in batch.collect():
+                assert x.entry_id not in out
+                out[x.entry_id] = x.minimum
+
+        def remember(batch, _):
+            learned.update({x.scenario_type: (x.query_count, x.avg_top_score, x.hyde_success_rate, x.optimal_k) for x in batch.collect()})
+
+        for _ in in_parts(spark, rows, [0, 400, 420, 1000], tmp_path / "in"):
+            stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+            L.stream_thresholds(stream, 9000, 30, "scenario_type").writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+            L.stream_scenario_profiles(stream).writeStream.foreachBatch(remember).outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {x.entry_id: x.minimum for x in L.adaptive_thresholds(rows, 9000, 30, "scenario_type").collect()}
+    assert set(out) == set(want) and all(abs(out[i] - v) < 1e-9 for i, v in want.items()) and len(set(want.values())) > 2
+    for x in L.learn_scenario_profiles(rows).collect():
+        n, mean, share, k = learned[x.scenario_type]
+        assert (n, k) == (x.query_count, x.optimal_k) and abs(mean - x.avg_top_score) < 1e-9 and abs(share - x.hyde_success_rate) < 1e-9
+
+
 def learned_rows(spark):
     """Hot type, null type, scores that drift down and up, ties of time, rows without a score."""
     import math
@@ -157,7 +193,7 @@ def test_chunks():
 
 def test_fingerprints(spark):
     texts = ["the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumps over the lazy dog " * 3 + "!", "something else"]
-    prints = spark.createDataFrame(pd.DataFrame({"id": [1, 2, 3], "text": texts})).select("id", simhash("text").alias("fingerprint")).cache()
+    prints = fingerprint_rows(spark.createDataFrame(pd.DataFrame({"id": [1, 2, 3], "text": texts})), "id", "text").cache()
     bits = [x.fingerprint & (2**64 - 1) for x in prints.orderBy("id").collect()]
     want = {(i + 1, j + 1) for i in range(3) for j in range(i + 1, 3) if 0 < (bits[i] ^ bits[j]).bit_count() <= 3}
     assert {(x.a, x.b) for x in simhash_pairs(prints).collect()} == want
