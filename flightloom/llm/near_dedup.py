@@ -94,7 +94,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, two hashes of the words in order (null without words), registers and band keys."""
+    """doc_id, print of the text, two hashes of the words in order (null without words), registers and band keys."""
     for batch in slices(batches, "text"):
         column = batch.column("text")
         _, _, _, h, at = words(column)
@@ -110,7 +110,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + registers.reshape(-1, BANDS, ROWS)[:, :, k])
         empty = n == 0
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, mask=empty) for x in sums), pa.array([x.tobytes() for x in registers.astype(np.uint8)], pa.binary()), pa.array([x.tobytes() for x in key.view(np.int64)], pa.binary())], names=["doc_id", "h1", "h2", "registers", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), *(pa.array(x, mask=empty) for x in sums), pa.array([x.tobytes() for x in registers.astype(np.uint8)], pa.binary()), pa.array([x.tobytes() for x in key.view(np.int64)], pa.binary())], names=["doc_id", "print", "h1", "h2", "registers", "bands"])
 
 
 def spread_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,17 +195,27 @@ def further_links(members: DataFrame, found: DataFrame, nodes: DataFrame, texts:
     return right.unionByName(left).groupBy("band", "i", "j").applyInPandas(link_cell, "a long, b long").distinct()
 
 
+def of_one_id(worded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of a doc_id that has several; each to the first."""
+    words = F.struct("h1", "h2")
+    several = worded.groupBy("doc_id").agg(F.min(words).alias("low"), F.max(words).alias("high")).where("low <> high").select("doc_id", "low.h1", "low.h2")
+    first = several.join(nodes.select("h1", "h2", F.col("node").alias("a")), ["h1", "h2"]).select("doc_id", "a")
+    every = worded.select("doc_id", "h1", "h2").join(first, "doc_id").join(nodes.select("h1", "h2", F.col("node").alias("b")), ["h1", "h2"])
+    return every.where("a <> b").select("a", "b").distinct()
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row: class_id is the smallest doc_id that links of 0.8 or more lead to.
 
-    Texts with the same words are one class. Texts without words (null, empty, marks alone) are linked to nothing, and
-    rows without doc_id have no class. A doc_id that occurs with several texts ties their classes together. Only
-    doc_id and text are read.
+    A node is one sequence of words, whatever rows hold it. Texts without words (null, empty, marks alone) are linked
+    to nothing, and rows without doc_id have no class. A doc_id that occurs with several texts ties their classes
+    together; its rows without words keep to themselves. Only doc_id and text are read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = stash(rows.mapInArrow(sign, "doc_id long, h1 long, h2 long, registers binary, bands binary"), "signed")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print"))
+    signed = stash(rows.mapInArrow(sign, "doc_id long, print long, h1 long, h2 long, registers binary, bands binary"), "signed")
     worded = signed.where("h1 is not null and doc_id is not null")
-    nodes = stash(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "nodes")
+    own = worded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "print")).alias("least"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    nodes = stash(own.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("least.doc_id").alias("doc_id"), F.col("least.print").alias("print"), "registers", "bands"), "nodes")
     spread = nodes.select("bands", "node").mapInArrow(spread_bands, "band long, node long")
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = stash(spread.join(shared, "band").select("band", "node", "n"), "members")
@@ -213,11 +223,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     pivots = members.join(degree, "node").groupBy("band").agg(F.min(F.struct(-F.col("degree"), F.col("node"))).alias("p")).select("band", F.col("p.node").alias("pivot"))
     star = members.join(pivots, "band").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     star = stash(star, "star")
-    wanted = members.select("node").distinct()
-    texts = stash(rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "texts")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "print")
+    texts = stash(rows.join(wanted, ["doc_id", "print"]).groupBy("node").agg(F.min("text").alias("text")), "texts")
     links = verified(star, texts)
     found = stash(components(links), "components")
     more = further_links(members, found, nodes, texts)
-    final = stash(components(links.unionByName(more)), "components")
-    named = signed.join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left").join(final, "node", "left")
-    return named.select("doc_id", F.coalesce("component", "node", "doc_id").alias("class_id"))
+    final = stash(components(links.unionByName(more).unionByName(of_one_id(worded, nodes))), "components")
+    classed = nodes.join(final, "node", "left").select("h1", "h2", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    named = signed.select("doc_id", "h1", "h2").join(classed.join(least, "component").select("h1", "h2", "class_id"), ["h1", "h2"], "left")
+    return named.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
