@@ -68,7 +68,8 @@ def cut_phrases(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def find_phrases(phrases: list[np.ndarray], held: dict, slack: int = 0) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(phrase, where its words begin, where they end) of a block, by intersecting shifted posting lists from the rarest on.
 
-    All words of a match lie in one document. With slack, each word is the nearest to its place from the rarest word.
+    All words of a match lie in one document. With slack, a word may stand anywhere within so many words of its place,
+    counted from the rarest word; of several the nearest counts, of two as near the first.
     """
     terms, counts = np.frombuffer(held["terms"], "<u8"), np.frombuffer(held["counts"], "<u4").astype(np.int64)
     if not len(terms) or not phrases:
@@ -96,24 +97,30 @@ def find_phrases(phrases: list[np.ndarray], held: dict, slack: int = 0) -> list[
         low, high = rarest.copy(), rarest.copy()
         alive = np.ones(len(start), bool)
         for offset in order[1:]:
-            places = posted(offset)
-            wanted = start + offset
-            after = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-            before = np.maximum(after - 1, 0)
-            near = places[np.where(np.abs(places[before] - wanted) < np.abs(places[after] - wanted), before, after)]
-            if slack:  # the nearest may lie in another document, the other one not
-                other = places[np.where(near == places[after], before, after)]
-                near = np.where((near >= begin) & (near < end), near, other)
-            fits = (np.abs(near - wanted) <= slack) & (near >= begin) & (near < end)
+            near, fits = nearest(posted(offset), start + offset, np.maximum(start + offset - slack, begin), np.minimum(start + offset + slack + 1, end))
             alive &= fits
             if not alive.any():
                 break
-            low, high = np.minimum(low, near), np.maximum(high, near)
+            low, high = np.where(fits, np.minimum(low, near), low), np.where(fits, np.maximum(high, near), high)
         if alive.any():
             out.append((k, low[alive], high[alive] + 1))
     return out
 
 
+def nearest(places: np.ndarray, wanted: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted place the nearest of the ascending ``places`` that lies in begin .. end - 1, the first of two as near; and whether there is one.
+
+    Within the range, the nearest is the last place up to the wanted one or the first from it on, so both ends are held to the range.
+    """
+    low, high = np.searchsorted(places, begin), np.searchsorted(places, end)  # those of the range are low .. high - 1
+    after = np.searchsorted(places, wanted)
+    before = np.clip(after - 1, low, np.maximum(high - 1, low))
+    after = np.clip(after, low, np.maximum(high - 1, low))
+    top = len(places) - 1
+    x, y = places[np.minimum(before, top)], places[np.minimum(after, top)]
+    return np.where(np.abs(x - wanted) <= np.abs(y - wanted), x, y), high > low
+
+
 def search_blocks(sent, slack: int, every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: block, place in it, doc_id, n_words, covered words as starts and ends, items found. ``every``: also documents with none."""
     items, flat, size = sent.value

@@ -1,11 +1,12 @@
 import hashlib
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flightloom.llm import near_dedup as N
 from flightloom.llm.components import components
@@ -57,9 +58,9 @@ def test_batches_and_slack(spark, monkeypatch):
     assert not any(x["items"] for x in phrase_matches(apart, bench.where("item_id = 1"), 3, slack=1).collect())
 
 
-def near_by_brute_force(words, phrase, slack):
+def near_by_brute_force(words, phrase, slack, counts):
     """Whether the phrase's words stand within slack of their places, counted from some place of its rarest word."""
-    offset = min(range(len(phrase)), key=lambda i: (words.count(phrase[i]), i))
+    offset = min(range(len(phrase)), key=lambda i: (counts[phrase[i]], i))
     return any(
         words[at] == phrase[offset] and all(any(0 <= p < len(words) and words[p] == w for p in range(at - offset + i - slack, at - offset + i + slack + 1)) for i, w in enumerate(phrase))
         for at in range(len(words))
@@ -67,14 +68,28 @@ def near_by_brute_force(words, phrase, slack):
 
 
 def test_proximity_against_brute_force(spark):
+    """Many documents share a block, and a word may stand near its place in a neighbouring document."""
     rng = np.random.default_rng(3)
-    texts = [list(map(str, rng.choice(list("abcdef"), rng.integers(3, 30)))) for _ in range(60)]
-    phrases = [list(map(str, rng.choice(list("abcdefg"), 4, replace=False))) for _ in range(20)]
-    for i, words in enumerate(texts):  # a block each, so that the rarest word is the text's own
-        docs = spark.createDataFrame([(i, " ".join(words))], "doc_id long, text string") if i < 3 else None
-        if docs is not None:
-            got = phrase_matches(docs, spark.createDataFrame(list(enumerate(map(" ".join, phrases))), "item_id long, text string"), 4, slack=2).first()["items"]
-            assert got == sorted(str(k) for k, x in enumerate(phrases) if near_by_brute_force(words, x, 2))
+    texts = [list(map(str, rng.choice(list("abcdef"), rng.integers(1, 14)))) for _ in range(150)]
+    phrases = [list(map(str, rng.choice(list("abcdefg"), 4, replace=False))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame(list(enumerate(map(" ".join, phrases))), "item_id long, text string")
+    halves = [x.doc_id for x in docs.where(F.spark_partition_id() == 0).collect()]
+    for slack in (0, 1, 2, 5):
+        got = {x["doc_id"]: x["items"] for x in phrase_matches(docs, bench, 4, slack=slack).collect()}
+        for block in (halves, [i for i in range(len(texts)) if i not in set(halves)]):
+            counts = Counter(w for i in block for w in texts[i])  # the rarest word is the block's
+            for i in block:
+                assert got[i] == sorted(str(k) for k, x in enumerate(phrases) if near_by_brute_force(texts[i], x, slack, counts)), (i, slack)
+
+
+def test_a_place_in_a_neighbouring_document(spark):
+    """The nearer place of a word lies in the document before, or both nearer ones do; a farther one in the document counts."""
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for texts in (["b a c"], ["q a", "b a c"], ["a a a", "b a c", "a a a"], ["x", "b a c", "a"]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {x["doc_id"]: (x["starts"], x["ends"]) for x in phrase_matches(docs, bench, 3, slack=2).collect()}
+        assert got[texts.index("b a c")] == ([0], [3])
 
 
 def classes_by_brute_force(rows):
@@ -105,6 +120,21 @@ def test_near_classes(documents, rows, nothing):
     assert N.near_classes(nothing).count() == 0
 
 
+def test_an_id_with_several_texts(spark):
+    """Each text keeps its own links, and the id ties the classes of its texts together."""
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    first, second = word(80), word(80)
+    near = lambda x: " ".join([*x[:-1], "changed"])
+    pair = [(5, " ".join(first)), (9, near(first))]
+    both = [*pair, (5, " ".join(second)), (5, None), (3, near(second)), (70, " ".join(word(80)))]
+    for rows in (pair, both, both[::-1], [*both, *both]):
+        got = N.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        want = classes_by_brute_force(rows)
+        assert {x["doc_id"]: x["class_id"] for x in got if x["doc_id"] != 5} == {d: c for d, c in want.items() if d != 5} and want[9] == min(d for d, _ in rows if d < 70)
+        assert sorted(x["class_id"] for x in got if x["doc_id"] == 5) == sorted(5 if t is None else want[5] for d, t in rows if d == 5)
+
+
 def test_hot_buckets_are_cut_and_lose_no_link(spark, monkeypatch):
     """A star: copies that are near their source, some of them less than 0.8 alike to each other; cells smaller than the bucket."""
     monkeypatch.setattr(N, "CELL", 7)
