@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flightloom.llm import near_dedup as N
 from flightloom.llm.components import components
 from flightloom.llm.decontamination import contamination, phrase_matches
-from flightloom.llm.suffixes import LEAST, passage_report, repeated_passages
+from flightloom.llm.suffixes import ENTRIES, LEAST, neighbours, passage_report, repeated_passages
 from flightloom.llm.topk import top_products
 from flightloom.llm.wrappers import extract, extract_main_text, host_wrappers, match, parse, reading
 
@@ -214,6 +214,25 @@ def test_passages_between_partial_copies(spark):
     assert got == passages_by_brute_force(table) and set(got) == whole
 
 
+def test_passages_of_texts_made_of_few_parts(spark):
+    """Texts are random rows of a few parts, so that matches begin and end everywhere, repeat within a text, and rows repeat."""
+    rng = np.random.default_rng(12)
+    parts = [[f"p{x}" for x in rng.integers(0, 10**7, n)] for n in rng.integers(6, 45, 14)]
+    texts = [" ".join(w for k in rng.integers(0, len(parts), rng.integers(2, 9)) for w in parts[k]) for _ in range(90)]
+    table = list(enumerate(texts)) + [(3, texts[3])] * 5 + [(200, texts[4]), (201, " ".join(parts[0] * 30))]
+    got = {x["doc_id"]: x["spans"] for x in passage_report(spark.createDataFrame(table, "doc_id long, text string").repartition(5)).collect()}
+    want = passages_by_brute_force(table)
+    assert got == want and len(want) > 50
+
+
+def test_neighbours_are_found_over_the_seams_of_tasks(spark):
+    rows = [(k, b, 1 + b % 3, 1 + b % 3, [b], [b // 2, b]) for k in range(3) for b in range(50)]
+    entries = spark.createDataFrame(rows, ENTRIES).repartition(7)
+    got = neighbours(entries, ["key", "right", "block"], "t").collect()
+    assert sorted((x.key, x.block) for x in got) == sorted((k, b) for k in range(3) for a in range(49) for b in (a, a + 1))
+    assert {x.to_right for x in got} == {0, 1} and all(x.apart for x in got)
+
+
 def test_long_and_periodic_texts(documents):
     assert {x["doc_id"] for x in repeated_passages(documents.where("doc_id >= 90000")).collect()} == set()
 
