@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from flightloom import bindings as B
 from flightloom import schemas as S
+from flightloom.operators import corpus as E
 from flightloom.operators import graph_features as P
+from flightloom.operators import index_status as X
 from flightloom.operators import quality_records as Q
 from flightloom.operators import review as I
 from flightloom.plans.decision_queries import BUNDLES_SQL, attributions, bundles
@@ -96,6 +98,45 @@ def manifest_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.manifest_integrity(manifest, held.where("source_title <> 'src2'"))
 
 
+def index_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Documents as chunks, with the tables of an index over them; every document has a place among the vectors."""
+    held = pages(spark, sf_dir)
+    chunks = E.assign_vector_ids(held, "source_filename", "page").withColumns({"text_sha256": F.sha2("text", 256), "page_start": F.col("page"), "page_end": F.col("page"), "text": F.concat("text", F.lit("."))})
+    vectors = chunks.select("chunk_id", F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    sources = held.select("source_id", F.col("source_filename").alias("filename"), F.sha2("source_filename", 256).alias("sha256")).distinct()
+    docs = E.doc_stats(E.tokenize(held))
+    manifest, listed = X.index_manifest(chunks, docs, vectors, sources, "2024-01-01T00:00:00")
+    return {"manifest": manifest, "sources": listed, "chunks": chunks, "docs": docs, "vectors": vectors}
+
+
+COUNTS_SQL = f"WITH {PAGES_SQL}, n AS (SELECT count(*) AS chunks, count(DISTINCT source_id) AS sources, count(*) FILTER (source_title <> 'src1') AS without, (SELECT count(*) FROM embeddings) AS vectors FROM pages_of)"
+DAMAGED = "chunk_id_repeated,chunk_source_missing_in_metadata,chunk_without_postings,chunk_without_vector,dense_mapping_chunk_empty_text,dense_mapping_chunk_invalid_page_range,dense_mapping_chunk_invalid_page_start,dense_mapping_count_field_mismatch,dense_mapping_count_mismatch,dense_mapping_vector_id_sequence_invalid,metadata_missing_chunk_overlap,metadata_source_chunk_count_mismatch,metadata_source_zero_chunks,metadata_vector_count_mismatch,source_count_mismatch,sparse_dense_count_mismatch"
+
+
+@query(f"""{COUNTS_SQL} SELECT 'whole' AS state_of, 'current' AS status, '' AS errors, sources AS source_count, chunks AS chunk_count, chunks AS sparse_count, chunks AS vector_count, true AS chunk_provenance_complete, true AS all_sources_have_chunks FROM n
+UNION ALL SELECT 'damaged', 'integrity_failed', '{DAMAGED}', sources, chunks + 1, without, vectors, false, false FROM n
+UNION ALL SELECT 'without vectors', 'missing_index', 'missing_dense_index,missing_metadata', 0, chunks, chunks, 0, false, false FROM n
+UNION ALL SELECT 'nothing', 'missing_index', 'missing_dense_index,missing_dense_mapping,missing_metadata,missing_sparse_index', 0, 0, 0, 0, false, false""")
+def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as it is, with much amiss, without vectors and manifest, and none at all."""
+    t = index_tables(spark, sf_dir)
+    first = t["chunks"].where("vector_id = 0")
+    sources = t["sources"].withColumn("chunk_count", F.when(F.col("filename") == "src2.pdf", 0).otherwise(F.col("chunk_count"))).where("filename <> 'src3.pdf'").unionByName(spark.createDataFrame([("ghost", "g.pdf", "x", 1)], "source_id string, filename string, sha256 string, chunk_count long"))
+    broken = {
+        "manifest": t["manifest"].withColumn("source_count", F.col("source_count") + 1).withColumn("chunk_overlap", F.lit(None).cast("int")),
+        "sources": sources,
+        "chunks": t["chunks"].unionByName(first.withColumns({"text": F.lit(" "), "page_start": F.lit(0).cast("long"), "page_end": F.lit(-0).cast("long") + 1})).withColumn("page_end", F.when(F.col("vector_id") == 1, F.col("page_start") - 1).otherwise(F.col("page_end"))),
+        "docs": t["docs"].join(pages(spark, sf_dir).where("source_title = 'src1'"), "chunk_id", "left_anti"),
+        "vectors": B.read(spark, sf_dir, "embeddings").selectExpr("vec_id AS chunk_id"),
+    }
+    cases = {"whole": t, "damaged": broken, "without vectors": {k: t[k] for k in ("chunks", "docs")}, "nothing": {}}
+    out = None
+    for name, tables in cases.items():
+        one = X.index_status(spark, **tables).select(F.lit(name).alias("state_of"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("errors", F.array_join("errors", ","))
+
+
 #: Profiles as the audit sees them: known columns, an odd fuel text, a spawn place that is a triplet, a pair or missing.
 FUEL = "CASE WHEN p_partkey % 7 = 0 THEN ' Unknown ' WHEN p_partkey % 7 = 1 THEN 'full' ELSE '1.5' END"
 SPAWN = "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN {two} ELSE {three} END"

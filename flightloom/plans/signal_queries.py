@@ -53,7 +53,7 @@ def plan_evidence_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs(spark, sf_dir)
-    named = F.transform(F.coalesce("attributed", F.array().cast("array<string>")), lambda x, i: F.struct(x.alias("feature"), ((F.lit(3) - i) / 4).alias("importance")))
+    named = F.transform("attributed", lambda x, i: F.struct(x.alias("feature"), ((F.lit(3) - i) / 4).alias("importance")))
     scene = F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).cast("string").alias("value"), (F.col(x).cast("string") == "0.0").alias("off")) for x in SCENE_FIELDS))
     profile = F.struct("max_payload_kg", F.lit(None).cast("double").alias("max_altitude_m"), F.col("uav_rotorcraft_hover_ceiling_m").alias("hover_ceiling_m"), F.col("uav_reserve_fraction").alias("reserve_fraction"), "swarm_capable", F.lit(None).cast("boolean").alias("detect_and_avoid_available"))
     return G.input_signals(rows.select("mission_id", "probabilities", named.alias("attributions"), scene.alias("scenario"), profile.alias("profile"), "operator_notes"))
