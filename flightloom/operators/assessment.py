@@ -64,8 +64,8 @@ def assess_missions(joined: DataFrame, bundles: DataFrame, attributions: DataFra
     return decided.select("mission_id", F.when(c("blocked"), "blocked").otherwise("open").alias("status"), codes.alias("codes"), "advice.recommendation", c("advice.confidence").alias("confidence"), "final_decision", "decision_score", "confidence_level", "ml", "shap", "rag", "agent", "scenario_profile", *keep)
 
 
-def split_by_issues(joined: DataFrame, issues: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Missions with an issue, as blocked rows with decision no_go, and the missions that go on; both are filters of one row's issues."""
-    held = joined.withColumn("_issues", V.all_issues() if issues is None else issues)
-    blocked = held.where(F.size("_issues") > 0).select("mission_id", F.lit("blocked").alias("status"), F.lit("no_go").alias("final_decision"), F.size("_issues").alias("n_issues"), F.concat_ws(",", F.transform("_issues", lambda x: x["code"])).alias("codes"))
-    return blocked, held.where(F.size("_issues") == 0).drop("_issues")
+def split_by_issues(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Missions with an issue, as blocked rows with decision no_go, and the missions that go on. A predicate parts them, and issues are made up for blocked rows only."""
+    issues = joined.where(V.any_issue()).select("mission_id", F.transform(V.all_issues(), lambda x: x["code"]).alias("codes"))
+    blocked = issues.select("mission_id", F.lit("blocked").alias("status"), F.lit("no_go").alias("final_decision"), F.size("codes").alias("n_issues"), F.concat_ws(",", "codes").alias("codes"))
+    return blocked, joined.where(~V.any_issue())

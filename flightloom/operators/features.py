@@ -68,6 +68,7 @@ def present(count: str, value: str, least: str = ">= 1") -> str:
     return f"CASE WHEN {count} {least} THEN {value} ELSE 0 END"
 
 
+# Deviations of sites, across and in height.
 SITES = {"landing_preferred_sites": (57.74, 2.89), "landing_emergency_sites": (115.47, 5.77)}
 SITE_MOMENTS: Stage = doubles(
     {f"{p}_{a}_mean": present(f"{p}_count", "spawn_xyz_first") for p in (*SITES, "mission_waypoints") for a in "xy"}
@@ -86,6 +87,7 @@ SITE_RANGES: Stage = doubles(
 )
 COMMS_WINDOWS: Stage = doubles({f"comms_loss_windows_{a}_{k}": present("comms_loss_windows_count", v, "> 0") for a in "xy" for k, v in {"mean": "spawn_xyz_first", "std": "150", "min": "spawn_xyz_first - 300", "max": "spawn_xyz_first + 300", "range": "0"}.items()})
 
+# Columns that repeat others.
 COPIES = {
     "airspace_no_fly_zones_dynamic_sample_radius_m": "airspace_no_fly_zones_sample_radius_m",
     "airspace_no_fly_zones_dynamic_sample_floor_m": "airspace_altitude_agl_min_m",
@@ -102,6 +104,7 @@ COPIES = {
     "comms__loss__windows__sample_count": "comms_loss_windows_count",
     "airspace__no__fly__zones__dynamic__sampl_count": "airspace_no_fly_zones_dynamic_count",
 }
+# Constants of generated columns.
 CONSTANTS = {
     "sim_policy_frequency": 15,
     "sim_duration_steps": 900,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words that are removed from public texts, and what stands for them and for no text.
@@ -42,6 +42,7 @@ def narrative_conflicts(narratives: DataFrame, decided: DataFrame) -> DataFrame:
     """(mission_id, code) where the score, confidence or decision that a narrative names first differs from the stored one; a score within 0.02 agrees."""
     held = narratives.join(decided.select("mission_id", "decision_score", "confidence_level", "final_decision"), "mission_id")
     text = F.col("narrative")
+    # The three patterns of what a narrative names.
     score = F.regexp_extract(text, r"(?i)decision\s*score[^0-9]*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
     level = F.lower(F.regexp_extract(text, r"(?i)confidence(?:\s*level)?[^a-z]*(low|medium|high)", 1))
     word = F.regexp_replace(F.lower(F.regexp_extract(text, r"(?i)final\s+decision\s+(?:is|=)?\s*(go|caution|no[_\s-]?go)", 1)), r"[_\s]", "-")
@@ -67,24 +68,8 @@ def profile_context(profiles: DataFrame) -> DataFrame:
     return profiles.select("profile_id", "runway_capable", "swarm_capable", F.array_join(sensors, ",").alias("sensors"))
 
 
-def report_lines(decided: DataFrame) -> DataFrame:
-    """(mission_id, section_no, line_no, line): summary and the stages' contributions."""
-    parts = ("ml", "shap", "rag", "agent", "scenario_profile")
-    lines = [(1, 1, F.concat(F.lit("Decision: "), F.col("final_decision"))), (1, 2, F.concat(F.lit("Score: "), F.format_string("%.3f", F.col("decision_score") + 1e-9))), (1, 3, F.concat(F.lit("Confidence: "), F.col("confidence_level")))]
-    lines += [(2, i, F.concat(F.lit(f"{p}: "), F.format_string("%.3f", F.col(p) + 1e-9))) for i, p in enumerate(parts, 1)]
-    return decided.select("mission_id", F.explode(F.array(*(F.struct(F.lit(s).alias("section_no"), F.lit(n).alias("line_no"), x.alias("line")) for s, n, x in lines))).alias("x")).select("mission_id", "x.*")
-
-
-def render_markdown(lines: DataFrame) -> DataFrame:
-    """One document a mission."""
-    held = lines.groupBy("mission_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "line_no", "line"))).alias("l"))
-    return held.select("mission_id", F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("document"))
-
-
 def dedupe_actions(actions: DataFrame) -> DataFrame:
     """Actions of a mission, the first (at_place) of each summary, white space and case aside."""
-    from pyspark.sql import Window
-
     plain = F.lower(F.trim(F.regexp_replace("summary", r"\s+", " ")))
     order = F.row_number().over(Window.partitionBy("mission_id", "plain").orderBy("at_place"))
     return actions.withColumn("plain", plain).withColumn("n", order).where("n = 1").select("mission_id", "at_place", "summary")

@@ -60,6 +60,7 @@ def boolean(names: list[str], what: str) -> list[Rule]:
     return [Rule("INVALID_BOOLEAN", x, f"{what} {x} must be boolean-like 0/1 or bool.", f"{x} NOT IN (0, 1)") for x in names]
 
 
+# Codes, fields and messages of the rules, in order.
 PROFILE_RULES = [
     *(Rule("MISSING_PROFILE_FIELD", x, f"Missing required profile identity field: {x}", f"{x} IS NULL") for x in S.PROFILE_IDENTITY),
     *missing(S.PROFILE_RAW, "MISSING_PROFILE_FIELD"),
@@ -151,6 +152,14 @@ def all_issues() -> Column:
     return F.concat(issue_array(IDENTITY_RULES[:2] + PROFILE_RULES), issue_array(SCENARIO_RULES), override_issues(), issue_array(IDENTITY_RULES[2:]), issue_array(VETO_RULES))
 
 
+def any_issue(overrides: str = "overrides") -> Column:
+    """Whether a row breaks any rule: the predicates alone, no issue is made up. One greatest() of them, which the optimiser neither turns into hundreds of conjuncts nor evaluates twice."""
+    rules = IDENTITY_RULES + PROFILE_RULES + SCENARIO_RULES + VETO_RULES
+    entries = F.coalesce(F.map_entries(overrides), F.array().cast("array<struct<key:string,value:string>>"))
+    overridden = F.exists(entries, lambda e: override_issue(e["key"], e["value"]).isNotNull())
+    return F.greatest(overridden, *(F.expr(f"coalesce({r.broken}, false)") for r in rules))
+
+
 def structural_veto(missions: DataFrame, profiles: DataFrame) -> DataFrame:
     """Issue rows of the veto rules that compare a mission with its profile; a null limit breaks no rule."""
     return issue_rows(join_profiles(missions, profiles), issue_array(VETO_RULES))

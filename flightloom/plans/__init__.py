@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("validation_queries", "feature_queries", "decision_queries", "retrieval_queries", "record_queries", "review_queries", "signal_queries")
+MODULES = ("validation_queries", "feature_queries", "decision_queries", "retrieval_queries", "record_queries", "report_queries", "review_queries", "signal_queries")
 
 
 def all_queries():

@@ -56,7 +56,7 @@ def composite_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined missions without any issue."""
-    return joined(spark, sf_dir).where(F.size(V.all_issues()) == 0)
+    return joined(spark, sf_dir).where(~V.any_issue())
 
 
 FLAG_SQL = {"uav_aero_wing_area_m2_was_missing": "CASE WHEN override_wing IS NULL THEN 1.0 ELSE 0.0 END"}

@@ -188,20 +188,6 @@ def list_assessments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.list_assessments(records(spark, sf_dir), "user_7")
 
 
-LINES_SQL = f"""{DECIDE_SQL}, lines AS (SELECT mission_id, 1 AS section_no, 1 AS line_no, 'Decision: ' || final_decision AS line FROM decided UNION ALL SELECT mission_id, 1, 2, 'Score: ' || printf('%.3f', decision_score + 1e-9) FROM decided UNION ALL SELECT mission_id, 1, 3, 'Confidence: ' || confidence_level FROM decided
- {' '.join(f"UNION ALL SELECT mission_id, 2, {i}, '{p}: ' || printf('%.3f', {p} + 1e-9) FROM decided" for i, p in enumerate(('ml', 'shap', 'rag', 'agent', 'scenario_profile'), 1))})"""
-
-
-@query(f"{LINES_SQL} SELECT * FROM lines")
-def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.report_lines(decided(spark, sf_dir))
-
-
-@query(f"{LINES_SQL} SELECT mission_id, string_agg('- ' || line, chr(10) ORDER BY section_no, line_no) AS document FROM lines GROUP BY 1")
-def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.render_markdown(K.report_lines(decided(spark, sf_dir)))
-
-
 NOTE = "CASE event_id % 4 WHEN 0 THEN concat('My  Chain_of_Thought is ', props, ' and a THOUGHT x') WHEN 1 THEN concat(' plain ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props, '  ', props) WHEN 2 THEN '  ' END"
 WORDS = "internal_reasoning|private_reasoning|chain_of_thought|reasoning_chain|scratchpad|thought"
 

@@ -33,7 +33,9 @@ def mission(spark, profile=None, overrides=None, **changes):
 
 def codes(spark, **held):
     row = mission(spark, **held)
-    return [x["code"] for x in V.issue_rows(row, V.all_issues()).orderBy("seq").collect()]
+    found = [x["code"] for x in V.issue_rows(row, V.all_issues()).orderBy("seq").collect()]
+    assert row.select(V.any_issue()).first()[0] == bool(found)
+    return found
 
 
 @pytest.mark.parametrize(
