@@ -8,8 +8,8 @@ alternatives arise, so the wrapper is a regular expression without unions.
 
 How much text the slots hold tells where the article is: ``container`` goes down the wrapper to it. Each page is then
 matched with the wrapper level by level, which finds the page's own article element, and its text is read off. Within
-it, elements that mean something else by HTML's own names, or by a list of class words, are left out, and so are
-elements whose text is the same on all pages that the wrapper comes from.
+it, elements that mean something else by HTML's own names, or by a list of class words, are left out; text that is the
+same on all pages stays.
 """
 
 from __future__ import annotations
@@ -37,8 +37,6 @@ SAMPLE = 6
 PERIOD = 4
 #: Share of an element's text that one element in it must hold to be gone down to; and share of a page's for an article element to count.
 MOST, SOME = 0.6, 0.1
-#: Distinct pages on which a text must be the same to be part of the template.
-SURE = 5
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -61,6 +59,8 @@ P_ENDS = frozenset({"p"}), BLOCK - {"p"}
 SIGNS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say where or what kind of box something is, and nothing of what it holds.
+PLACES = frozenset("area bar block body bottom box button buttons container content form icons inner item items left link links list main outer page panel post posts right row section site top wrap wrapper".split())
 
 
 @dataclass(slots=True)
@@ -83,11 +83,19 @@ class Node:
         return self.sign.split(".", 1)[0]
 
 
+def class_words(name: str) -> list[str]:
+    """The words that a class name counts for: a joined name whose parts are all SIGNS or PLACES, one a sign at least, for its parts, any other (share-price) for itself. Numbers don't count."""
+    parts = [x for x in re.split("[_-]+", name) if x and not x.isdigit()]
+    if any(x in SIGNS for x in parts) and all(x in SIGNS or x in PLACES for x in parts):
+        return parts
+    return ["-".join(parts)] if parts else []
+
+
 def signature(name: str, attributes: str) -> str:
     """Tag name with its class, id and role words but for numbers, those that mark a hidden element included."""
     if not attributes.strip():
         return name
-    found = sorted({w for m in NAMED.finditer(attributes) for w in re.split(r"[\s_.#()-]+", (m[1] or m[2] or m[3] or "").lower()) if w and not w.isdigit()})
+    found = sorted({w for m in NAMED.finditer(attributes) for name in re.split(r"[\s.#()]+", (m[1] or m[2] or m[3] or "").lower()) for w in class_words(name)})
     return ".".join([name, *found, *(["hidden"] if HIDDEN.search(attributes) else [])])
 
 
@@ -310,8 +318,7 @@ def reading(pages: list[str]) -> tuple[str, str]:
     """The wrapper of pages, as an expression, and what a reader needs of it, as JSON.
 
     ``levels``: for each level down to the article its items (sign, optional, repeated, signs within) and which one it is in. ``drop``:
-    items beside the paragraphs, where the article has no element to itself, that are mostly links. ``same``: elements
-    in the article with a text that is the same on all of SURE pages or more.
+    items beside the paragraphs, where the article has no element to itself, that are mostly links.
     """
     wrapper = infer(pages)
     way = container(wrapper, len(pages))
@@ -321,15 +328,7 @@ def reading(pages: list[str]) -> tuple[str, str]:
     if node.name not in ("article", "main"):
         weight = weigh(wrapper, 1)
         drop = [i for i, x in enumerate(node.kids) if x.sign != "#" and x.name != "p" and weight[id(x)][1] > weight[id(x)][0]]
-    same: list[list[str]] = []
-    todo = list(node.kids) if len(pages) >= SURE else []
-    while todo:
-        x = todo.pop()
-        if x.sign != "#" and not x.optional and not x.repeated:
-            if len(x.kids) == 1 and x.kids[0].sign == "#" and x.kids[0].text is not None and not x.kids[0].optional:
-                same.append([x.sign, x.kids[0].text])
-            todo += x.kids
-    return expression(wrapper), json.dumps({"levels": [[[item(x) for x in items], at] for items, at in way], "last": [item(x) for x in node.kids] if drop else [], "drop": drop, "same": sorted(same)})
+    return expression(wrapper), json.dumps({"levels": [[[item(x) for x in items], at] for items, at in way], "last": [item(x) for x in node.kids] if drop else [], "drop": drop})
 
 
 def within(x: Node) -> set[str]:
@@ -386,9 +385,7 @@ def locate(page: Node, levels: list) -> Node | None:
 
 @lru_cache(maxsize=256)
 def loaded(held: str) -> dict:
-    out = json.loads(held)
-    out["same"] = {tuple(x) for x in out["same"]}
-    return out
+    return json.loads(held)
 
 
 def extract(page: str, held: str | None) -> str:
@@ -404,10 +401,10 @@ def extract(page: str, held: str | None) -> str:
         kids = [x for x in node.kids if x.sign != "#"]
         plain = [i for i, x in enumerate(rules["last"]) if x[0] != "#"]
         away = {id(k) for k, t in zip(kids, match([rules["last"][i] for i in plain], kids)) if t >= 0 and plain[t] in rules["drop"]}
-    return "\n\n".join(blocks(node, away, rules["same"]))
+    return "\n\n".join(blocks(node, away))
 
 
-def blocks(article: Node, away: set[int], same: set[tuple[str, str]]) -> list[str]:
+def blocks(article: Node, away: set[int]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 
@@ -434,8 +431,7 @@ def blocks(article: Node, away: set[int], same: set[tuple[str, str]]) -> list[st
                 end_block()
                 todo.append(None)
             # the article's own heading may stand in a header element
-            fixed = len(x.kids) == 1 and x.kids[0].sign == "#" and (x.sign, " ".join(x.kids[0].text.split())) in same
-            if not (fixed or id(x) in away or (outside(x.sign) and x.name != "header")):
+            if not (id(x) in away or (outside(x.sign) and x.name != "header")):
                 todo += reversed(x.kids)
     end_block()
     return out

@@ -302,12 +302,19 @@ def test_paragraphs_beside_menus():
     assert extract(pages[2], reading(pages)[1]) == "c0 word and more\n\nc1 word and more\n\nc2 word and more"
 
 
-def test_teasers_and_fixed_text_are_not_the_article():
+def test_teasers_are_not_the_article_and_fixed_text_is():
     teaser = "<article class=card><h3>{0}</h3></article>"
     page = "<body><main><article class=post><h1>{0}</h1><p>{1} " + "long text " * 20 + "</p><div>Share this</div></article>" + teaser * 3 + "</main></body>"
     pages = [page.format(f"t{c}", f"p{c}") for c in "abcdef"]
     wrapper, rules = reading(pages)
-    assert "(<article.card>" in wrapper and extract(pages[1], rules) == "tb\n\npb " + ("long text " * 20).strip()
+    assert "(<article.card>" in wrapper and extract(pages[1], rules) == "tb\n\npb " + ("long text " * 20).strip() + "\n\nShare this"
+
+
+def test_text_of_the_article_stays_whatever_the_number_of_pages_and_part_of_a_name():
+    page = "<body><article><div class=by>By the editors</div><p class='share-price'>{0} rose</p><section class='search-results'><p>{0} found</p></section><div class='share-buttons'>go</div><div class='comments_section'>{0} says</div><p>{0} text</p></article></body>"
+    for n in (1, 4, 5, 6, 9):
+        pages = [page.format(f"w{i}") for i in range(n)]
+        assert extract(pages[0], reading(pages)[1]) == "By the editors\n\nw0 rose\n\nw0 found\n\nw0 text"
 
 
 def test_groups_are_repeated_or_optional():
