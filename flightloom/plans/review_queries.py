@@ -110,11 +110,12 @@ def index_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 COUNTS_SQL = f"WITH {PAGES_SQL}, n AS (SELECT count(*) AS chunks, count(DISTINCT source_id) AS sources, count(*) FILTER (source_title <> 'src1') AS without, (SELECT count(*) FROM embeddings) AS vectors FROM pages_of)"
-DAMAGED = "chunk_id_repeated,chunk_source_missing_in_metadata,chunk_without_postings,chunk_without_vector,dense_mapping_chunk_empty_text,dense_mapping_chunk_invalid_page_range,dense_mapping_chunk_invalid_page_start,dense_mapping_count_field_mismatch,dense_mapping_count_mismatch,dense_mapping_vector_id_sequence_invalid,metadata_missing_chunk_overlap,metadata_source_chunk_count_mismatch,metadata_source_zero_chunks,metadata_vector_count_mismatch,source_count_mismatch,sparse_dense_count_mismatch"
+DAMAGED = "chunk_id_repeated,chunk_source_missing_in_metadata,chunk_without_postings,{LACKING}dense_mapping_chunk_empty_text,dense_mapping_chunk_invalid_page_range,dense_mapping_chunk_invalid_page_start,dense_mapping_count_field_mismatch,dense_mapping_count_mismatch,dense_mapping_vector_id_sequence_invalid,metadata_missing_chunk_overlap,metadata_source_chunk_count_mismatch,metadata_source_zero_chunks,metadata_vector_count_mismatch,source_count_mismatch,sparse_dense_count_mismatch"
+DAMAGED_SQL = "'" + DAMAGED.format(LACKING="' || CASE WHEN EXISTS (SELECT 1 FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) THEN 'chunk_without_vector,' ELSE '' END || '") + "' || CASE WHEN EXISTS (SELECT 1 FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) THEN ',vector_without_chunk' ELSE '' END"
 
 
 @query(f"""{COUNTS_SQL} SELECT 'whole' AS state_of, 'current' AS status, '' AS errors, sources AS source_count, chunks AS chunk_count, chunks AS sparse_count, chunks AS vector_count, true AS chunk_provenance_complete, true AS all_sources_have_chunks FROM n
-UNION ALL SELECT 'damaged', 'integrity_failed', '{DAMAGED}', sources, chunks + 1, without, vectors, false, false FROM n
+UNION ALL SELECT 'damaged', 'integrity_failed', {DAMAGED_SQL}, sources, chunks + 1, without, vectors, false, false FROM n
 UNION ALL SELECT 'without vectors', 'missing_index', 'missing_dense_index,missing_metadata', 0, chunks, chunks, 0, false, false FROM n
 UNION ALL SELECT 'nothing', 'missing_index', 'missing_dense_index,missing_dense_mapping,missing_metadata,missing_sparse_index', 0, 0, 0, 0, false, false""")
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
