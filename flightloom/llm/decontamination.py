@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.llm.binary_output import decode_ranks, encode_ranks
-from flightloom.llm.common import slices, stash, words
+from flightloom.llm.common import give_back, slices, stash, words
 
 BLOCK = 2 << 20
 BATCH = 100_000
@@ -127,7 +127,8 @@ def search_blocks(sent, slack: int, every: bool, batches: Iterator[pa.RecordBatc
     edges = np.concatenate([[0], np.cumsum(size)])
     phrases = [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
     for batch in batches:
-        for held in batch.to_pylist():
+        for at in range(batch.num_rows):  # one block at a time
+            (held,) = batch.slice(at, 1).to_pylist()
             first, n = np.asarray(held["first"]), len(held["doc_ids"])
             covers: dict[int, list[tuple[int, int]]] = {}
             found: dict[int, set[str]] = {}
@@ -138,6 +139,7 @@ def search_blocks(sent, slack: int, every: bool, batches: Iterator[pa.RecordBatc
             docs = range(n) if every else sorted(covers)
             merged = [merge(covers.get(d, [])) for d in docs]
             yield pa.RecordBatch.from_arrays([pa.array([held["block"]] * len(merged), pa.int64()), pa.array(list(docs), pa.int64()), pa.array([held["doc_ids"][d] for d in docs], pa.int64()), pa.array([int(first[d + 1] - first[d]) for d in docs], pa.int64()), pa.array([[x for x, _ in m] for m in merged], pa.list_(pa.int64())), pa.array([[x for _, x in m] for m in merged], pa.list_(pa.int64())), pa.array([sorted(found.get(d, ())) for d in docs], pa.list_(pa.string()))], names=["block", "place", "doc_id", "n_words", "starts", "ends", "items"])
+    give_back()
 
 
 MATCHES = "block long, place long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"

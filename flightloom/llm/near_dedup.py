@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import mix, owners, slices, stash, words
+from flightloom.llm.common import give_back, mix, owners, slices, stash, words
 from flightloom.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -117,6 +117,7 @@ def spread_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS))], names=["band", "node"])
+    give_back()
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +135,8 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = [probability_jaccard(bag(x), bag(y)) >= SIMILAR for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+    known.clear()
+    give_back()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import bounded_batches, slices
+from flightloom.llm.common import bounded_batches, give_back, slices
 from flightloom.llm.tagger import PAD, Tagger, fit_tagger, symbols
 
 KINDS = ("email", "ip", "card", "phone")
@@ -292,6 +292,8 @@ def redacted(model: Tagger | None, text: str = "text") -> Column:
 
     @F.arrow_udf("string")
     def change(column: pa.Array) -> pa.Array:
-        return pa.array([x if not x or not TRIGGER.search(x) else redact(model, x) for x in column.to_pylist()], pa.string())
+        out = pa.array((x if not x or not TRIGGER.search(x) else redact(model, x) for x in (y.as_py() for y in column)), pa.string(), size=len(column))
+        give_back()
+        return out
 
     return change(F.col(text))
