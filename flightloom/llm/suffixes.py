@@ -186,7 +186,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = once.groupBy(F.col("first.uid").alias("uid")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "low", "high")).alias("places"))
     listed = rows.join(wanted, "uid").select("text", "places").mapInArrow(list_suffixes, ENTRIES)
     entries = stash(listed.groupBy("key", "block").agg(*(F.first(c).alias(c) for c in ("low", "high", "left", "right"))), "entries")  # a repeated row lists its entries again
-    shared = shared_windows(entries)
+    shared = stash(shared_windows(entries), "shared-windows")
     found = known.where("not same").join(shared, ["key", "block"]).select("uid", "doc_id", "place", F.explode("shared").alias("x"))
     spans = alike.unionByName(found.select("uid", "doc_id", span(F.col("place") - F.col("x.most"), F.col("place") - F.col("x.least") + LEAST)))
     return spans.groupBy("uid", "doc_id").agg(F.collect_set("span").alias("spans")).select("doc_id", "spans").mapInArrow(join_spans, "doc_id long, starts array<int>, ends array<int>")
