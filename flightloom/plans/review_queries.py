@@ -12,7 +12,7 @@ from flightloom.operators import graph_features as P
 from flightloom.operators import index_status as X
 from flightloom.operators import quality_records as Q
 from flightloom.operators import review as I
-from flightloom.plans.decision_queries import BUNDLES_SQL, attributions, bundles
+from flightloom.plans.decision_queries import BUNDLES_SQL, attributions, bundles, named_by
 from flightloom.plans.registry import query
 from flightloom.plans.retrieval_queries import PAGES_SQL, pages
 from flightloom.plans.validation_queries import WITH, joined
@@ -84,8 +84,7 @@ own AS (SELECT mission_id, topic, place, 'scenario_derived' AS support_status FR
 both_kinds AS (SELECT * FROM own UNION ALL SELECT mission_id, topic, place, 'model_explanation' FROM model0 m WHERE NOT EXISTS (SELECT 1 FROM own0 o WHERE o.mission_id = m.mission_id AND o.topic = m.topic))
 SELECT mission_id, topic, support_status FROM (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY support_status DESC, place) AS n FROM both_kinds) WHERE n <= 7""")
 def topic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.array(*(F.lit(x) for x in S.SCENARIO_RAW))
-    fields = B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mission_id"), F.posexplode(names).alias("i", "feature")).where("(mission_id + i) % 9 = 0").select("mission_id", "feature")
+    fields = named_by(B.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mission_id")), -F.col("mission_id"), 9)
     backed = asked(spark, sf_dir).select("mission_id", I.query_topic(F.col("query"), F.col("intent")).alias("topic")).distinct()
     return I.topic_findings(fields, attributions(spark, sf_dir), backed)
 
