@@ -174,7 +174,7 @@ SELECT mission_id, round(0.7 * (68 - n) / 68 + 0.3 * (68 - n) / 198, 9) AS overa
 def data_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.flagged(joined(spark, sf_dir)).select("mission_id", *S.CORE_FEATURES)
     rows = rows.withColumn("mission_loiter_radius_m", F.when(F.col("mission_id") % 6 == 0, "n/a").otherwise(F.col("mission_loiter_radius_m").cast("string")))
-    out = Q.data_quality_score(Q.profile_data_quality(rows, Q.feature_bounds(spark)), True)
+    out = Q.score_rows(rows, True)
     listed = [F.array_join(c, ", ").alias(c) for c in ("missing_core", "imputed_core")]
     return out.select("mission_id", F.round("overall_data_quality_score", 9).alias("overall_data_quality_score"), *listed, "has_critical_missing", "is_usable", F.array_join("errors", "|").alias("errors"))
 

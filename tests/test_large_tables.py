@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from flightloom.operators import quality_records as Q
 from flightloom.operators import review as I
 from flightloom.plans import all_queries
 
@@ -31,3 +32,18 @@ def test_topics_of_missions_meet_without_joins(spark, sf_dir):
     want = [(1, "weather", own), (1, "vlos", more), (3, "payload", own), (None, "weather", own), (None, "weather", more)]
     want += [(4, t, own) for t in ("weather", "airspace", "altitude", "c2", "payload")] + [(4, "ground_risk", more), (4, "faults", more)]
     assert rows_of(I.topic_findings(fields, model, backed)) == sorted(want, key=str)
+
+
+def test_scores_from_rows_equal_those_from_records(spark):
+    kinds = "mission_id long, uav_mass_kg double, environment_weather_wind_mps float, airspace_altitude_agl_max_m string, spawn_xyz_first array<string>, swarm_enabled boolean, mission_loiter_radius_m int, uav_fuel_l array<double>"
+    rows = [(1, 25.0, 12.5, " 50 ", ["1", "2", "3"], True, 3, None), (2, 24.6, float("inf"), "None", ["1", "2"], False, None, [1.0]), (3, None, float("nan"), "5O", ["x", "2", "3"], None, 0, None), (4, 0.4, 0.1, "130", None, None, 1, [1.0, 2.0, 3.0]), (5, float("nan"), 15.0, "n/a", ["1e999", "2", "3"], None, None, None)]
+    df = spark.createDataFrame(rows, kinds)
+    for strict in (False, True):
+        want = Q.data_quality_score(Q.profile_data_quality(df, Q.feature_bounds(spark)), strict)
+        assert rows_of(Q.score_rows(df, strict)) == rows_of(want)
+
+
+def test_scores_of_missions_write_no_records(spark, sf_dir):
+    plan = plan_of(QUERIES["data_quality_score"](spark, sf_dir))
+    assert "Generate" not in plan and "ObjectHashAggregate" not in plan
+
