@@ -153,9 +153,10 @@ records AS (SELECT profile_id, name AS feature_name, v AS final_value, CASE WHEN
 
 
 def profile_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = B.profiles(spark, sf_dir).select("profile_id", *KNOWN)
-    odd = B.read(spark, sf_dir, "part").selectExpr(f"{B.PROFILE['profile_id'].replace('VARCHAR(20)', 'STRING')} AS profile_id", f"{FUEL} AS uav_fuel_l", SPAWN.format(two="array(4D, 5D)", three="array(4D, 5D, 6D)") + " AS spawn_xyz_first")
-    return Q.profile_data_quality(known.join(odd, "profile_id"), Q.feature_bounds(spark), "profile_id")
+    named = {k: v.replace("VARCHAR(20)", "STRING") for k, v in B.PROFILE.items() if k == "profile_id" or k in KNOWN}
+    odd = {"uav_fuel_l": FUEL, "spawn_xyz_first": SPAWN.format(two="array(4D, 5D)", three="array(4D, 5D, 6D)")}
+    rows = B.read(spark, sf_dir, "part").selectExpr(*B.select(named | odd))
+    return Q.profile_data_quality(rows, Q.feature_bounds(spark), "profile_id")
 
 
 @query(f"{RECORDS_SQL} SELECT * FROM records")

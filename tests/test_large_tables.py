@@ -47,3 +47,7 @@ def test_scores_of_missions_write_no_records(spark, sf_dir):
     plan = plan_of(QUERIES["data_quality_score"](spark, sf_dir))
     assert "Generate" not in plan and "ObjectHashAggregate" not in plan
 
+
+def test_records_are_dealt_out_before_they_unfold(spark, sf_dir):
+    plan = plan_of(QUERIES["profile_data_quality"](spark, sf_dir))
+    assert "Exchange hashpartitioning(profile_id" in plan[plan.index("Generate") :]
