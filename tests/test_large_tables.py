@@ -1,11 +1,15 @@
 """Steps that must stay bounded where tables of missions or documents are large: plans without copies for every task, and the same results as by other ways."""
 
 import re
+from types import SimpleNamespace
 
-import pytest
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from flightloom.operators import corpus as E
 from flightloom.operators import quality_records as Q
+from flightloom.operators import retrieval as R
 from flightloom.operators import review as I
 from flightloom.plans import all_queries
 
@@ -51,3 +55,30 @@ def test_scores_of_missions_write_no_records(spark, sf_dir):
 def test_records_are_dealt_out_before_they_unfold(spark, sf_dir):
     plan = plan_of(QUERIES["profile_data_quality"](spark, sf_dir))
     assert "Exchange hashpartitioning(profile_id" in plan[plan.index("Generate") :]
+
+
+def test_sums_of_chunks_across_batches(monkeypatch):
+    """Runs of chunks that end inside a batch, against plain sums."""
+    monkeypatch.setattr(R, "SIDE", 3)
+    rows = pd.DataFrame([(c, t, (c * 7 + i) % 5 + 1.0) for c in range(11) for i, t in enumerate("abcd") if (c + i) % 3], columns=["chunk_id", "term", "weight"])
+    sent = SimpleNamespace(value=(np.array([5, 9]), ["a", "c"], np.array([[2.0, 0.0], [1.0, 1.0]])))
+    found = pd.concat(R.best_sums(sent, 2, (rows.iloc[i : i + 4] for i in range(0, len(rows), 4))))
+    want = {(q, c): sum(w * x for t, x in zip(rows.term[rows.chunk_id == c], rows.weight[rows.chunk_id == c]) for w in [times.get(t, 0)]) for q, times in ((5, {"a": 2}), (9, {"a": 1, "c": 1})) for c in range(11)}
+    got = {(x.query_id, x.chunk_id): x.score for x in found.itertuples()}
+    assert len(got) == len(found) and all(want[k] == v for k, v in got.items())
+    for q in (5, 9):
+        best = sorted(((-v, c) for (p, c), v in want.items() if p == q and v), key=lambda x: x)[:2]
+        assert {c for _, c in best} <= {c for p, c in got if p == q}
+    assert list(R.best_sums(sent, 2, iter([]))) == []
+
+
+def test_sparse_search_makes_no_row_a_query_and_chunk(spark, sf_dir):
+    plan = plan_of(QUERIES["bm25_topk"](spark, sf_dir))
+    assert not re.search(r"Aggregate\(keys=\[query_id#\d+L?, chunk_id#", plan) and "MapInPandas" in plan
+
+
+def test_tokens_are_runs_of_three_or_more(spark):
+    df = spark.createDataFrame([("Ab abc, x-ray_2000\t\u00c4bcd \u212aelvin the  end",), ("",), (None,)], "t string")
+    plain = F.filter(F.split(F.regexp_replace(F.lower("t"), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: F.length(t) > 2)
+    got = df.select(E.index_tokens(F.col("t")).alias("x"), plain.alias("y")).collect()
+    assert [x.x for x in got] == [x.y for x in got] and {"abc", "ray", "2000", "bcd", "the", "end"} <= set(got[0].x)
