@@ -82,3 +82,8 @@ def test_tokens_are_runs_of_three_or_more(spark):
     plain = F.filter(F.split(F.regexp_replace(F.lower("t"), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: F.length(t) > 2)
     got = df.select(E.index_tokens(F.col("t")).alias("x"), plain.alias("y")).collect()
     assert [x.x for x in got] == [x.y for x in got] and {"abc", "ray", "2000", "bcd", "the", "end"} <= set(got[0].x)
+
+
+def test_topics_of_signals_are_looked_up_once(spark, sf_dir):
+    plan = QUERIES["input_signals"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("turbulence") < 10  # the words of a topic, in a plan that holds them for each use
