@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,15 @@ def redact_text(text: Column, limit: int = 360) -> Column:
 
     All words are replaced, longer ones first, so none is left where several occur.
     """
+    words = "|".join(sorted(REDACTED, key=len, reverse=True))
     plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit(NO_TEXT)), r"\s+", " "))
-    low, hit = F.lower(plain), F.lit(False)
-    for w in REDACTED:
-        hit = hit | low.contains(w)
-    held = F.when(hit, F.regexp_replace(low, "|".join(sorted(REDACTED, key=len, reverse=True)), REDACTED_MARK)).otherwise(plain)
-    cut = F.when(F.length(held) > limit, F.concat(F.rtrim(F.substring(held, 1, limit - 3)), F.lit("..."))).otherwise(held)
-    return F.when(cut == "", NO_TEXT).otherwise(cut)
+    held = once(plain, lambda x: F.when(F.lower(x).rlike(words), F.regexp_replace(F.lower(x), words, REDACTED_MARK)).otherwise(x))
+    return once(held, lambda x: F.when(x == "", NO_TEXT).when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))).otherwise(x))
+
+
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, also inside a lambda, where repeated expressions are evaluated each time."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def narrative_conflicts(narratives: DataFrame, decided: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flightloom.operators import corpus as E
 from flightloom.operators import quality_records as Q
+from flightloom.operators import records as K
 from flightloom.operators import retrieval as R
 from flightloom.operators import review as I
 from flightloom.plans import all_queries
@@ -84,6 +85,13 @@ def test_tokens_are_runs_of_three_or_more(spark):
     assert [x.x for x in got] == [x.y for x in got] and {"abc", "ray", "2000", "bcd", "the", "end"} <= set(got[0].x)
 
 
+def test_a_text_is_cleaned_once_however_often_it_is_looked_at(spark):
+    df = spark.createDataFrame([("a  b" * 30,), ("My Thought  here",), ("",), (None,), ("  ",)], "t string")
+    shown = df.select(K.redact_text(F.col("t"), 20).alias("x"))
+    assert shown._jdf.queryExecution().analyzed().toString().count("\\s+") == 1
+    assert [x.x for x in shown.collect()] == ["a ba ba ba ba ba...", "my [redacted_forb...", "not_available", "not_available", "not_available"]
+
+
 def test_topics_of_signals_are_looked_up_once(spark, sf_dir):
     plan = QUERIES["input_signals"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
     assert plan.count("turbulence") < 10  # the words of a topic, in a plan that holds them for each use
