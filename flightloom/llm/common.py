@@ -67,9 +67,12 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 
 
 def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables. What the driver holds of the jobs that made them, and their shuffle files, go when it collects its garbage, which it is asked to do: its memory would grow to its limit first."""
     for x in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(x)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if paths:
+        spark._jvm.System.gc()
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightloom.llm.common import give_back, mix, owners, slices, stash, words
-from flightloom.llm.components import components
+from flightloom.llm.components import components, joined
 
 SHINGLE, SIMILAR = 5, 0.8
 ROWS, BANDS = 5, 25
@@ -231,7 +231,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     links = verified(star, texts)
     found = stash(components(links), "components")
     more = further_links(members, found, nodes, texts)
-    final = stash(components(links.unionByName(more).unionByName(of_one_id(worded, nodes))), "components")
+    final = stash(joined(found, more.unionByName(of_one_id(worded, nodes))), "components")
     classed = nodes.join(final, "node", "left").select("h1", "h2", "doc_id", F.coalesce("component", "node").alias("component"))
     least = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     named = signed.select("doc_id", "h1", "h2").join(classed.join(least, "component").select("h1", "h2", "class_id"), ["h1", "h2"], "left")

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from flightloom.llm import components as C
 from flightloom.llm import near_dedup as N
 from flightloom.llm.components import components
 from flightloom.llm.decontamination import contamination, phrase_matches
@@ -167,6 +168,20 @@ def test_components(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (9, 1), (4, 4), (5, 4), (20, 20), (30, 20), (40, 20), (50, 20), (60, 20)}
 
 
+def test_components_with_further_links(spark, monkeypatch):
+    """Stars need no round, and further links none over those that are settled."""
+    table, written = lambda links: spark.createDataFrame(links, "a long, b long"), []
+    monkeypatch.setattr(C, "stash", lambda df, label, own=C.stash: written.append(label) or own(df, label))
+    links, more = [(8, 2), (2, 3), (12, 10), (11, 10), (20, 21)], [(3, 11), (30, 31), (31, 12), (40, 41)]
+    found = components(table(links[:1] + links[2:]))
+    assert written == ["links"] and {tuple(x) for x in found.collect()} == {(8, 2), (2, 2), (10, 10), (11, 10), (12, 10), (20, 20), (21, 20)}
+    found = components(table(links))
+    got = {tuple(x) for x in C.joined(found, table(more)).collect()}
+    assert got == {tuple(x) for x in components(table(links + more)).collect()} and (31, 2) in got and (21, 20) in got
+    assert {tuple(x) for x in C.joined(found, table([])).collect()} == {tuple(x) for x in found.collect()}
+    assert components(table([])).count() == 0
+
+
 def passages_by_brute_force(rows):
     seen, out = defaultdict(set), {}
     texts = {(d, t): cut(t) for d, t in rows if t is not None}
