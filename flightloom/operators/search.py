@@ -37,7 +37,7 @@ class SearchIndex(NamedTuple):
 def build_index(chunks: DataFrame, vectors: DataFrame | None = None, terms: DataFrame | None = None) -> SearchIndex:
     """Tables of an index over chunks (CHUNK); publish_index stores them. With ``terms``, postings of these terms only."""
     tokens = E.tokenize(chunks)
-    postings = E.build_postings(tokens, terms)
+    postings = E.build_postings(tokens, terms, terms is not None)
     prints = fingerprint_rows(chunks.where(F.trim("text") != ""), "chunk_id", "text")
     marked = chunks.select(CHUNK).join(prints, "chunk_id", "left")
     return SearchIndex(marked, postings, E.term_stats(postings, chunks.count()), E.doc_stats(tokens), None if vectors is None else E.normalize_vectors(vectors))

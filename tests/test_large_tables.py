@@ -78,6 +78,24 @@ def test_sparse_search_makes_no_row_a_query_and_chunk(spark, sf_dir):
     assert not re.search(r"Aggregate\(keys=\[query_id#\d+L?, chunk_id#", plan) and "MapInPandas" in plan
 
 
+def test_sparse_search_reads_texts_once_for_postings(spark, sf_dir):
+    df = QUERIES["bm25_topk"](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2  # of postings and, by a shuffle that both share, of their statistics
+    rows = df.collect()
+    assert rows and "ReusedExchange" in plan_of(df)
+
+
+def test_postings_with_lengths_find_the_same(spark):
+    chunks = spark.createDataFrame([(1, "one two two three"), (2, "two four"), (3, ""), (None, "two five"), (5, "six seven eight nine two")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "two three"), (2, "nine two"), (3, "none")], "query_id long, query string")
+    tokens = E.tokenize(chunks)
+    found = []
+    for lengths in (False, True):
+        postings = E.build_postings(tokens, R.query_terms(asked), lengths)
+        found.append(rows_of(R.bm25_topk(asked, postings, E.term_stats(postings, 5), E.doc_stats(tokens), 2)))
+    assert found[0] == found[1] and len(found[0]) == 4
+
+
 def test_tokens_are_runs_of_three_or_more(spark):
     df = spark.createDataFrame([("Ab abc, x-ray_2000\t\u00c4bcd \u212aelvin the  end",), ("",), (None,)], "t string")
     plain = F.filter(F.split(F.regexp_replace(F.lower("t"), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: F.length(t) > 2)
