@@ -22,7 +22,7 @@ CHUNK = ["chunk_id", "source_id", "source_filename", "source_title", "page", "te
 
 
 class SearchIndex(NamedTuple):
-    """chunks: CHUNK and fingerprint (null for a blank text); postings, stats and docs as build_postings, term_stats and doc_stats make them; vectors: (chunk_id, embedding) of length 1, or None."""
+    """chunks: CHUNK and fingerprint (null for a blank text; without that column, fingerprints are made of a search's candidates alone); postings, stats and docs as build_postings, term_stats and doc_stats make them; vectors: (chunk_id, embedding) of length 1, or None."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -34,13 +34,18 @@ class SearchIndex(NamedTuple):
         return {k: v for k, v in self._asdict().items() if v is not None}
 
 
-def build_index(chunks: DataFrame, vectors: DataFrame | None = None, terms: DataFrame | None = None) -> SearchIndex:
-    """Tables of an index over chunks (CHUNK); publish_index stores them. With ``terms``, postings of these terms only."""
-    tokens = E.tokenize(chunks)
+def build_index(chunks: DataFrame, vectors: DataFrame | None = None, terms: DataFrame | None = None, texts: DataFrame | None = None) -> SearchIndex:
+    """Tables of an index over chunks (CHUNK); publish_index stores them.
+
+    With ``terms``, postings of these terms only and no fingerprints, for searches that ask for no others. ``texts`` are the
+    chunks' chunk_id and text, read for tokens where making whole chunks takes more.
+    """
+    tokens = E.tokenize(chunks if texts is None else texts)
     postings = E.build_postings(tokens, terms, terms is not None)
-    prints = fingerprint_rows(chunks.where(F.trim("text") != ""), "chunk_id", "text")
-    marked = chunks.select(CHUNK).join(prints, "chunk_id", "left")
-    return SearchIndex(marked, postings, E.term_stats(postings, chunks.count()), E.doc_stats(tokens), None if vectors is None else E.normalize_vectors(vectors))
+    marked = chunks.select(CHUNK)
+    if terms is None:
+        marked = marked.join(fingerprint_rows(chunks.where(F.trim("text") != ""), "chunk_id", "text"), "chunk_id", "left")
+    return SearchIndex(marked, postings, E.term_stats(postings, (chunks if texts is None else texts).count()), E.doc_stats(tokens), None if vectors is None else E.normalize_vectors(vectors))
 
 
 def candidate_pool(asked: DataFrame, index: SearchIndex, k: int = 10, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
@@ -52,7 +57,11 @@ def candidate_pool(asked: DataFrame, index: SearchIndex, k: int = 10, weights: t
     fused = R.rrf_fuse(dense, sparse, 60, weights, ks)
     order = Window.partitionBy("query_id").orderBy(F.round("rrf_score", 12).desc(), "chunk_id")
     pool = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= POOL * k)
-    marked = pool.join(index.chunks.select("chunk_id", "fingerprint"), "chunk_id").where("fingerprint is not null")
+    if "fingerprint" in index.chunks.columns:
+        prints = index.chunks.select("chunk_id", "fingerprint")
+    else:
+        prints = fingerprint_rows(index.chunks.select("chunk_id", "text").join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").where(F.trim("text") != ""), "chunk_id", "text")
+    marked = pool.join(prints, "chunk_id").where("fingerprint is not null")
     return dedupe_near_duplicates(marked).drop("rank")
 
 

@@ -12,6 +12,7 @@ from flightloom.operators import quality_records as Q
 from flightloom.operators import records as K
 from flightloom.operators import retrieval as R
 from flightloom.operators import review as I
+from flightloom.operators import search as W
 from flightloom.plans import all_queries
 
 QUERIES = all_queries()[0]
@@ -96,6 +97,16 @@ def test_postings_with_lengths_find_the_same(spark):
     assert found[0] == found[1] and len(found[0]) == 4
 
 
+def test_fingerprints_of_candidates_alone(spark):
+    rows = [(i, "s", "s.pdf", "s", i, t) for i, t in enumerate(["wind speed limit of the drone", "wind speed limit of the drone", "  ", "ground risk of the drone", "nothing of it"], 1)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_id string, source_filename string, source_title string, page int, text string")
+    asked = spark.createDataFrame([(1, "drone wind"), (2, "ground risk")], "query_id long, query string")
+    own = W.build_index(chunks, terms=R.query_terms(asked), texts=chunks.select("chunk_id", "text"))
+    found = rows_of(W.candidate_pool(asked, own))
+    assert "fingerprint" not in own.chunks.columns and len(found) == 3
+    assert found == rows_of(W.candidate_pool(asked, W.build_index(chunks)).select(W.candidate_pool(asked, own).columns))
+
+
 def test_tokens_are_runs_of_three_or_more(spark):
     df = spark.createDataFrame([("Ab abc, x-ray_2000\t\u00c4bcd \u212aelvin the  end",), ("",), (None,)], "t string")
     plain = F.filter(F.split(F.regexp_replace(F.lower("t"), r"[^a-z0-9\s]", " "), r"\s+"), lambda t: F.length(t) > 2)
