@@ -40,12 +40,12 @@ def build_index(chunks: DataFrame, vectors: DataFrame | None = None, terms: Data
     With ``terms``, postings of these terms only and no fingerprints, for searches that ask for no others. ``texts`` are the
     chunks' chunk_id and text, read for tokens where making whole chunks takes more.
     """
-    tokens = E.tokenize(chunks if texts is None else texts)
-    postings = E.build_postings(tokens, terms, terms is not None)
+    texts = chunks if texts is None else texts
+    postings = E.build_postings(E.tokenize(texts), terms, terms is not None)
     marked = chunks.select(CHUNK)
     if terms is None:
         marked = marked.join(fingerprint_rows(chunks.where(F.trim("text") != ""), "chunk_id", "text"), "chunk_id", "left")
-    return SearchIndex(marked, postings, E.term_stats(postings, (chunks if texts is None else texts).count()), E.doc_stats(tokens), None if vectors is None else E.normalize_vectors(vectors))
+    return SearchIndex(marked, postings, E.term_stats(postings, texts.count()), E.doc_lengths(texts), None if vectors is None else E.normalize_vectors(vectors))
 
 
 def candidate_pool(asked: DataFrame, index: SearchIndex, k: int = 10, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:

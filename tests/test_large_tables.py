@@ -124,3 +124,25 @@ def test_a_text_is_cleaned_once_however_often_it_is_looked_at(spark):
 def test_topics_of_signals_are_looked_up_once(spark, sf_dir):
     plan = QUERIES["input_signals"](spark, sf_dir)._jdf.queryExecution().analyzed().toString()
     assert plan.count("turbulence") < 10  # the words of a topic, in a plan that holds them for each use
+
+
+def test_a_norm_is_worked_out_once_a_vector(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [])]
+    made = E.normalize_vectors(spark.createDataFrame(rows, "chunk_id long, embedding array<float>")).where("embedding is not null")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"lambda x_\d+#\d+ as double\) / SQRT\(", plan)
+    assert rows_of(made) == [(1, [0.6, 0.8]), (2, [0.0, 0.0]), (4, [1.0, None]), (5, [])]
+
+
+def test_lengths_of_chunks_need_no_tokens(spark, sf_dir):
+    texts = ["Ab abc, x-ray_2000\t\u00c4bcd \u212aelvin the  end", "", None, "ab", "abc", "\u0130ab \u0130abc\u0130", "one1 t\u00e9st\U0001f600abc", "no", "  abc\nabc-ab-abcd", "ABC" * 5000]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(3)
+    made = E.doc_lengths(chunks)
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
+    plain = {i: None if t is None else len(re.findall("[a-z0-9]{3,}", t.lower())) for i, t in enumerate(texts)}
+    assert {x.chunk_id: x.dl for x in made.collect()} == plain
+    held = E.tokenize(chunks.where("text is not null"))
+    assert rows_of(made.where("dl is not null")) == rows_of(E.doc_stats(held))
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS chunk_id", "coalesce(text, '') AS text")
+    assert rows_of(E.doc_lengths(whole)) == rows_of(E.doc_stats(E.tokenize(whole)))
+    assert "regexp" not in QUERIES["doc_stats"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
