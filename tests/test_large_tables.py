@@ -146,3 +146,20 @@ def test_lengths_of_chunks_need_no_tokens(spark, sf_dir):
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS chunk_id", "coalesce(text, '') AS text")
     assert rows_of(E.doc_lengths(whole)) == rows_of(E.doc_stats(E.tokenize(whole)))
     assert "regexp" not in QUERIES["doc_stats"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_texts_of_candidates_are_shuffled(spark, sf_dir):
+    plan = plan_of(QUERIES["sufficient_candidates"](spark, sf_dir))
+    assert not re.search(r"Project \[[^\n]*text#\d+[^\n]* AS part#", plan)  # what the numbering of pages shuffles
+
+
+def test_candidates_meet_the_texts_of_their_rows(spark, monkeypatch):
+    rows = [(1, "a", 1, "x"), (2, "a", 2, "y"), (2, "a", 3, "z"), (2, "b", 1, "u"), (3, None, 1, "v"), (3, "", 1, "w"), (4, "b", 2, "t")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_title string, page long, text string")
+    cands = spark.createDataFrame([(7, 1, 0.1), (7, 2, 0.2), (8, 2, 0.3), (8, 3, 0.4), (9, 5, 0.5)], "query_id long, chunk_id long, score double")
+    names = ["query_id", "chunk_id", "score", "source_title", "page", "text"]
+    want = rows_of(cands.join(chunks, "chunk_id").select(names))
+    places, texts = chunks.drop("text"), chunks.drop("page")
+    assert rows_of(R.with_texts(cands, places, texts, 5).select(names)) == want and len(want) == 9
+    monkeypatch.setattr(R, "SENT", 4)
+    assert rows_of(R.with_texts(cands, places, texts, 5).select(names)) == want
