@@ -3,8 +3,10 @@
 import re
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from flightloom.operators import corpus as E
@@ -14,6 +16,7 @@ from flightloom.operators import retrieval as R
 from flightloom.operators import review as I
 from flightloom.operators import search as W
 from flightloom.plans import all_queries
+from flightloom.plans.retrieval_queries import BM25_SQL
 
 QUERIES = all_queries()[0]
 
@@ -163,3 +166,59 @@ def test_candidates_meet_the_texts_of_their_rows(spark, monkeypatch):
     assert rows_of(R.with_texts(cands, places, texts, 5).select(names)) == want and len(want) == 9
     monkeypatch.setattr(R, "SENT", 4)
     assert rows_of(R.with_texts(cands, places, texts, 5).select(names)) == want
+
+
+def test_search_of_texts_equals_that_of_postings(spark, monkeypatch):
+    """Null texts, ties, words that are no tokens; in one batch of queries and in many, with few words and with more than are sent."""
+    texts = [(i, None if i % 13 == 0 else " ".join(f"w{(i * j) % 9}x" for j in range(i % 7)) + (" \u212aelvin ab-abc" if i % 5 == 0 else "")) for i in range(300)]
+    texts += [(1000 + i, "w3x w4x same") for i in range(40)] + [(i, "big " * 3000) for i in range(2000, 2003)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "w1x w2x w2x"), (2, "kelvin, kelvin ab"), (3, "same"), (4, "none at all"), (5, ""), (6, "big w3x")], "query_id long, query string")
+    shown = lambda df: rows_of(df.selectExpr("query_id", "chunk_id", "rank", "round(sparse_score, 9)"))
+    plain = chunks.fillna("", ["text"])
+    postings = E.build_postings(E.tokenize(plain), R.query_terms(asked), True)
+    found = {}
+    for k in (3, 30):
+        want = shown(R.bm25_topk(asked, postings, E.term_stats(postings, chunks.count()), E.doc_lengths(plain), k))
+        assert len(want) > 3 * k and shown(R.bm25_texts(asked, chunks, k)) == want
+        found[k] = want
+    assert shown(R.bm25_texts(asked.where("query_id > 9"), chunks)) == []
+    assert shown(R.bm25_texts(asked.unionByName(asked.selectExpr("cast(null as long) AS query_id", "query")), chunks, 3)) == found[3]
+    monkeypatch.setattr(R, "TERMS", 2)
+    assert shown(R.bm25_texts(asked, chunks, 3)) == found[3]
+    monkeypatch.setattr(R, "WORDS", 2)
+    assert shown(R.bm25_texts(asked, chunks, 3)) == found[3]
+
+
+def test_search_of_repeated_and_null_chunks_against_sql(spark):
+    rows = [(i % 23 if i % 9 else None, " ".join(f"w{(i * j) % 9}x" for j in range(i % 8))) for i in range(120)] + [(50, None), (51, "w1x w5x")]
+    asked = [(1, "w1x w2x w2x"), (2, "w3x other"), (3, "w5x w7x w8x")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    con.register("benchmark", pd.DataFrame(asked, columns=["item_id", "text"]))
+    want = con.sql(f"WITH {BM25_SQL} SELECT query_id, chunk_id, rank, round(sparse_score, 9) FROM sparse").fetchall()
+    found = R.bm25_texts(spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(rows, "chunk_id long, text string").repartition(3))
+    assert len(want) > 30 and rows_of(found.selectExpr("query_id", "chunk_id", "rank", "round(sparse_score, 9)")) == sorted(want, key=str)
+
+
+def test_runs_of_chunks_hold_whole_chunks(monkeypatch):
+    """Chunks that go on over batches, in runs that end inside a batch, against plain sums."""
+    monkeypatch.setattr(R, "SIDE", 3)
+    rows = [(None, 1, 2, [0], [1]), (None, 1, 4, [0, 2], [1, 1])] + [(c, 1, c + i, [c % 3, 3], [i + 1, 2]) for c in range(10) for i in range(c % 4)]
+    kinds = pa.schema([("chunk_id", pa.int64()), ("n", pa.int64()), ("dl", pa.int64()), ("at", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
+    want = {}
+    for c, n, dl, at, tf in rows:
+        was = want.get(c, (0, 0, {}))
+        want[c] = (was[0] + n, was[1] + dl, was[2] | {a: was[2].get(a, 0) + x for a, x in zip(at, tf)})
+    for size in (1, 2, 5, 100):
+        got = {}
+        for ids, n, dl, of, at, tf in R.whole_chunks(pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows[i : i + size]], kinds) for i in range(0, len(rows), size)):
+            assert len(ids) <= 3
+            got |= {c: (n[i], dl[i], dict(zip(at[of == i], tf[of == i]))) for i, c in enumerate(ids.to_pylist())}
+        assert got == want
+
+
+def test_blended_search_makes_no_row_for_a_posting(spark, sf_dir):
+    for name in ("sufficient_candidates", "merge_query_results", "build_citations", "bundle_citations", "evidence_bundles", "evidence_contract_violations"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "MapInArrow" in plan
