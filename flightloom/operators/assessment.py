@@ -34,10 +34,11 @@ def assess_missions(joined: DataFrame, bundles: DataFrame, attributions: DataFra
     """One row a mission of ``joined`` (missions with their profiles and class probabilities).
 
     mission_id, status (blocked or open), codes of issues, recommendation and its confidence, final_decision,
-    decision_score, confidence_level, the stages' contributions, and the mission's columns ``keep``. ``joined`` may be a stream where the others are tables.
+    decision_score, confidence_level, the stages' contributions, and the mission's columns ``keep``; of what is made here, ``label`` (the most
+    likely class) and ``findings`` can be kept too. ``joined`` may be a stream where the others are tables.
     """
     p = F.sort_array(F.map_values("probabilities"), asc=False)
-    rows = joined.select("mission_id", *keep, best_class(F.col("probabilities")).alias("label"), p.alias("p"), V.all_issues().alias("issues"), F.array_compact(F.array(*J.margin_findings())).alias("margins"))
+    rows = joined.select("mission_id", *(x for x in keep if x not in ("label", "findings")), best_class(F.col("probabilities")).alias("label"), p.alias("p"), V.all_issues().alias("issues"), F.array_compact(F.array(*J.margin_findings())).alias("margins"))
     rows = rows.join(evidence_of(bundles), "mission_id", "left").join(topics_by_mission(attributions), "mission_id", "left")
     c, zero = F.col, F.lit(0)
     low, weak, blocked = F.lower("label"), F.coalesce("insufficient", zero) > 0, F.size("issues") > 0

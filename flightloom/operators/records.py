@@ -32,9 +32,18 @@ def redact_text(text: Column, limit: int = 360) -> Column:
     All words are replaced, longer ones first, so none is left where several occur.
     """
     words = "|".join(sorted(REDACTED, key=len, reverse=True))
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit(NO_TEXT)), r"\s+", " "))
-    held = once(plain, lambda x: F.when(F.lower(x).rlike(words), F.regexp_replace(F.lower(x), words, REDACTED_MARK)).otherwise(x))
-    return once(held, lambda x: F.when(x == "", NO_TEXT).when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))).otherwise(x))
+    def cleaned(t: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.coalesce(t, F.lit(NO_TEXT)), r"\s+", " "))
+        held = once(plain, lambda x: F.when(F.lower(x).rlike(words), F.regexp_replace(F.lower(x), words, REDACTED_MARK)).otherwise(x))
+        return once(held, lambda x: F.when(x == "", NO_TEXT).when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))).otherwise(x))
+
+    return once(text, lambda t: F.when(is_clean(t, limit), t).otherwise(cleaned(t)))
+
+
+def is_clean(text: Column, limit: int = 360) -> Column:
+    """Whether redact_text surely leaves a text as it is: printable ASCII without a space to drop or a word of REDACTED, which one search finds out; null of null."""
+    words = f"(?i:(?=[{''.join(sorted({x[0] for x in REDACTED}))}])(?:{'|'.join(REDACTED)}))"
+    return (text != "") & (F.length(text) <= limit) & ~text.rlike(f"^ | $|  |[^ -~]|{words}")
 
 
 def once(x: Column, f: Callable[[Column], Column]) -> Column:
